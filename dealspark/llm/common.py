@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ SLICE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words of letters and digits: all ASCII that is neither.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
@@ -35,8 +38,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/dealspark-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    # shuffle files go once nothing refers to them and the driver has collected its garbage
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,12 +138,13 @@ class Words:
         return mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 
-def split_words(texts: pa.Array) -> Words:
+def split_words(texts: pa.Array, between: np.ndarray = _SPACE) -> Words:
+    """between: which bytes separate words."""
     data, offsets = buffers(texts)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(offsets), np.int64))
-    space = _SPACE[data]
+    space = between[data]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     before = np.empty(len(data), bool)
     before[0] = True

@@ -26,6 +26,8 @@ from dealspark.llm.common import column, materialise, record, slices
 
 WINDOW = 1024
 END = 0
+#: Up to so many left-over remainders (four numbers each) are broadcast to the texts' scan; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _SPECIAL = "<|endoftext|>"
 
 
@@ -209,7 +211,10 @@ def _residue(docs: DataFrame, left: DataFrame, counts: np.ndarray, first_sequenc
             at += 1 << bit
     lowest = left.groupBy("length").agg(F.min("rank").alias("lowest"))
     laid = left.join(F.broadcast(lowest), "length").withColumn("at", used_before + (F.col("rank") - F.col("lowest")) * F.col("length"))
-    wanted = laid.select("doc_id", "start", "length", "at").join(docs.select("doc_id", "text"), "doc_id")
+    laid = laid.select("doc_id", "start", "length", "at")
+    if counts.sum() <= BROADCAST_ROWS:
+        laid = F.broadcast(laid)
+    wanted = docs.select("doc_id", "text").join(laid, "doc_id")
     schema = pa.schema([(n, pa.int64()) for n in (*PIECES_NAMES, "sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

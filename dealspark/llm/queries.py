@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealspark.llm import langid, packing, topk, urlfilter
+from dealspark.llm import decontaminate, langid, licenses, neardup, packing, phrases, suffixarray, topk, toxicity, urlfilter
 from dealspark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": lambda spark, d: neardup.op1(read_table(spark, d, "documents")),
+    "op2_passages": lambda spark, d: phrases.op2(read_table(spark, d, "documents")),
     "op3_url_filter": lambda spark, d: urlfilter.op3(read_table(spark, d, "pages")),
+    "op4_decontamination": lambda spark, d: decontaminate.op4(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
+    "op5_licences": lambda spark, d: licenses.op5(read_table(spark, d, "documents")),
     "op6_topk": lambda spark, d: topk.op6(read_table(spark, d, "embeddings")),
+    "op7_substrings": lambda spark, d: suffixarray.op7(read_table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.op8(read_table(spark, d, "documents")),
+    "op9_toxicity": lambda spark, d: toxicity.op9(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
     "op10_language_id": lambda spark, d: langid.op10(read_table(spark, d, "documents")),
 }
 
