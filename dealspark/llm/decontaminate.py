@@ -58,7 +58,7 @@ def _parts(text: str) -> tuple[str, str]:
 class Index:
     """Postings of a shard of items: for each term its items with normalised impacts, and maxima of runs of postings."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str], df: dict[int, int], n: int, average: float):
+    def __init__(self, ids: np.ndarray, texts: list[str], df: dict[int, int], n: int, average: float, threshold: float = THRESHOLD):
         words = _lower_words(texts)
         hashes, row = words.hashes(), words.row
         self.ids = ids
@@ -93,7 +93,7 @@ class Index:
             total += self.block_top[t]
             worst[i] = total.max()
         self.optional = np.zeros(len(self.terms), bool)
-        self.optional[order[worst < 0.6 * THRESHOLD]] = True
+        self.optional[order[worst < 0.6 * threshold]] = True
         self.block_slack = self.block_top[self.optional].sum(axis=0)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.terms >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
@@ -205,9 +205,8 @@ def search_slice(index: Index, doc_ids: np.ndarray, texts: pa.Array, threshold:
     return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = MIN_OVERLAP) -> DataFrame:
-    """docs: doc_id long, text; items: item_id, text. One row for each document and item it contains: the best passage."""
-    spark = docs.sparkSession
+def build_shards(items: DataFrame, threshold: float) -> list[Index]:
+    """Indexes of at most about SHARD_ITEMS items each, with document frequencies and lengths over all items."""
     items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     shards = max(1, -(-items.count() // SHARD_ITEMS))
     parts = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s) if shards > 1 else items for s in range(shards)]
@@ -216,17 +215,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     held = []
     for part in parts:
         rows = part.toPandas().sort_values(["item_id", "text"], kind="stable")
+        rows = rows[np.array([bool(re.search(r"\w", t)) for t in rows["text"]], bool)]
         words = _lower_words(rows["text"].tolist())
-        some = np.diff(words.first) > 0
-        rows = rows[some]
+        rows = rows[np.diff(words.first) > 0]
         n, length = n + len(rows), length + len(words.starts)
-        pairs = np.unique(np.rec.fromarrays([words.row, words.hashes()]))
-        for h, c in zip(*np.unique(pairs["f1"] if len(pairs) else np.zeros(0, np.uint64), return_counts=True), strict=True):
+        hashes, row = words.hashes(), words.row
+        order = np.lexsort((row, hashes))
+        once = np.flatnonzero(np.concatenate([[True], (np.diff(row[order]) != 0) | (hashes[order][1:] != hashes[order][:-1])])) if len(order) else order
+        for h, c in zip(*np.unique(hashes[order][once], return_counts=True), strict=True):
             df[int(h)] = df.get(int(h), 0) + int(c)
         held.append(rows)
+    return [Index(rows["item_id"].to_numpy(np.int64), rows["text"].tolist(), df, n, length / max(1, n), threshold) for rows in held]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = MIN_OVERLAP) -> DataFrame:
+    """docs: doc_id long, text; items: item_id, text. One row for each document and item it contains: the best passage.
+    Rows of null doc_id are left out."""
     found = []
-    for rows in held:
-        shared = spark.sparkContext.broadcast(Index(rows["item_id"].to_numpy(np.int64), rows["text"].tolist(), df, n, length / max(1, n)))
+    for index in build_shards(items, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
@@ -234,11 +241,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                 if hits:
                     yield record(_HITS, *zip(*hits, strict=True))
 
-        found.append(docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, HITS))
+        found.append(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, HITS))
     hits = reduce(DataFrame.unionByName, found)
     best = F.max(F.struct("score", (-F.col("start_word")).alias("s"), "question_overlap", "answer_overlap"))
     return hits.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.score").alias("score"), F.col("b.question_overlap").alias("question_overlap"), F.col("b.answer_overlap").alias("answer_overlap"))
 
 
+def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = MIN_OVERLAP) -> DataFrame:
+    """The rows of docs that contain no item, columns unchanged; the scan itself filters, nothing is shuffled."""
+    for index in build_shards(items, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[hit[0] for hit in search_slice(shared.value, np.arange(batch.num_rows), batch.column("text"), threshold, overlap)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return find_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)

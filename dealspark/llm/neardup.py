@@ -255,5 +255,14 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without the documents whose class has a smaller doc_id, columns unchanged; a repeated row stays once, rows of
+    null doc_id stay."""
+    classes = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    first = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("class_id").alias("doc_id")).distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
 def op1(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealspark.llm.common import column, materialise, record, slices
+from dealspark.llm.common import materialise, record, slices
 
 WINDOW = 1024
 END = 0
@@ -68,7 +68,7 @@ def tokenise(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows: list[tuple[int, ...]] = []
-            for doc_id, text in zip(column(batch, "doc_id").tolist(), batch.column("text"), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encode(text.as_py(), path)
                 raw, n = memoryview(ids.tobytes()), len(ids)
                 rows += [(doc_id, at, min(window, n - at), zlib.crc32(raw[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
@@ -214,7 +214,9 @@ def _residue(docs: DataFrame, left: DataFrame, counts: np.ndarray, first_sequenc
     laid = laid.select("doc_id", "start", "length", "at")
     if counts.sum() <= BROADCAST_ROWS:
         laid = F.broadcast(laid)
-    wanted = docs.select("doc_id", "text").join(laid, "doc_id")
+    texts = docs.select(F.col("doc_id").alias("text_id"), "text")
+    # repeated rows match one another's remainders, of which each is wanted once
+    wanted = texts.join(laid, F.col("text_id").eqNullSafe(F.col("doc_id"))).drop("text_id").dropDuplicates(["at"])
     schema = pa.schema([(n, pa.int64()) for n in (*PIECES_NAMES, "sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

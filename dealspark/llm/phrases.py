@@ -88,9 +88,10 @@ def locate(texts: list[_Text], passages: list[str]) -> list[np.ndarray]:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.large_binary()), ("kept_sha256", pa.string())])
 
 
-def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_kept: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_kept: bool = True, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """docs: doc_id long, text. Returns doc_id, n_words, n_removed, kept (the words left, joined by one space; null
-    without with_kept), kept_sha256, and the columns of docs named in keep."""
+    without with_kept; the text itself if nothing was removed and as_is is set), kept_sha256, and the columns of docs
+    named in keep."""
     found = spans(docs, width, gram).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     joined = docs.select("doc_id", "text", *[F.col(k).alias(f"_{k}") for k in keep]).join(found, "doc_id", "left")
 
@@ -102,11 +103,14 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_
                 if places.is_valid:
                     passages += [text.passage(a, b) for a, b in zip(*(x.tolist() for x in merge_spans(places.values.to_numpy(), width)), strict=True)]
             rows = []
-            for doc_id, text, gone in zip(batch.column("doc_id").to_pylist(), texts, locate(texts, passages), strict=True):
+            for doc_id, given, text, gone in zip(batch.column("doc_id").to_pylist(), batch.column("text"), texts, locate(texts, passages), strict=True):
                 n = len(gone)
                 edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
                 kept = b" ".join(text.raw[text.starts[a] : text.ends[b - 1]] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                rows.append((doc_id, n, int(gone.sum()), kept if with_kept else None, hashlib.sha256(kept).hexdigest()))
+                digest = hashlib.sha256(kept).hexdigest()
+                if as_is and not gone.any():
+                    kept = given.as_buffer().to_pybytes() if given.is_valid else None
+                rows.append((doc_id, n, int(gone.sum()), kept if with_kept else None, digest))
             out = record(_OUT, *zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) if str(c.type) == "large_binary" else c for c in out.columns), *(batch.column(f"_{k}") for k in keep)], names=[*out.schema.names, *(f"_{k}" for k in keep)])
 
@@ -115,5 +119,17 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_
     return out.withColumnsRenamed({f"_{k}": k for k in keep})
 
 
+def drop_passages(docs: DataFrame) -> DataFrame:
+    """docs with recurring passages taken out of text (n_chars follows, where docs has it); other texts are unchanged,
+    documents of which nothing is left go. Columns as in docs."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = remove_passages(docs, keep=rest, as_is=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    columns = {c: F.col(c) for c in rest}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    columns |= {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
+
+
 def op2(docs: DataFrame) -> DataFrame:
     return remove_passages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), with_kept=False).drop("kept")

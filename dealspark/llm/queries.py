@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from dealspark.llm import decontaminate, langid, licenses, neardup, packing, phrases, suffixarray, topk, toxicity, urlfilter
 from dealspark.llm.common import read_table
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substrings": lambda spark, d: suffixarray.op7(read_table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.op8(read_table(spark, d, "documents")),
     "op9_toxicity": lambda spark, d: toxicity.op9(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
+    "pipeline": corpus_pipeline.run,
     "op10_language_id": lambda spark, d: langid.op10(read_table(spark, d, "documents")),
 }
 

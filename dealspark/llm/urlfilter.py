@@ -98,7 +98,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", default: str = ALLOW,
     base = pages.select(F.col(id_col), "url")
     base = base.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = fitting_rule(F.col("host"), F.col("path"))
-    base = base.withColumns({"rule": rule, "ruled": verdict, "tokens": F.coalesce(F.array_distinct(tokens(F.col("url"), F.col("host"), F.col("path"))), F.array().cast("array<string>"))})
+    base = base.withColumns({"rule": rule, "ruled": verdict, "tokens": F.when(F.col("url").isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(tokens(F.col("url"), F.col("host"), F.col("path"))))})
     labelled = base.where(F.col("rule").isNotNull()).select("url", "tokens", F.col("ruled").alias("verdict"))
     if labelled.isEmpty():
         found = base.select("tokens").where(F.lit(False)).withColumns({"mined_rule": F.lit(""), "mined": F.lit("")})
