@@ -144,8 +144,12 @@ def scored_texts(s, d):
     return rows.select("company", m["score"].alias("score"), C.risk_score(F.col("text")).alias("risk"))
 
 
-_LEVEL = F.when(F.col("risk") > 0.7, "high").when(F.col("risk") > 0.4, "medium").otherwise("low")
-_MOOD = F.when(F.col("score") > 0.3, "positive").when(F.col("score") < -0.3, "negative").otherwise("neutral")
+def _level():
+    return F.when(F.col("risk") > 0.7, "high").when(F.col("risk") > 0.4, "medium").otherwise("low")
+
+
+def _mood():
+    return F.when(F.col("score") > 0.3, "positive").when(F.col("score") < -0.3, "negative").otherwise("neutral")
 #: What the report says for a mood and a level of risk.
 ADVICE = [
     ("positive", "low", "Company shows positive indicators with low risk - good investment candidate"), ("positive", "medium", "Positive sentiment but moderate risk - monitor closely"), ("positive", "high", "Positive outlook but high risk factors present"),
@@ -160,7 +164,7 @@ def _mean3(name: str):
 
 def company_sentiment(s, d):
     per = scored_texts(s, d).groupBy("company").agg(_mean3("score").alias("score"), _mean3("risk").alias("risk"), F.count("*").alias("sources"))
-    named = per.select("company", "score", "risk", "sources", _MOOD.alias("sentiment"), _LEVEL.alias("risk_level"))
+    named = per.select("company", "score", "risk", "sources", _mood().alias("sentiment"), _level().alias("risk_level"))
     advice = s.createDataFrame(ADVICE, "sentiment string, risk_level string, advice string")
     return named.join(F.broadcast(advice), ["sentiment", "risk_level"], "left").withColumn("advice", F.coalesce("advice", F.lit("Neutral sentiment - gather more information")))
 
@@ -175,7 +179,7 @@ def _sentiment_sql(last: str) -> str:
 _ADV = " ".join(f"when sentiment = '{a}' and risk_level = '{b}' then '{t}'" for a, b, t in ADVICE)
 _LV, _MD = "case when risk > 0.7 then 'high' when risk > 0.4 then 'medium' else 'low' end", "case when score > 0.3 then 'positive' when score < -0.3 then 'negative' else 'neutral' end"
 register("a15_company_sentiment", company_sentiment, _sentiment_sql(f", p as (select company, round(sum(cast(round(score * 1000) as bigint)) / cast(count(*) as double)) / 1000 as score, round(sum(cast(round(risk * 1000) as bigint)) / cast(count(*) as double)) / 1000 as risk, count(*) as sources from sc group by 1), n as (select *, {_MD} as sentiment, {_LV} as risk_level from p) select *, case {_ADV} else 'Neutral sentiment - gather more information' end as advice from n"), ("vDecks", "vLibrary", "vDrafts"))
-register("a16_sentiment_summary", lambda s, d: scored_texts(s, d).groupBy(_MOOD.alias("sentiment"), _LEVEL.alias("risk_level")).agg(F.count("*").alias("n")), _sentiment_sql(f"select {_MD} as sentiment, {_LV} as risk_level, count(*) as n from sc group by 1, 2"), ("vDecks", "vLibrary", "vDrafts"))
+register("a16_sentiment_summary", lambda s, d: scored_texts(s, d).groupBy(_mood().alias("sentiment"), _level().alias("risk_level")).agg(F.count("*").alias("n")), _sentiment_sql(f"select {_MD} as sentiment, {_LV} as risk_level, count(*) as n from sc group by 1, 2"), ("vDecks", "vLibrary", "vDrafts"))
 
 
 def email_stats(s, d):

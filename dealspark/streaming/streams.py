@@ -23,11 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def read_events(spark: SparkSession, sf_dir: str, name: str = "events", files_per_trigger: int | None = None) -> DataFrame:
     """st01, st02: a table as a file stream; new files are found by the source and remembered by its checkpoint."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    schema = table.schema
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    df = reader.option("pathGlobFilter", f"{name}*.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    if any(f"/{name}.parquet/" in f for f in table.inputFiles()):
+        df = reader.parquet(f"{sf_dir}/{name}.parquet")
+    else:  # the source reads folders: a table of one file is found by its name
+        df = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     # event times need the session's time zone
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 

@@ -1,0 +1,141 @@
+"""Domain operators on hand rows: thresholds at their boundaries, nulls, empty and accented texts."""
+
+import datetime as dt
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dealspark.functions import text as X
+from dealspark.functions import vectors as V
+from dealspark.operators import aggregates as A
+from dealspark.operators import chunking as K
+from dealspark.operators import classify as C
+from dealspark.operators import relational as R
+from dealspark.operators import retrieve as S
+from dealspark.sources import io as IO
+from dealspark.streaming import streams as ST
+
+
+def one(spark, column, **values):
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+    return row.select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("$25K", "$25,000"), ("$5M", "$5,000,000"), ("$1.5B", "$1,500,000,000"), ("Revenue: $100K per month", "Revenue: $100,000 per month"),
+        ("$10M ARR growing to $50M", "$10,000,000 ARR growing to $50,000,000"), ("₹5 Crore", "₹50,000,000"), ("₹10 Lakh", "₹1,000,000"), ("25M and 5M", "25,000,000 and 5,000,000"), ("nothing", "nothing"), ("", ""),
+    ],
+)
+def test_number_normalisation(spark, given, want):
+    assert one(spark, X.normalise_numbers(F.col("t")), t=given) == want
+
+
+def test_money(spark):
+    assert one(spark, X.money_value(F.lit("$1,234.5K"))) == 1234500.0
+    assert one(spark, X.money_value(F.lit("n/a"))) is None
+    assert [one(spark, X.money_display(F.lit(v).cast("double"))) for v in (999.0, 1e3, 1e6, 1e9, None)] == ["$999", "$1K", "$1.0M", "$1.0B", None]
+    assert one(spark, X.normal_year(F.lit("Year 3"))) == 2026 and one(spark, X.normal_year(F.lit("1999"))) == 1999 and one(spark, X.normal_year(F.lit("21"))) is None
+
+
+def test_risk_buckets_at_boundaries(spark):
+    rows = spark.createDataFrame([("a", 0.3), ("b", 0.29), ("c", 0.6), ("d", 0.59)], "company string, ratio double")
+    got = {r.company: (r.bucket, r.members) for r in A.portfolio_risk(rows).collect()}
+    assert got == {"a": ("medium", 2), "b": ("high", 1), "c": ("low", 1), "d": ("medium", 2)}
+
+
+def test_scope_or_all(spark):
+    df = spark.range(5)
+    assert R.scope_or_all(df, F.col("id") == 3).count() == 1 and R.scope_or_all(df, F.col("id") == 9).count() == 5 and R.scope_or_all(df.limit(0), F.col("id") == 9).count() == 0
+
+
+def test_intents(spark):
+    said = {"not interested": "not_interested", "We are interested": "interested", "thanks": "pending", "maybe": "pending", "": "pending"}
+    for text, want in said.items():
+        assert one(spark, C.email_intent(F.col("t"))["intent"], t=text) == want
+    assert one(spark, C.email_intent(F.lit(None).cast("string"))["intent"]) == "pending"
+    assert one(spark, C.sender_type(F.lit("our fund"))) == "investor" and one(spark, C.sender_type(F.lit("été"))) == "unknown"
+
+
+def test_sentiment_of_nothing(spark):
+    for text in ("", None):
+        s = C.sentiment(F.lit(text).cast("string"))
+        row = spark.range(1).select(*[c.alias(k) for k, c in s.items()]).first()
+        assert row.sentiment == "neutral" and row.score == 0.0
+
+
+def test_blend(spark):
+    lit = F.lit
+    b = lambda m, c, w, k: spark.range(1).select(*[v.alias(n) for n, v in C.blend(lit(m).cast("string"), lit(c).cast("double"), lit(w), lit(k)).items()]).first()
+    assert b(None, None, "x", 0.5).method == "keyword_only" and b("y", 0.71, "x", 0.5).label == "y" and b("y", 0.7, "x", 0.5).label == "x"
+    assert b("x", 0.41, "x", 0.5).method == "model+keyword" and b("x", 0.4, "x", 0.5).method == "keyword"
+
+
+def test_chunkers_cover_and_advance():
+    text = "First sentence is here. " * 60 + "tail without end"
+    spans = K.sliding(text)
+    starts = [s for s, _ in spans]
+    assert starts == sorted(set(starts)) and all(51 <= len(t) <= 500 for _, t in spans)
+    covered = np.zeros(len(text), bool)
+    for s, t in spans:
+        covered[s : s + len(t) + 1] = True
+    assert covered[: len(text) - 1].all()
+    assert K.sliding("") == K.paragraphs("") == K.sentences("") == K.token_budget("") == []
+    assert K.sliding("x" * 1200, overlap=600)[-1][0] + 500 >= 1200  # an overlap beyond the window still gets ahead
+    assert [len(t) for _, t in K.paragraphs("a" * 3200)] == [1500, 1500, 200]
+    assert "".join(t for _, t in K.sentences(text)) == text
+    parts = K.token_budget("word " * 290 + ".\n\n" + "more " * 200)
+    assert [len(t.split()) for _, t in parts] == [291, 200]
+
+
+def test_chunks_on_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Some text that is long enough to be kept as a chunk, yes.")], "doc_id long, text string")
+    assert [r.doc_id for r in K.chunk(df).collect()] == [3] and K.chunk(df.limit(0)).count() == 0
+
+
+def test_vectors(spark):
+    a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(0.0))
+    assert one(spark, V.norm(a)) == 5.0 and one(spark, V.cosine(a, b)) == 0.0 and one(spark, V.l2(a, b)) == 5.0
+    assert one(spark, V.parse_vector(F.lit("[1,2.5]"))) == [1.0, 2.5] and len(one(spark, V.fit_dim(F.array(F.lit(1.0).cast("float")), 3))) == 3
+
+
+def test_knn_forms_agree(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "v")
+    rows = lambda df: {(r.qid, r["rank"]): (r.id, round(r.score, 5)) for r in df.collect()}
+    exact = rows(S.knn(e, q, 5))
+    assert exact == rows(S.knn_blocks(e, q, 5))
+    near = rows(S.lsh_knn(e, q, 5))
+    recall = len({(k[0], v[0]) for k, v in exact.items()} & {(k[0], v[0]) for k, v in near.items()}) / len(exact)
+    assert recall >= 0.9
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "t.json").write_text('[{"company": "A", "date": "2024-02-03"}, {"date": "bad"}]')
+    rows = IO.read_json_table(spark, str(tmp_path / "t.json"), "company string, date string", {"company": "?"}, ("date",)).collect()
+    assert [r.company for r in rows] == ["A", "?"] and rows[0].date == dt.datetime(2024, 2, 3) and rows[1].date is None
+    (tmp_path / "k.json").write_text('{"X": [{"metric": "m", "value": "1"}, {"metric": "n"}]}')
+    assert [(r.key, r.pos, r.metric, r.value) for r in IO.read_keyed_records(spark, str(tmp_path / "k.json"), "metric:string,value:string").collect()] == [("X", 0, "m", "1"), ("X", 1, "n", None)]
+    (tmp_path / "sym" / "ACME").mkdir(parents=True)
+    (tmp_path / "sym" / "ACME" / "a.csv").write_text("year,revenue\n2023,5\n")
+    assert [(r.symbol, r.text) for r in IO.read_symbol_csv(spark, str(tmp_path / "sym/*/*.csv")).collect()] == [("ACME", "year: 2023, revenue: 5")]
+
+
+def test_rate_verdicts(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 12)
+    rows = [(1, 7, t), (2, 7, t + dt.timedelta(minutes=1)), (3, 7, t + dt.timedelta(minutes=2)), (4, 7, t + dt.timedelta(minutes=62)), (5, 8, t)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: (r.allowed, r.remaining) for r in ST.run_once(ST.rate_verdicts(ST.read_events(spark, str(tmp_path)), 2, 60)).collect()}
+    assert got == {1: (True, 1), 2: (True, 0), 3: (False, 0), 4: (True, 1), 5: (True, 1)}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 12)
+    for k, ts in enumerate([t, t + dt.timedelta(hours=9), t + dt.timedelta(hours=9), t]):
+        spark.createDataFrame([(k, ts)], "event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"events{k}.parquet"))
+    schema = spark.read.parquet(str(tmp_path / "events0.parquet")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
+    _, dropped = ST.late_rows(stream)
+    assert dropped >= 1
