@@ -6,9 +6,9 @@ whatever the input. Samples agree with the probability of the weighted Jaccard s
 candidates, and pairs of texts are verified by their exact weighted Jaccard similarity.
 
 Copies of the same word sequence are one node. In a bucket of candidates every text is first verified against the smallest
-doc_id; pairs of a bucket that are then still in different classes are all compared by their samples, in blocks, and those
-whose samples agree often enough are verified too. So groups of copies and near copies cost their size, not its square,
-and no link between different texts is left out but by the chance of the samples (below 1 in 1000 at the threshold).
+doc_id; buckets whose texts are then still in different classes are compared in full, blocks of texts against blocks, and
+only links that join classes leave a task. So no pairs are written out, and no link between different texts is left out
+but by the chance of the bands (1 in 25000 at the threshold).
 
 A document's class is the smallest doc_id it is linked to, directly or through others. Null, empty and wordless texts are
 alone in their class; a null doc_id gets a null class. Repeated rows share a class; other columns are ignored.
@@ -29,11 +29,11 @@ from dealspark.llm.common import NOT_ALNUM, materialise, mix, powers, record, sl
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SAMPLES, BANDS, ROWS = 32, 10, 2
-#: Samples of 32 that a pair needs to agree in to be verified: at the threshold fewer agree once in about 1500 pairs.
-AGREE = 18
+BANDS, ROWS = 10, 2
+SAMPLES = BANDS * ROWS
 DF_BITS, DF_CHUNK = 18, 4096
-BLOCK_ROWS = 1000
+#: Bounds of a block of texts that are compared at once.
+BLOCK_ROWS, BLOCK_CHARS = 1000, 2 << 20
 
 _rng = np.random.default_rng(20240229)
 _TABLE = 1 << 12
@@ -135,11 +135,11 @@ def samples(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray, rows: int)
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def sign(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, content hash (c1, c2), samples and bands of the documents that have words."""
+    """doc_id, content hash (c1, c2) and bands of the documents that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -153,9 +153,9 @@ def sign(docs: DataFrame, idf) -> DataFrame:
                     bands[:, b] = mix(bands[:, b] * np.uint64(31) + sig[:, b * ROWS + j] + np.uint64(b))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[some]
             flat = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * BANDS, pa.array(bands.reshape(-1).view(np.int64)))
-            yield record(_SIGNED, ids, content[some, 0].view(np.int64), content[some, 1].view(np.int64), [s.tobytes() for s in sig], flat)
+            yield record(_SIGNED, ids, content[some, 0].view(np.int64), content[some, 1].view(np.int64), flat)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, sig binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
 
 
 def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -204,33 +204,71 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
 
 
-_PAIRS = "u long, v long"
+def intersections(row: np.ndarray, hashes: np.ndarray, tf: np.ndarray, idf: np.ndarray, rows: int, chunk: int = 2048) -> np.ndarray:
+    """Weights that each two of the texts share (rows x rows): counts' levels times the frequencies, as matrix products over
+    the shingles that occur in two texts at least."""
+    _, code, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    row, code, tf, weight = row[shared], code[shared], tf[shared], idf[_bucket(hashes[shared])].astype(np.float64)
+    out = np.zeros((rows, rows))
+    below = 0
+    for level in np.unique(tf):
+        some = tf >= level
+        kept, column = np.unique(code[some], return_inverse=True)
+        for at in range(0, len(kept), chunk):
+            inside = (column >= at) & (column < at + chunk)
+            m = np.zeros((rows, min(chunk, len(kept) - at)))
+            m[row[some][inside], column[inside] - at] = np.sqrt(weight[some][inside])
+            out += (level - below) * (m @ m.T)
+        below = level
+    return out
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """rows: bucket, doc_id, label, sig. Pairs of one bucket, of different labels, whose samples agree often enough."""
+def _spanning(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Links enough to connect what the given ones connect."""
+    top: dict[int, int] = {}
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, labels, side = (pdf[c].to_numpy() for c in ("doc_id", "label", "side"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, SAMPLES)
-        found = []
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
-        for i in left:
-            agree = (sig[right] == sig[i]).sum(axis=1)
-            ok = right[(agree >= AGREE) & (labels[right] != labels[i]) & ((side[right] == 1) | (ids[right] > ids[i]))]
-            found.append(np.stack([np.minimum(ids[i], ids[ok]), np.maximum(ids[i], ids[ok])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    sized = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    sized = sized.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = rows.join(sized, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    out = []
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            top[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+    return out
+
+
+def compare_buckets(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """members: bucket, doc_id, label. Compares exactly all texts of a bucket that are in different classes, in blocks of
+    bounded rows and bytes, and returns links (u, v) that connect what is similar."""
+    open_ = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    rows = members.join(open_, "bucket", "left_semi").join(texts.select("doc_id", "text"), "doc_id")
+    rows = materialise(rows.withColumn("size", F.length("text")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CHARS)).cast("int")
+    placed = rows.join(rows.groupBy("bucket").agg(blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # a block meets itself (side 2) and each other one (sides 0 and 1)
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = meets.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side.alias("side"), "doc_id", "label", "sig")
-    return dealt.groupBy("bucket", "a", "b").applyInPandas(compare, _PAIRS).distinct()
+    dealt = meets.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side.alias("side"), "doc_id", "label", "text")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+        ids, labels, sides = (pdf[c].to_numpy() for c in ("doc_id", "label", "side"))
+        row, hashes, tf, _ = shingles(pa.array(pdf["text"].tolist(), pa.large_string()))
+        total = np.bincount(row, tf * idf.value[_bucket(hashes)].astype(np.float64), minlength=len(ids))
+        both = intersections(row, hashes, tf, idf.value, len(ids))
+        similar = both >= threshold * (total[:, None] + total[None, :] - both) * (1 - 1e-12)
+        similar &= (labels[:, None] != labels[None, :]) & ((sides[:, None] == 2) | (sides[:, None] != sides[None, :]))
+        u, v = np.nonzero(np.triu(similar, 1))
+        links = _spanning(ids[u], ids[v])
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return dealt.groupBy("bucket", "a", "b").applyInPandas(compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -238,17 +276,16 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     signed = materialise(sign(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), idf))
-    nodes = materialise(signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    filed = nodes.select("node", "sig", F.explode("bands").alias("bucket"))
+    nodes = materialise(signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    filed = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = filed.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("bucket", "u")
-    members = materialise(filed.join(heads, "bucket").select("bucket", "u", F.col("node").alias("v"), "sig"))
+    members = materialise(filed.join(heads, "bucket").select("bucket", "u", F.col("node").alias("v")))
     texts = docs.select("doc_id", "text")
     stars = members.where("u <> v").select("u", "v").distinct()
     linked = materialise(verify(stars, texts, idf, threshold).distinct())
     labels = materialise(components(linked))
-    tagged = members.join(labels, members["v"] == labels["node"], "left").select("bucket", F.col("v").alias("doc_id"), F.coalesce("label", "v").alias("label"), "sig")
-    pairs = materialise(_open_pairs(tagged).join(stars, ["u", "v"], "left_anti"))
-    more = materialise(verify(pairs, texts, idf, threshold).distinct())
+    tagged = members.join(labels, members["v"] == labels["node"], "left").select("bucket", F.col("v").alias("doc_id"), F.coalesce("label", "v").alias("label"))
+    more = materialise(compare_buckets(tagged, texts, idf, threshold))
     labels = components(linked.unionByName(more))
     classes = nodes.join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("class_id"))
     found = signed.join(classes, ["c1", "c2"]).select("doc_id", "class_id").distinct()
