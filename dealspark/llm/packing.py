@@ -211,19 +211,20 @@ def _residue(docs: DataFrame, left: DataFrame, counts: np.ndarray, first_sequenc
             at += 1 << bit
     lowest = left.groupBy("length").agg(F.min("rank").alias("lowest"))
     laid = left.join(F.broadcast(lowest), "length").withColumn("at", used_before + (F.col("rank") - F.col("lowest")) * F.col("length"))
-    laid = laid.select("doc_id", "start", "length", "at")
+    laid = laid.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at")
     if counts.sum() <= BROADCAST_ROWS:
         laid = F.broadcast(laid)
     texts = docs.select(F.col("doc_id").alias("text_id"), "text")
-    # repeated rows match one another's remainders, of which each is wanted once
-    wanted = texts.join(laid, F.col("text_id").eqNullSafe(F.col("doc_id"))).drop("text_id").dropDuplicates(["at"])
+    wanted = texts.join(laid, F.col("text_id").eqNullSafe(F.col("doc_id"))).drop("text_id")
     schema = pa.schema([(n, pa.int64()) for n in (*PIECES_NAMES, "sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
-            for doc_id, start, length, at, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "start", "length", "at", "text")), strict=True):
+            for doc_id, start, length, crc, tokens, at, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at", "text")), strict=True):
                 ids = encode(text, path)
+                if len(ids) != tokens or zlib.crc32(ids[start:].tobytes()) != crc:
+                    continue  # another row of the same id
                 done = 0
                 while done < length:
                     here = at + done
@@ -236,9 +237,11 @@ def _residue(docs: DataFrame, left: DataFrame, counts: np.ndarray, first_sequenc
                     part = ids[start + done : start + done + n]
                     rows.append((doc_id, start + done, n, zlib.crc32(part.tobytes()), len(ids), first_sequence + seq, offset))
                     done += n
-            yield record(schema, *zip(*rows, strict=True))
+            if rows:
+                yield record(schema, *zip(*rows, strict=True))
 
-    return wanted.mapInArrow(run, OUT)
+    # repeated rows match each other's remainders, of which each is wanted once
+    return wanted.mapInArrow(run, OUT).dropDuplicates(["sequence_id", "offset"])
 
 
 def op8(docs: DataFrame, window: int = WINDOW) -> DataFrame:
