@@ -90,12 +90,16 @@ def keyword_score(text: Column, query: str) -> Column:
 METRICS = {"cosine": V.cosine, "l2": lambda a, b: -V.l2(a, b), "inner": V.dot}
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
-    """r11: vectors: id, v; queries: qid, v. As expressions; for larger sets use knn_blocks."""
+def scores(vectors: DataFrame, queries: DataFrame, metric: str = "cosine", least: float | None = None) -> DataFrame:
+    """Scores of all vectors (id, v) for a few queries (qid, v), as expressions; nothing is ordered."""
     pairs = vectors.join(queries.select("qid", F.col("v").alias("qv")), F.col("qid") != F.col("id"))
     scored = pairs.select("qid", "id", F.round(METRICS[metric](F.col("v"), F.col("qv")), 6).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
+    return scored if least is None else scored.where(F.col("score") >= least)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
+    """r11: the best k of each query; for larger sets use knn_blocks."""
+    scored = scores(vectors, queries, metric, least)
     return top_per_group(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 

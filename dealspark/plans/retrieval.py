@@ -68,7 +68,7 @@ _SIM = "sim as (select x.id, round(list_cosine_similarity(q.v, x.v), 6) as sim f
 
 def similar_to(s, d, vec: int):
     q = embeddings(s, d).where(F.col("id") == vec).select(F.lit(vec).cast("long").alias("qid"), "v")
-    return S.knn(embeddings(s, d), q, 1_000_000).select("id", F.col("score").alias("sim"))
+    return S.scores(embeddings(s, d), q).select("id", F.col("score").alias("sim"))
 
 
 def label_keywords(s, d):
