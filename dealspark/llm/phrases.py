@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealspark.llm.common import record, rolling, slices, split_words
-from dealspark.llm.repeats import BLOCKS, blocks, merge_spans, pack_place, repeated_spans, unpack_place
+from dealspark.llm.repeats import blocks, merge_spans, pack_place, repeated_spans, settle, unpack_place
 
 WIDTH, GRAM = 35, 8
 SHARD_BYTES = 1 << 20
@@ -35,7 +35,7 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             words = split_words(batch.column("text"))
             anchor, block, doc, start, windows, distance = blocks(words.hashes(), words.first, width, gram)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield record(BLOCKS, anchor, block, ids[doc], pack_place(start, windows, distance))
+            yield settle(anchor, block, ids[doc], pack_place(start, windows, distance), False)
 
     def content(text: pa.Scalar, place: np.ndarray) -> list[bytes]:
         hashes = split_words(pa.array([text.as_py()], pa.large_string())).hashes()

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from dealspark.llm.common import mix, powers, record
 
-BLOCKS = pa.schema([("anchor", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
-BLOCKS_DDL = "anchor long, block long, doc_id long, place long"
+BLOCKS = pa.schema([("anchor", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("done", pa.bool_())])
+BLOCKS_DDL = "anchor long, block long, doc_id long, place long, done boolean"
 #: place = first token << 16 | (windows - 1) << 8 | distance of the anchor from the first token; orders by first token.
 _BYTE = 255
 
@@ -97,6 +97,23 @@ def blocks(tokens: np.ndarray, first: np.ndarray, width: int, gram: int) -> tupl
     return grams[p].view(np.int64), content.view(np.int64), doc, s - first[doc], e - s + 1, p - s
 
 
+def settle(anchor: np.ndarray, block: np.ndarray, doc: np.ndarray, place: np.ndarray, keep_first: bool) -> pa.RecordBatch:
+    """BLOCKS of a slice, with what the slice alone decides: of equal blocks only the first is left for the comparison with
+    other slices, the others (without keep_first the first, too) are done: they are to go. So a block that is very
+    frequent costs a row per slice, not one per occurrence."""
+    order = np.lexsort((place, doc, block))
+    anchor, block, doc, place = anchor[order], block[order], doc[order], place[order]
+    new = np.ones(len(block), bool)
+    new[1:] = (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])
+    once = new.copy()
+    once[1:] |= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])  # a repeated row is one occurrence
+    anchor, block, doc, place, new = (c[once] for c in (anchor, block, doc, place, new))
+    group = np.cumsum(new) - 1
+    done = ~new if keep_first else np.bincount(group, minlength=1)[group] > 1 if len(group) else new
+    pick = lambda c: np.concatenate([c[new], c[done]])
+    return record(BLOCKS, pick(anchor), pick(block), pick(doc), pick(place), np.repeat([False, True], [new.sum(), done.sum()]))
+
+
 JUDGED = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("place", pa.int64()), ("again", pa.bool_())])
 JUDGED_DDL = "doc_id long, anchor long, place long, again boolean"
 
@@ -164,7 +181,7 @@ class _Judge:
 
 
 def judge(found: DataFrame, keep_first: bool) -> DataFrame:
-    """found: anchor, block, doc_id, place. Returns a row with again=true for each block that is to go as a whole (it
+    """found: anchor, block, doc_id, place, done. Returns a row with again=true for each block that is to go as a whole (it
     occurs elsewhere too; with keep_first: it has occurred before), and one with again=false for the first block of each
     content whose anchor has several contents (contested). Tasks read sorted rows and hold two of them."""
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -172,10 +189,18 @@ def judge(found: DataFrame, keep_first: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(keep_first)
         for batch in batches:
-            if batch.num_rows:
-                yield judge.read(*(batch.column(k).to_numpy() for k in ("anchor", "block", "doc_id", "place")))
-
-    ordered = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "block", "doc_id", "place")
+            if not batch.num_rows:
+                continue
+            done = batch.column("done").to_numpy(zero_copy_only=False)
+            anchor, block, doc, place = (batch.column(k).to_numpy() for k in ("anchor", "block", "doc_id", "place"))
+            if not done.all():
+                yield judge.read(*(c[~done] for c in (anchor, block, doc, place)))
+            if done.any():
+                yield record(JUDGED, doc[done], anchor[done], place[done], done[done])
+
+    # rows that are done pass through, dealt evenly
+    key = F.when(F.col("done"), F.xxhash64("doc_id", "place")).otherwise(F.col("anchor"))
+    ordered = found.repartition(parts, key).sortWithinPartitions("done", "anchor", "block", "doc_id", "place")
     return ordered.mapInArrow(run, JUDGED_DDL)
 
 
@@ -282,7 +307,7 @@ def repeated_spans(docs: DataFrame, find, content, ranks, keep_first: bool) -> D
     windows = materialise(compare_windows(contents, ranks, keep_first))
     over = windows.where(~F.col("again")).select("anchor", F.col("hash").alias("block"), "doc_id", "place")
     # windows that the parts of crowded anchors kept: by anchor and window, so that no task meets a whole anchor
-    rest = judge(over.withColumn("anchor", F.xxhash64("anchor", "block")), keep_first).where("again")
+    rest = judge(over.withColumn("anchor", F.xxhash64("anchor", "block")).withColumn("done", F.lit(False)), keep_first).where("again")
     return judged.where("again").select("doc_id", "place").unionByName(windows.where("again").select("doc_id", "place")).unionByName(rest.select("doc_id", "place"))
 
 

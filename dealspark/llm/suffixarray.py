@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealspark.llm.common import buffers, mix, record, rolling, slices
-from dealspark.llm.repeats import BLOCKS, blocks, merge_spans, pack_place, repeated_spans, unpack_place
+from dealspark.llm.repeats import blocks, merge_spans, pack_place, repeated_spans, settle, unpack_place
 
 WIDTH, GRAM = 100, 32
 _NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -68,7 +68,7 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             data, first = buffers(batch.column("text"))
             anchor, block, doc, start, windows, distance = blocks(_NAMES[data], first, width, gram)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield record(BLOCKS, anchor, block, ids[doc], pack_place(start, windows, distance))
+            yield settle(anchor, block, ids[doc], pack_place(start, windows, distance), True)
 
     def content(text: pa.Scalar, place: np.ndarray) -> list[bytes]:
         raw = text.as_buffer().to_pybytes()
