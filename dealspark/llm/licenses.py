@@ -1,10 +1,13 @@
 """Licence scanning: sparse TF-IDF cosine of headers and licence files to templates, and inheritance by directory.
 
-A file's lines are compared with the templates' notices: the best line at or above `header_cosine` is its own licence. A
-file whose whole text is at or above `file_cosine`, or which is named like a licence file and has a header, licenses its
+A file's lines, and all runs of words as long as a template (so across line ends and inside lines), are compared with the
+templates: notices, the usual headers, short licence texts in full and the openings of long ones. The best of them at or
+above `header_cosine` is its own licence. Templates of under `SHORT` words need `SHORT_COSINE`, that is all their words, and
+count only where no longer template is found: BSD texts reserve all rights too. A file whose whole text is at or above `file_cosine`, or which is named like a licence file and has a header, licenses its
 directory. A file without a licence of its own inherits from the nearest ancestor directory that has one (by joins of
-directory paths). Document frequencies of the templates' terms are counted over all files; other terms count as if they
-occurred once. Null and empty texts have no licence of their own but inherit; a null path has no directory. Of several
+directory paths). Document frequencies of the templates' terms are counted over all files and smoothed; terms rarer than
+`RAREST`, terms of no file and terms of no template weigh as if they occurred in that share of the files, whatever the size
+of the table. Null and empty texts have no licence of their own but inherit; a null path has no directory. Of several
 licences of a directory, or equally near templates, the higher cosine and then the smaller name wins. Repeated rows are
 judged alike; other columns are ignored.
 """
@@ -23,6 +26,19 @@ from dealspark.llm.common import NOT_ALNUM, materialise, record, slices, split_w
 
 #: Fixed values: (licence, notice).
 TEMPLATES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Proprietary", "All rights reserved"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -36,6 +52,10 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 HEADER_COSINE, FILE_COSINE = 0.7, 0.7
+SHORT, SHORT_COSINE = 5, 0.95
+RAREST, SMOOTHING = 1e-3, 50
+#: Words of candidate windows that are compared at once.
+WINDOW_WORDS = 1 << 20
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 
 
@@ -50,6 +70,8 @@ class Templates:
         self.terms, inverse = np.unique(words.hashes(), return_inverse=True)
         self.tf = np.zeros((len(self.terms), len(self.names)))
         np.add.at(self.tf, (inverse, words.row), 1)
+        self.length = self.tf.sum(axis=0).astype(np.int64)
+        self.short = self.length < SHORT
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         slot = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
@@ -100,15 +122,54 @@ def _cosines(templates: Templates, weights: np.ndarray, idf: np.ndarray, most: f
     return out / np.maximum(norm, 1e-12)[:, None]
 
 
+def inverse_frequencies(n: int, df: np.ndarray) -> np.ndarray:
+    return 1 - np.log(np.maximum((df + RAREST * SMOOTHING) / (n + SMOOTHING), RAREST))
+
+
+def _window_cosines(templates: Templates, weights: np.ndarray, idf: np.ndarray, most: float, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of each row, the best cosine of its runs of a template's length to that template: rows x templates. The product is a
+    sum over positions; a sum of squares by position is at most the squared norm, so few windows need the exact cosine."""
+    n_rows = len(first) - 1
+    out = np.zeros((n_rows, len(templates.names)))
+    term = templates.lookup(hashes)
+    weight = np.append(idf, most)[term]
+    squares = np.concatenate([[0.0], np.cumsum(weight**2)])
+    parts = np.append(idf, 0.0)[term]
+    for t, length in enumerate(templates.length):
+        n = len(hashes) - length + 1
+        if n < 1:
+            continue
+        product = np.concatenate([[0.0], np.cumsum(parts * np.append(weights[:, t], 0.0)[term])])
+        least = (SHORT_COSINE if templates.short[t] else HEADER_COSINE) - 1e-6
+        close = np.flatnonzero(product[length:] - product[:n] >= least * np.sqrt(squares[length:] - squares[:n]))
+        row = np.searchsorted(first, close, "right") - 1
+        inside = close + length <= first[row + 1]
+        close, row = close[inside], row[inside]
+        step = max(1, WINDOW_WORDS // int(length))
+        for k in range(0, len(close), step):
+            at = close[k : k + step]
+            cosines = _cosines(templates, weights, idf, most, np.repeat(np.arange(len(at)), length), hashes[(at[:, None] + np.arange(length)).reshape(-1)], len(at))
+            np.maximum.at(out[:, t], row[k : k + step], cosines[:, t])
+    return out
+
+
 _OWN = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("header", pa.string()), ("header_cosine", pa.float64()), ("file_cosine", pa.float64()), ("whole", pa.string())])
 
 
+def _decided(templates: Templates, cosines: np.ndarray, least: float) -> np.ndarray:
+    """Short templates count with all their words only, and where no longer one is found."""
+    short = templates.short
+    longer = cosines[:, ~short].max(axis=1, initial=0.0) >= least
+    counts = (cosines >= SHORT_COSINE) & ~longer[:, None]
+    return np.where(short & ~counts, 0.0, cosines)
+
+
 def own_licences(files: DataFrame) -> DataFrame:
     """files: file_id long, path, text. Adds the best header and the whole text's best template, with cosines."""
     templates = Templates()
     n, df = term_frequencies(files, templates)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    most = float(np.log((n + 1) / 2) + 1)
+    idf = inverse_frequencies(n, df)
+    most = float(inverse_frequencies(n, np.zeros(1))[0])
     weights = templates.tf * idf[:, None]
     weights = weights / np.sqrt((weights**2).sum(axis=0))
     shared = files.sparkSession.sparkContext.broadcast((templates, weights, idf, most))
@@ -127,6 +188,8 @@ def own_licences(files: DataFrame) -> DataFrame:
             line_row = np.zeros(len(keys), np.int64)
             line_row[line_of] = row
             np.maximum.at(best, line_row, by_line)
+            best = _decided(templates, np.maximum(best, _window_cosines(templates, weights, idf, most, words.first, hashes)), HEADER_COSINE)
+            by_text = _decided(templates, by_text, FILE_COSINE)
             h, w = best.argmax(axis=1), by_text.argmax(axis=1)
             hc, wc = best.max(axis=1), by_text.max(axis=1)
             yield record(_OWN, batch.column("file_id"), batch.column("path").cast(pa.string()), np.where(hc >= HEADER_COSINE, templates.names[h], None), hc, wc, np.where(wc >= FILE_COSINE, templates.names[w], None))

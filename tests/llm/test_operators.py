@@ -229,6 +229,26 @@ def test_licences(spark):
     assert by == {1: ("MIT", "header", None), 2: ("MIT", "inherited", "a"), 3: ("GPL-3.0", "header", None), 4: (None, "none", None), 5: ("GPL-3.0", "file", None), 6: ("GPL-3.0", "inherited", "a/b/d"), 7: (None, "none", None), 8: (None, "none", None)}
 
 
+@pytest.mark.parametrize("n", [20, 3000])
+def test_wrapped_embedded_and_short_licences(spark, n):
+    mit = next(t for name, t in licenses.TEMPLATES if name == "MIT" and "NONINFRINGEMENT" in t)
+    gpl = next(t for name, t in licenses.TEMPLATES if name == "GPL-3.0" and t.startswith("This program"))
+    bsd = next(t for name, t in licenses.TEMPLATES if name == "BSD-3-Clause" and "disclaimer" in t)
+    wrap = lambda t, k: "\n".join("# " + " ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    rng = random.Random(11)
+    some = [words(rng, 30) for _ in range(8)]
+    texts = {
+        1: ("MIT", f"{some[0]}\n{wrap(mit, 9)}\n{some[1]}"), 2: ("GPL-3.0", f"{some[2]}\n{wrap(gpl, 6)}\n{some[3]}"),
+        3: ("MIT", f"{some[4]} Released under the MIT License {some[5]}"), 4: ("MIT", f"{some[6]}\n// Released under\n// the MIT License\n{some[7]}"),
+        5: ("Proprietary", "All rights reserved."), 6: ("Proprietary", f"{some[0]} (c) 2020 Acme. All rights\n reserved. {some[1]}"), 7: ("BSD-3-Clause", f"{some[2]}\nCopyright 2020 Acme. All rights reserved.\n{wrap(bsd, 8)}"),
+        8: (None, f"all rights of {some[3]}"), 9: (None, f"{some[4]} released under the old name {some[5]}"),
+    }
+    rows = [(i, f"d{i}/x.txt", t) for i, (_, t) in texts.items()] + [(100 + i, f"e{i}/x.txt", words(rng, 20)) for i in range(n)]
+    got = {r.file_id: r.licence for r in licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert {i: got[i] for i in texts} == {i: name for i, (name, _) in texts.items()}
+    assert not any(got[100 + i] for i in range(n))
+
+
 def test_licences_of_documents(spark, sf):
     got = {r.doc_id: r.licence for r in licenses.op5(documents(spark, sf)).collect()}
     for r in documents(spark, sf).collect():
