@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from dealspark.operators.relational import top_per_group
 
 #: Largest number of queries (or query terms) that is broadcast; beyond it Spark joins them by a shuffle.
 BROADCAST_QUERIES = 10_000
+#: Rows of a block of vectors and of a block of queries: bounds on what one task multiplies.
+BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -103,33 +106,50 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     return top_per_group(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
+def _blocks(rows: DataFrame, key: str, size: int, block: str) -> tuple[DataFrame, int]:
+    """Rows dealt to blocks of about `size` by a hash of their key, and the number of blocks."""
+    usable = rows.where(F.col(key).isNotNull() & F.col("v").isNotNull())
+    n = max(1, -(-usable.count() // size))
+    return usable.groupBy(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n)).alias(block)).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))).alias(f"{block}_rows")), n
+
+
+def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and the vectors of unit length as one matrix."""
+    flat = rows.flatten()
+    v = flat.field("v")
+    if pc.count_distinct(pc.list_value_length(v)).as_py() > 1:
+        raise ValueError("vectors differ in length")
+    m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return flat.field("id").to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
 def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """r11 at scale: cosine by one matrix product per Arrow batch. Queries are a bounded set that is broadcast (at most
-    BROADCAST_QUERIES); every batch returns its best k of each query, and the best of those stay."""
-    rows = queries.orderBy("qid").limit(BROADCAST_QUERIES + 1).toPandas()
-    if len(rows) > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries: search in blocks of them")
-    if not len(rows):
-        return queries.select("qid").limit(0).selectExpr("qid", "0L as id", "0D as score", "0 as rank")
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    shared = vectors.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(np.int64), unit(np.stack(rows["v"]).astype(np.float64))))
+    """r11 at scale: cosine by one matrix product of every block of queries with every block of vectors, dealt by the
+    latter's number. Every product returns its best k of each query, and the best of those stay. Rows without id or vector
+    take no part."""
+    of_queries, _ = _blocks(queries.select("qid", "v"), "qid", QUERY_ROWS, "q")
+    of_vectors, n = _blocks(vectors.select("id", "v"), "id", BLOCK_ROWS, "b")
+    dealt = of_queries.select("q_rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("b"))
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        qid, q = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ids = pdf["id"].to_numpy(np.int64)
-            scores = q @ unit(np.stack(pdf["v"]).astype(np.float64)).T
-            scores[qid[:, None] == ids[None, :]] = -np.inf
-            n = min(k, len(ids))
-            # rounded, with ties to the smaller id
-            keys = np.round(scores, 6)
-            best = np.lexsort((np.broadcast_to(ids, keys.shape), -keys), axis=1)[:, :n]
-            out = pd.DataFrame({"qid": np.repeat(qid, n), "id": ids[best].reshape(-1), "score": np.take_along_axis(keys, best, 1).reshape(-1)})
-            yield out[np.isfinite(out["score"])]
-
-    return top_per_group(vectors.select("id", "v").mapInPandas(run, "qid long, id long, score double"), ["qid"], [F.desc("score"), F.asc("id")], k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qid, q = _matrix(batch.column("q_rows").slice(i, 1))
+                ids, v = _matrix(batch.column("b_rows").slice(i, 1))
+                # rounded, with ties to the smaller id
+                scores = np.round(q @ v.T, 6)
+                scores[(qid[:, None] == ids[None, :]) | np.isnan(scores)] = -np.inf
+                cut = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                row, at = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
+                order = np.lexsort((ids[at], -scores[row, at], row))
+                row, at = row[order], at[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[best], at[best]
+                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[at]), pa.array(scores[row, at])], schema=schema)
+
+    hits = dealt.join(of_vectors, "b").select("q_rows", "b_rows").mapInArrow(run, "qid long, id long, score double")
+    return top_per_group(hits, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
 def hybrid_gated(keyword: DataFrame, vector: DataFrame, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ from dealspark.operators import chunking as K
 from dealspark.operators import classify as C
 from dealspark.operators import relational as R
 from dealspark.operators import retrieve as S
+from dealspark.plans import registry, retrieval  # noqa: F401  retrieval registers its queries
 from dealspark.sources import io as IO
 from dealspark.streaming import streams as ST
 
@@ -112,6 +113,24 @@ def test_knn_forms_agree(spark, sf):
     assert recall >= 0.9
 
 
+def test_knn_of_many_queries(spark, sf, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 60, raising=False)
+    monkeypatch.setattr(S, "QUERY_ROWS", 7, raising=False)
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    twins = e.where("id < 12").select((F.col("id") + 10_000).alias("id"), "v")
+    e = e.unionByName(twins).unionByName(twins.selectExpr("id + 100 as id", "v"))
+    q = e.where("id % 10 = 0").select(F.col("id").alias("qid"), "v")
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, r.score) for r in df.collect())
+    assert rows(S.knn(e, q, 5)) == rows(S.knn_blocks(e, q, 5))
+    assert S.knn_blocks(e, q.limit(0), 5).count() == S.knn_blocks(e.limit(0), q, 5).count() == 0
+
+
+def test_ann_searches_every_20th_vector(spark, sf):
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert registry.QUERIES["r12_ann"](spark, sf).select("qid").distinct().count() == n > 20
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.json").write_text('[{"company": "A", "date": "2024-02-03"}, {"date": "bad"}]')
     rows = IO.read_json_table(spark, str(tmp_path / "t.json"), "company string, date string", {"company": "?"}, ("date",)).collect()
