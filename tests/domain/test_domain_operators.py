@@ -1,6 +1,8 @@
 """Domain operators on hand rows: thresholds at their boundaries, nulls, empty and accented texts."""
 
 import datetime as dt
+import random
+import re
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ from dealspark.operators import chunking as K
 from dealspark.operators import classify as C
 from dealspark.operators import relational as R
 from dealspark.operators import retrieve as S
-from dealspark.plans import registry, retrieval  # noqa: F401  retrieval registers its queries
+from dealspark.plans import composite, registry, retrieval  # noqa: F401  they register their queries
 from dealspark.sources import io as IO
 from dealspark.streaming import streams as ST
 
@@ -131,6 +133,40 @@ def test_ann_searches_every_20th_vector(spark, sf):
     assert registry.QUERIES["r12_ann"](spark, sf).select("qid").distinct().count() == n > 20
 
 
+def test_deck_pipeline_equals_brute_force(spark, tmp_path):
+    """One record a document, from searches in its own chunks."""
+    rng = random.Random(4)
+    pool = "the tion ment que ung der cion los alpha beta gamma delta epsilon".split()
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([5, 40, 900, 2500]))) for _ in range(12)]
+    texts = [f"{t} Revenue: ${i + 1}M. {t} {i}% growth" for i, t in enumerate(texts)] + ["", "zeta " * 30, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in registry.QUERIES["m07_deck_pipeline"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    cleaned = {r.doc_id: r.text or "" for r in spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", X.clean_text(F.col("text"), ascii_only=False).alias("text")).collect()}
+    contexts = {}
+    for i, text in cleaned.items():
+        chunks = [t for _, t in K.paragraphs(text)]
+        split = [re.findall(r"[^\W\d_]+", c.lower()) for c in chunks]
+        mean = sum(map(len, split)) / max(1, len(split))
+        found = []
+        for _, theme in composite._THEMES:
+            scores = []
+            for pos, w in enumerate(split):
+                score = 0.0
+                for term in set(theme.split()):
+                    df, tf = sum(term in x for x in split), w.count(term)
+                    if tf:
+                        score += np.log(1 + (len(split) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+                scores.append((-round(score, 4), pos))
+            found += [chunks[p] for s, p in sorted(scores)[:2] if s < 0]
+        contexts[i] = list(dict.fromkeys(found))
+    assert {i: (r.chars, r.nodes) for i, r in got.items()} == {i: (len(cleaned[i]), len(contexts[i])) for i in got}
+    assert max(map(len, contexts.values())) > 2
+    m = C.mined_metrics(F.col("text"))
+    want = {r.doc_id: r for r in spark.createDataFrame([(i, "\n\n---\n\n".join(c)) for i, c in contexts.items()], "doc_id long, text string").select("doc_id", *[m[k].alias(k) for k in m]).collect()}
+    assert all(got[i][k] == want[i][k] for i in got for k in m) and len({got[i]["revenue"] for i in got}) > 5
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.json").write_text('[{"company": "A", "date": "2024-02-03"}, {"date": "bad"}]')
     rows = IO.read_json_table(spark, str(tmp_path / "t.json"), "company string, date string", {"company": "?"}, ("date",)).collect()
