@@ -5,9 +5,9 @@ hashed character trigrams. The network reads overlapping windows of words; atten
 logit, the highest logit of a document is calibrated to its score. The labels are of documents, so training picks the
 windows itself: the strongest of each toxic document against random and the strongest ones of the others.
 
-Training reads at most about `train_rows` labelled rows of each class, chosen by a hash of doc_id, and of each at most
-`TRAIN_WINDOWS` windows; scoring reads every window of every whole text. Null and empty texts and texts without a word get
-the calibrated score of no evidence (the share of toxic rows). Without rows of both labels that share is every score.
+Training reads at most about `train_rows` labelled rows of each class, chosen by a hash of doc_id; training, calibration and
+scoring read every window of every whole text. Null and empty texts and texts without a word get the calibrated score of no
+evidence (the share of toxic rows), and are never dropped. Without rows of both labels that share is every score.
 Repeated rows are scored alike; other columns are ignored.
 """
 
@@ -31,7 +31,6 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 CHAR_BUCKETS = 4096
 MAX_WORDS = 30_000
-TRAIN_WINDOWS = 256
 THRESHOLD = 0.3
 
 
@@ -246,13 +245,11 @@ def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = 300, bat
         return m
     vocab = _vocabulary(words, uniq, at, m.words)
     row, start, length = _windows(np.diff(words.first), words.first[:-1])
-    nth = start - words.first[row]
-    ok = nth < TRAIN_WINDOWS * STRIDE
-    row, start, length = row[ok], start[ok], length[ok]
     prior = np.zeros(len(uniq))
     prior[pick] = odds
-    idx_all = np.minimum(start[:, None] + np.arange(WINDOW)[None], len(inverse) - 1)
-    score = np.where(np.arange(WINDOW)[None] < length[:, None], prior[inverse[idx_all]], -9).max(axis=1).astype(np.float64)
+    score = np.full(len(start), -9.0)
+    for t in range(WINDOW):
+        score = np.where(t < length, np.maximum(score, prior[inverse[np.minimum(start + t, len(inverse) - 1)]]), score)
     step = 0
     for phase in range(3):
         best = np.full(len(y), -1)
@@ -351,9 +348,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str]
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that aren't predicted to be toxic, columns unchanged."""
+    """The rows of docs that aren't predicted to be toxic, and those without a word; columns unchanged."""
     judged = score(docs, model, docs.columns, ("_toxic_score", "_toxic"))
-    return judged.where(F.col("_toxic") == 0).select(*docs.columns)
+    worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    return judged.where((F.col("_toxic") == 0) | ~worded).select(*docs.columns)
 
 
 def op9(docs: DataFrame, labels: DataFrame, train_rows: int = 2000) -> DataFrame:

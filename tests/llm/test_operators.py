@@ -373,6 +373,31 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def test_toxicity_late_in_long_texts():
+    """The toxic words come after 6200 clean ones."""
+    rng = random.Random(12)
+    bodies = [words(rng, 6200, 600) for _ in range(12)]
+    texts, y = [], []
+    for i in range(360):
+        end = words(rng, 200, 600).split()
+        for w in ("vileword", "nastyone", "awfulish") if i % 3 == 0 else ():
+            end.insert(rng.randrange(len(end)), w)
+        texts.append(f"{rng.choice(bodies)} {' '.join(end)}")
+        y.append(int(i % 3 == 0))
+    model = toxicity.fit(texts[:240], np.array(y[:240]), 1 / 3)
+    got = toxicity.score_slice(model, pa.array(texts[240:], pa.large_string())) >= toxicity.THRESHOLD
+    assert (got == np.array(y[240:], bool)).mean() > 0.9
+
+
+def test_wordless_texts_are_not_dropped(spark):
+    rng = random.Random(13)
+    rows = [(i, words(rng, 20) + (" vileword" if i % 2 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([*rows, (900, ""), (901, None), (902, " ?! \n"), (903, "vileword")], "doc_id long, text string")
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, toxicity.train(docs, labels)).collect()}
+    assert {900, 901, 902} <= kept and 903 not in kept and len(kept) < 150
+
+
 def test_toxicity_without_labels(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.op9(odd, labels).collect()} == {0.0}
