@@ -1,28 +1,24 @@
-"""Repeated windows of a fixed number of tokens, found through sampled positions: what op2 and op7 share.
+"""Windows of a fixed number of tokens, found through sampled positions: what op2 and op7 share.
 
 A window of `width` tokens is filed under its anchor: the leftmost of the grams of `gram` tokens in it whose hash is
 smallest. Equal windows have equal anchors at equal distances, so each can be judged among the windows of its anchor
 alone. The neighbouring windows that share one anchor occurrence are a block; a document of n tokens has about
-2n / (width - gram + 2) blocks. Only blocks are shuffled:
+2n / (width - gram + 2) blocks. Only blocks are shuffled.
 
-1. Blocks are sorted by anchor, content and place. An anchor that occurs once drops out with its block; of a block that
-   occurs again as a whole every window is repeated; blocks that share an anchor but differ are contested.
-2. Contested blocks are read again from the documents and their windows compared one by one.
+A document is known by (doc, variant): doc is its doc_id (the largest long where that is null); variant is 0, or the text's
+hash where doc_id is null or stands over several texts. So rows of one doc_id and different texts are different documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealspark.llm.common import mix, powers, record
+from dealspark.llm.common import materialise, mix, powers
 
-BLOCKS = pa.schema([("anchor", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("done", pa.bool_())])
-BLOCKS_DDL = "anchor long, block long, doc_id long, place long, done boolean"
+#: A block's document and place in it.
+KEY = ("doc", "variant")
 #: place = first token << 16 | (windows - 1) << 8 | distance of the anchor from the first token; orders by first token.
 _BYTE = 255
 
@@ -97,218 +93,16 @@ def blocks(tokens: np.ndarray, first: np.ndarray, width: int, gram: int) -> tupl
     return grams[p].view(np.int64), content.view(np.int64), doc, s - first[doc], e - s + 1, p - s
 
 
-def settle(anchor: np.ndarray, block: np.ndarray, doc: np.ndarray, place: np.ndarray, keep_first: bool) -> pa.RecordBatch:
-    """BLOCKS of a slice, with what the slice alone decides: of equal blocks only the first is left for the comparison with
-    other slices, the others (without keep_first the first, too) are done: they are to go. So a block that is very
-    frequent costs a row per slice, not one per occurrence."""
-    order = np.lexsort((place, doc, block))
-    anchor, block, doc, place = anchor[order], block[order], doc[order], place[order]
-    new = np.ones(len(block), bool)
-    new[1:] = (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])
-    once = new.copy()
-    once[1:] |= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])  # a repeated row is one occurrence
-    anchor, block, doc, place, new = (c[once] for c in (anchor, block, doc, place, new))
-    group = np.cumsum(new) - 1
-    done = ~new if keep_first else np.bincount(group, minlength=1)[group] > 1 if len(group) else new
-    pick = lambda c: np.concatenate([c[new], c[done]])
-    return record(BLOCKS, pick(anchor), pick(block), pick(doc), pick(place), np.repeat([False, True], [new.sum(), done.sum()]))
-
-
-JUDGED = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("place", pa.int64()), ("again", pa.bool_())])
-JUDGED_DDL = "doc_id long, anchor long, place long, again boolean"
-
-
-class _Judge:
-    """Reads rows in the order of anchor, block, doc_id, place and tells which recur, holding two rows at most."""
-
-    def __init__(self, keep_first: bool):
-        self.keep_first = keep_first
-        self.last: tuple[int, int, int, int] | None = None
-        self.several = False
-        self.head: tuple[int, int] | None = None  # the anchor's only content so far
-        self.single: tuple[int, int] | None = None  # the block's only row so far
-
-    def read(self, anchor: np.ndarray, block: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        known = self.last is not None
-        was = self.last or (0, 0, 0, 0)
-        change = [np.empty(len(anchor), bool) for _ in range(4)]
-        for k, col in enumerate((anchor, block, doc, place)):
-            change[k][1:] = col[1:] != col[:-1]
-            change[k][:1] = not known or col[0] != was[k]
-        distinct = change[0] | change[1] | change[2] | change[3]  # a repeated row is one occurrence
-        anchor, block, doc, place = anchor[distinct], block[distinct], doc[distinct], place[distinct]
-        n = len(anchor)
-        if not n:
-            return record(JUDGED, [], [], [], [])
-        new_anchor = change[0][distinct]
-        head = new_anchor | change[1][distinct]
-        a_id, b_id = np.cumsum(new_anchor), np.cumsum(head)  # 0 goes on from before
-        contents = np.bincount(a_id, head, minlength=a_id[-1] + 1)
-        times = np.bincount(b_id, minlength=b_id[-1] + 1)
-        several = contents > 1
-        several[0] = self.several or contents[0] > 0
-        before: list[tuple[int, int, int, bool]] = []
-        if times[0] and self.single:
-            before.append((self.single[0], was[0], self.single[1], True))
-        if contents[0] and self.head:
-            before.append((self.head[0], was[0], self.head[1], False))
-        again = ~head if self.keep_first else (times > 1)[b_id] | (b_id == 0)
-        contested = head & several[a_id]
-        if before:
-            yield_before = [np.array(c) for c in zip(*before, strict=True)]
-        else:
-            yield_before = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-        out = record(
-            JUDGED,
-            np.concatenate([yield_before[0], doc[again], doc[contested]]),
-            np.concatenate([yield_before[1], anchor[again], anchor[contested]]),
-            np.concatenate([yield_before[2], place[again], place[contested]]),
-            np.concatenate([yield_before[3], np.ones(again.sum(), bool), np.zeros(contested.sum(), bool)]),
-        )
-        # what the next rows may still decide
-        last_head = np.flatnonzero(head)[-1] if head.any() else -1
-        if b_id[-1]:
-            self.single = None if self.keep_first or times[-1] > 1 else (int(doc[-1]), int(place[-1]))
-        elif times[0]:
-            self.single = None
-        if a_id[-1]:
-            self.head = None if several[-1] else (int(doc[last_head]), int(place[last_head]))
-        elif contents[0]:
-            self.head = None
-        self.several = bool(several[a_id[-1]])
-        self.last = (int(anchor[-1]), int(block[-1]), int(doc[-1]), int(place[-1]))
-        return out
-
-
-def judge(found: DataFrame, keep_first: bool) -> DataFrame:
-    """found: anchor, block, doc_id, place, done. Returns a row with again=true for each block that is to go as a whole (it
-    occurs elsewhere too; with keep_first: it has occurred before), and one with again=false for the first block of each
-    content whose anchor has several contents (contested). Tasks read sorted rows and hold two of them."""
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _Judge(keep_first)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            done = batch.column("done").to_numpy(zero_copy_only=False)
-            anchor, block, doc, place = (batch.column(k).to_numpy() for k in ("anchor", "block", "doc_id", "place"))
-            if not done.all():
-                yield judge.read(*(c[~done] for c in (anchor, block, doc, place)))
-            if done.any():
-                yield record(JUDGED, doc[done], anchor[done], place[done], done[done])
-
-    # rows that are done pass through, dealt evenly
-    key = F.when(F.col("done"), F.xxhash64("doc_id", "place")).otherwise(F.col("anchor"))
-    ordered = found.repartition(parts, key).sortWithinPartitions("done", "anchor", "block", "doc_id", "place")
-    return ordered.mapInArrow(run, JUDGED_DDL)
-
-
-#: Contested blocks of one anchor that a task compares at once; more are compared in parts, and then what the parts kept.
-GROUP_ROWS = 20_000
-_WINDOWS_DDL = "doc_id long, anchor long, place long, again boolean, hash long"
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("place", pa.int64()), ("again", pa.bool_()), ("hash", pa.int64())])
-
-
-def compare_windows(contents: DataFrame, ranks, keep_first: bool) -> DataFrame:
-    """contents: anchor, salt, parts, doc_id, place, content (of contested blocks, distinct within an anchor). Returns
-    doc_id, place of the runs of windows that are to go.
-
-    ranks(list of contents, windows of each) numbers the windows of all contents laid end to end: equal windows get equal
-    numbers, and hashes of the windows.
-    """
-    parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def some(batch: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(batch).combine_chunks()
-        get = lambda k: table.column(k).to_numpy()
-        anchor, salt, doc, place = (get(k) for k in ("anchor", "salt", "doc_id", "place"))
-        once = np.ones(len(doc), bool)
-        once[1:] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-        table = table.filter(pa.array(once))
-        anchor, salt, doc, place = anchor[once], salt[once], doc[once], place[once]
-        first, windows, distance = unpack_place(place)
-        number, hashes = ranks(table.column("content").to_pylist(), windows)
-        row = np.repeat(np.arange(len(doc)), windows)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        change = np.empty(len(doc), bool)
-        change[:1] = True
-        change[1:] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
-        key = np.cumsum(change)[row] * (int(number.max(initial=0)) + 1) + number
-        _, head, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        is_first = np.zeros(len(key), bool)
-        is_first[head] = True
-        again = ~is_first if keep_first else (times > 1)[inverse]
-        where = (first[row] + at) << 16
-        open_ = (get("parts")[row] > 1) & is_first
-        return record(_WINDOWS, np.concatenate([doc[row][again], doc[row][open_]]), np.concatenate([anchor[row][again], anchor[row][open_]]), np.concatenate([where[again], where[open_]]), np.concatenate([np.ones(again.sum(), bool), np.zeros(open_.sum(), bool)]), np.concatenate([hashes[again], hashes[open_]]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size >= GROUP_ROWS:
-                table = pa.Table.from_batches(held).combine_chunks()
-                anchor, salt = table.column("anchor").to_numpy(), table.column("salt").to_numpy()
-                change = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1]))
-                if len(change):
-                    cut = int(change[-1]) + 1
-                    yield some(table.slice(0, cut).to_batches())
-                    held = table.slice(cut).to_batches()
-                    size = len(table) - cut
-        if held:
-            yield some(held)
-
-    ordered = contents.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "place")
-    return ordered.mapInArrow(run, _WINDOWS_DDL)
-
-
-def repeated_spans(docs: DataFrame, find, content, ranks, keep_first: bool) -> DataFrame:
-    """Runs of repeated windows: doc_id, place (first token << 16 | (windows - 1) << 8).
-
-    docs: doc_id, text. find(batches) yields BLOCKS of a scan; content(text, place array) the contents of blocks of one
-    text; ranks as in compare_windows.
-    """
-    from dealspark.llm.common import materialise, slices
-
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    judged = materialise(judge(texts.mapInArrow(find, BLOCKS_DDL), keep_first))
-    contested = judged.where(~F.col("again")).select("doc_id", "anchor", "place")
-    # anchors with many contents: at most one in GROUP_ROWS contested rows
-    crowded = contested.groupBy("anchor").count().where(F.col("count") > GROUP_ROWS).select("anchor", F.ceil(F.col("count") / (GROUP_ROWS // 2)).cast("long").alias("parts"))
-    dealt = contested.join(crowded, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), "parts"))
-    wanted = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "salt", "parts", "place")).alias("blocks"))
-    schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int64()), ("parts", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("content", pa.binary())])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            for doc_id, text, blocks in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("blocks"), strict=True):
-                b = blocks.values
-                place = b.field("place").to_numpy()
-                yield record(schema, b.field("anchor"), b.field("salt"), b.field("parts"), np.full(len(place), doc_id), place, content(text, place))
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in read(batches):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 10_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    contents = texts.join(wanted, "doc_id").mapInArrow(gathered, "anchor long, salt long, parts long, doc_id long, place long, content binary")
-    windows = materialise(compare_windows(contents, ranks, keep_first))
-    over = windows.where(~F.col("again")).select("anchor", F.col("hash").alias("block"), "doc_id", "place")
-    # windows that the parts of crowded anchors kept: by anchor and window, so that no task meets a whole anchor
-    rest = judge(over.withColumn("anchor", F.xxhash64("anchor", "block")).withColumn("done", F.lit(False)), keep_first).where("again")
-    return judged.where("again").select("doc_id", "place").unionByName(windows.where("again").select("doc_id", "place")).unionByName(rest.select("doc_id", "place"))
+def known(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs with doc and variant in front; text and the columns in keep stay."""
+    rows = docs.select("doc_id", "text", *keep)
+    content = F.xxhash64("text")
+    several = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(content).alias("lo"), F.max(content).alias("hi")).where("lo <> hi")
+    # usually no row at all: its size is known once it is written, so it is broadcast only where it is small
+    several = materialise(several.select("doc_id", F.lit(True).alias("_several")))
+    own = F.col("_several") | F.col("doc_id").isNull()
+    marked = rows.join(several, "doc_id", "left")
+    return marked.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.when(own, F.xxhash64("doc_id", "text")).otherwise(F.lit(0)).cast("long").alias("variant"), *rows.columns)
 
 
 def merge_spans(place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

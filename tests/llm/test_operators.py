@@ -44,26 +44,28 @@ def documents(spark, sf):
 
 
 def unique_docs(rows):
-    return sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0])
+    """Distinct documents in order: a row that repeats doc_id and text is the same one."""
+    return sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is None, r[0] or 0))
 
 
 def brute_passages(docs, width=35):
-    seen, split = collections.Counter(), {i: (t or "").encode().split() for i, t in docs}
-    for w in split.values():
+    seen, split = collections.Counter(), [(i, (t or "").encode().split()) for i, t in docs]
+    for _, w in split:
         seen.update(tuple(w[k : k + width]) for k in range(len(w) - width + 1))
-    out = {}
-    for i, w in split.items():
+    out = set()
+    for i, w in split:
         gone = [False] * len(w)
         for k in range(len(w) - width + 1):
             if seen[tuple(w[k : k + width])] > 1:
                 gone[k : k + width] = [True] * width
-        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
+        out.add((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
     return out
 
 
 def brute_substrings(docs, width=100):
-    seen, out = set(), {}
-    for i, t in sorted(docs):
+    """docs: in order."""
+    seen, out = set(), set()
+    for i, t in docs:
         raw = (t or "").encode()
         gone = [False] * len(raw)
         for k in range(len(raw) - width + 1):
@@ -73,37 +75,81 @@ def brute_substrings(docs, width=100):
             seen.add(s)
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-        out[i] = (len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        out.add((i, len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
     return out
 
 
+def passages_of(df):
+    return {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in phrases.op2(df).collect()}
+
+
+def substrings_of(df):
+    return {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixarray.op7(df).collect()}
+
+
 @pytest.mark.parametrize("table", ["odd", "sf"])
 def test_passages(spark, sf, odd, odd_rows, table):
     df = odd if table == "odd" else documents(spark, sf)
     docs = unique_docs(odd_rows) if table == "odd" else [(r.doc_id, r.text) for r in df.collect()]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.op2(df).where("doc_id is not null").collect()}
-    assert got == brute_passages(docs)
+    assert passages_of(df) == brute_passages(docs)
+    assert phrases.op2(df).count() == df.count()
 
 
 @pytest.mark.parametrize("table", ["odd", "sf"])
 def test_substrings(spark, sf, odd, odd_rows, table):
     df = odd if table == "odd" else documents(spark, sf)
-    docs = unique_docs(odd_rows) if table == "odd" else [(r.doc_id, r.text) for r in df.collect()]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixarray.op7(df).where("doc_id is not null").collect()}
-    assert got == brute_substrings(docs)
-
-
-def test_crowded_anchors_are_compared_in_parts(spark, monkeypatch):
-    """A passage that hundreds of different documents share, with parts of a few rows."""
-    from dealspark.llm import repeats
-
-    monkeypatch.setattr(repeats, "GROUP_ROWS", 8)
+    docs = unique_docs(odd_rows) if table == "odd" else sorted((r.doc_id, r.text) for r in df.collect())
+    assert substrings_of(df) == brute_substrings(docs)
+    assert suffixarray.op7(df).count() == df.count()
+
+
+def test_texts_that_share_an_id(spark):
+    """Rows of one doc_id, or of none, with different texts are documents of their own."""
+    rng = random.Random(6)
+    a, short = words(rng, 80, 9999), "short text"
+    rows = [(1, a), (2, f"{a} x"), (1, short), (2, "short text " * 20), (None, a), (None, f"{words(rng, 40)} {a[:260]}"), (None, short), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages_of(df) == brute_passages(set(rows))
+    # the first of the lowest doc_id stays; later ones go whatever the order among rows of one id
+    got = substrings_of(df)
+    assert got == brute_substrings(unique_docs(rows)) and len(got) == 7
+
+
+def test_crowded_anchors_are_split(spark, monkeypatch):
+    """A passage that many different documents share, in parts of a few rows and automata of a few bytes."""
+    monkeypatch.setattr(suffixarray, "GROUP_ROWS", 8)
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(phrases, "STREAM_ROWS", 10)
     rng = random.Random(5)
     common = words(rng, 50, 9999)
     docs = [(i, f"{words(rng, 40)} {common} {words(rng, 40)}") for i in range(120)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.op2(df).collect()} == brute_passages(docs)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixarray.op7(df).collect()} == brute_substrings(docs)
+    assert passages_of(df) == brute_passages(docs)
+    assert substrings_of(df) == brute_substrings(docs)
+
+
+def test_automata_find_the_passages(spark, sf):
+    """Occurrences are those of the compiled passages and no others: with some of them left out, theirs are missing."""
+    automaton = phrases.Automaton([b"b c d", b"c d e f"])
+    assert automaton.covered(b"a b c  d e\nf b x c d e f b c d") == [(1, 6), (8, 15)] and phrases.Automaton([]).covered(b"a") == []
+    texts = phrases.known(documents(spark, sf))
+    live = phrases.materialise(phrases.find_blocks(texts, 35, 8))
+    passages = phrases.recurring_passages(texts, live, 35)
+    some = sorted(passages.collect(), key=lambda r: r.passage)[:3]
+    few = spark.createDataFrame([(r.anchor, r.passage) for r in some], "anchor long, passage binary")
+    got = collections.defaultdict(set)
+    for r in phrases.locate(texts, live, few, 35).collect():
+        got[r.doc].update(range(r.first, r.end))
+    want = collections.defaultdict(set)
+    for r in texts.collect():
+        split = (r.text or "").encode().split()
+        for p in some:
+            p = p.passage.split()
+            for k in range(len(split) - len(p) + 1):
+                if split[k : k + len(p)] == p:
+                    want[r.doc].update(range(k, k + len(p)))
+    assert want and got == want
+    assert phrases.locate(texts, live, few.limit(0), 35).count() == 0
 
 
 def test_doubling_ranks():
