@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealspark.llm.common import materialise, record, rolling, slices, split_words
+from dealspark.llm.common import discard, materialise, record, rolling, slices, split_words
 from dealspark.llm.repeats import KEY, blocks, known, pack_place, unpack_place
 
 WIDTH, GRAM = 35, 8
@@ -59,10 +59,13 @@ def _at_several():
 _CONTENTS = pa.schema([("anchor", pa.int64()), ("block", pa.int64()), ("whole", pa.bool_()), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
 
 
-def recurring_passages(texts: DataFrame, live: DataFrame, width: int) -> DataFrame:
-    """live: blocks of anchors that occur at several places. Returns anchor, passage (its words as they stand in one text)."""
-    contents = live.groupBy("anchor", "block").agg(*[F.first(k).alias(k) for k in _OCCURRENCE], _at_several().alias("whole"))
-    contents = materialise(contents)
+def distinct_blocks(live: DataFrame) -> DataFrame:
+    """live: blocks of anchors that occur at several places. One place of each, and whether it recurs as a whole."""
+    return live.groupBy("anchor", "block").agg(*[F.first(k).alias(k) for k in _OCCURRENCE], _at_several().alias("whole"))
+
+
+def recurring_passages(texts: DataFrame, contents: DataFrame, width: int) -> DataFrame:
+    """contents: distinct_blocks. Returns anchor, passage (its words as they stand in one text)."""
     # where a block occurs once only, others of its anchor differ from it: windows are compared
     mixed = contents.where(~F.col("whole")).select("anchor").distinct().withColumn("open", F.lit(True))
     wanted = contents.join(mixed, "anchor", "left").select("anchor", "block", *_OCCURRENCE, "whole", F.coalesce("open", F.lit(False)).alias("open"))
@@ -103,7 +106,10 @@ def recurring_passages(texts: DataFrame, live: DataFrame, width: int) -> DataFra
                     passages.append(b" ".join(words[run[0] : run[-1] + width]))
             yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(passages, pa.binary())], ["anchor", "passage"])
 
-    return pieces.where("whole").select("anchor", F.col("text").alias("passage")).unionByName(part.mapInArrow(cut, "anchor long, passage binary"))
+    passages = pieces.where("whole").select("anchor", F.col("text").alias("passage")).unionByName(part.mapInArrow(cut, "anchor long, passage binary"))
+    passages = materialise(passages.distinct())
+    discard(pieces)
+    return passages
 
 
 class Automaton:
@@ -134,24 +140,41 @@ class Automaton:
         return runs
 
 
+def needed(starts: list[int], ends: list[int], whole: list[bool]) -> list[int]:
+    """Which pieces of a text must be streamed: all but those that recur as a whole and lie under other such pieces."""
+    out = [i for i, w in enumerate(whole) if not w]
+    order = sorted((i for i, w in enumerate(whole) if w), key=lambda i: (starts[i], -ends[i]))
+    done, best = -1, -1  # words before `done` are covered; `best` reaches furthest of the pieces that start before it
+    for i in order:
+        if best >= 0 and starts[i] > done:
+            out.append(best)
+            done, best = ends[best], -1
+        if starts[i] > done:
+            out.append(i)
+            done = ends[i]
+        elif ends[i] > done and (best < 0 or ends[i] > ends[best]):
+            best = i
+    return out + [best] * (best >= 0)
+
+
 _PIECE = pa.schema([("shard", pa.int64()), ("deal", pa.int32()), ("side", pa.int32()), ("text", pa.binary()), ("at", pa.list_(pa.struct([("doc", pa.int64()), ("variant", pa.int64()), ("first", pa.int64())])))])
 PIECE = "shard long, deal int, side int, text binary, at array<struct<doc:long,variant:long,first:long>>"
 _HIT = pa.schema([(k, pa.int64()) for k in ("doc", "variant", "first", "end")])
 
 
 def locate(texts: DataFrame, live: DataFrame, passages: DataFrame, width: int) -> DataFrame:
-    """Streams the texts through the automata: doc, variant, first, end of runs of words under passages."""
+    """live: blocks, with whole. Streams the texts through the automata: doc, variant, first, end of runs of words under
+    passages."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    passages = materialise(passages.distinct())
     size = passages.agg(F.coalesce(F.sum(F.octet_length("passage")), F.lit(0)).alias("n")).first()["n"]
     shards = F.lit(max(1, -(-size // (SHARD_BYTES // 4))))
     shard = F.pmod(F.xxhash64("anchor"), shards).alias("shard")
-    routes = live.join(passages.select("anchor").distinct(), "anchor", "left_semi").select(shard, *_OCCURRENCE)
+    routes = live.join(passages.select("anchor").distinct(), "anchor", "left_semi").select(shard, *_OCCURRENCE, "whole")
     # how a shard is split: by passages (pk) and by pieces (sk)
     weight = passages.groupBy(shard).agg(F.ceil(F.sum(F.octet_length("passage")) / SHARD_BYTES).cast("int").alias("pk"))
     grid = materialise(weight.join(routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("sk")), "shard"))
-    routes = routes.join(grid, "shard").groupBy(*KEY).agg(F.collect_list(F.struct("shard", "pk", "sk", "place")).alias("routes"))
+    routes = routes.join(grid, "shard").groupBy(*KEY).agg(F.collect_list(F.struct("shard", "pk", "sk", "place", "whole")).alias("routes"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE):
@@ -161,6 +184,8 @@ def locate(texts: DataFrame, live: DataFrame, passages: DataFrame, width: int) -
             start, windows, _ = unpack_place(r.field("place").to_numpy())
             lo = words.first[row] + start
             hi = lo + windows - 1 + width
+            chosen = np.array(needed(lo.tolist(), hi.tolist(), r.field("whole").to_pylist()), np.int64)
+            r, row, start, lo, hi = r.take(pa.array(chosen)), row[chosen], start[chosen], lo[chosen], hi[chosen]
             doc, variant = (batch.column(k).to_numpy()[row].tolist() for k in KEY)
             # equal pieces of a slice are streamed once
             same: dict[tuple, list] = {}
@@ -207,7 +232,13 @@ def occurrences(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     # an anchor that occurs at one place has no recurring window
     several = found.groupBy("anchor").agg(_at_several().alias("several")).where("several").select("anchor")
     live = materialise(found.join(several, "anchor", "left_semi"))
-    return locate(texts, live, recurring_passages(texts, live, width), width)
+    discard(found)
+    contents = materialise(distinct_blocks(live))
+    passages = recurring_passages(texts, contents, width)
+    marked = live.join(contents.select("anchor", "block", "whole"), ["anchor", "block"])
+    hits = materialise(locate(texts, marked, passages, width))
+    discard(live, contents, passages)
+    return hits
 
 
 def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_kept: bool = True, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
@@ -216,8 +247,8 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_
     named in keep, as keep_0, keep_1, ..."""
     aliases = [f"keep_{i}" for i in range(len(keep))]
     rows = known(docs.select("doc_id", "text", *[F.col(f"`{k}`").alias(a) for k, a in zip(keep, aliases, strict=True)]), *aliases)
-    hits = materialise(occurrences(rows, width, gram))
-    found = hits.groupBy(*KEY).agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    found = occurrences(rows, width, gram)
+    found = found.groupBy(*KEY).agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     joined = rows.join(found, list(KEY), "left").select("doc_id", "text", "runs", *aliases)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dealspark.llm import decontaminate, langid, licenses, neardup, packing, phrases, suffixarray, topk, toxicity, urlfilter
 
@@ -133,8 +134,8 @@ def test_automata_find_the_passages(spark, sf):
     automaton = phrases.Automaton([b"b c d", b"c d e f"])
     assert automaton.covered(b"a b c  d e\nf b x c d e f b c d") == [(1, 6), (8, 15)] and phrases.Automaton([]).covered(b"a") == []
     texts = phrases.known(documents(spark, sf))
-    live = phrases.materialise(phrases.find_blocks(texts, 35, 8))
-    passages = phrases.recurring_passages(texts, live, 35)
+    live = phrases.materialise(phrases.find_blocks(texts, 35, 8)).withColumn("whole", F.lit(False))
+    passages = phrases.recurring_passages(texts, phrases.distinct_blocks(live), 35)
     some = sorted(passages.collect(), key=lambda r: r.passage)[:3]
     few = spark.createDataFrame([(r.anchor, r.passage) for r in some], "anchor long, passage binary")
     got = collections.defaultdict(set)
@@ -152,6 +153,16 @@ def test_automata_find_the_passages(spark, sf):
     assert phrases.locate(texts, live, few.limit(0), 35).count() == 0
 
 
+def test_needed_pieces_cover_the_same_words():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans = [(s := rng.randrange(120), s + rng.randrange(5, 30), rng.random() < 0.8) for _ in range(rng.randrange(1, 25))]
+        starts, ends, whole = map(list, zip(*spans))
+        some = phrases.needed(starts, ends, whole)
+        cover = lambda which: {w for i in which if whole[i] for w in range(starts[i], ends[i])}
+        assert cover(some) == cover(range(len(spans))) and {i for i, w in enumerate(whole) if not w} <= set(some) and len(set(some)) == len(some)
+
+
 def test_doubling_ranks():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 2, 600).astype(np.uint8)
