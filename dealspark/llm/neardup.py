@@ -5,13 +5,14 @@ times an inverse document frequency over all documents, counted in 2**18 hashed
 whatever the input. Samples agree with the probability of the weighted Jaccard similarity; bands of two samples give the
 candidates, and pairs of texts are verified by their exact weighted Jaccard similarity.
 
-Copies of the same word sequence are one node. In a bucket of candidates every text is first verified against the smallest
-doc_id; buckets whose texts are then still in different classes are compared in full, blocks of texts against blocks, and
-only links that join classes leave a task. So no pairs are written out, and no link between different texts is left out
-but by the chance of the bands (1 in 25000 at the threshold).
+Copies of the same word sequence are one node. In a bucket of candidates every text is first verified against one of them;
+buckets whose texts are then still in different classes are compared in full, blocks of texts against blocks of other
+classes, and only links that join classes leave a task. So no pairs are written out, and no link between different texts is
+left out but by the chance of the bands (1 in 25000 at the threshold).
 
 A document's class is the smallest doc_id it is linked to, directly or through others. Null, empty and wordless texts are
-alone in their class; a null doc_id gets a null class. Repeated rows share a class; other columns are ignored.
+alone in their class; a null doc_id takes no part and gets a null class. Repeated rows share a class; rows of one doc_id and
+different texts are documents of their own, each in its text's class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealspark.llm.common import NOT_ALNUM, materialise, mix, powers, record, slices, split_words
+from dealspark.llm.common import NOT_ALNUM, discard, materialise, mix, powers, record, slices, split_words
+from dealspark.llm.repeats import KEY, known
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -135,11 +137,11 @@ def samples(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray, rows: int)
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([(k, pa.int64()) for k in (*KEY, "c1", "c2", "size")] + [("bands", pa.list_(pa.int64()))])
 
 
 def sign(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, content hash (c1, c2) and bands of the documents that have words."""
+    """docs: doc, variant, text. Adds content hash (c1, c2), bytes and bands, for the documents that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -151,11 +153,12 @@ def sign(docs: DataFrame, idf) -> DataFrame:
             for b in range(BANDS):
                 for j in range(ROWS):
                     bands[:, b] = mix(bands[:, b] * np.uint64(31) + sig[:, b * ROWS + j] + np.uint64(b))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[some]
+            keys = [batch.column(k).to_numpy()[some] for k in KEY]
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)[some].astype(np.int64)
             flat = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * BANDS, pa.array(bands.reshape(-1).view(np.int64)))
-            yield record(_SIGNED, ids, content[some, 0].view(np.int64), content[some, 1].view(np.int64), flat)
+            yield record(_SIGNED, *keys, content[some, 0].view(np.int64), content[some, 1].view(np.int64), sizes, flat)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
+    return docs.select(*KEY, "text").mapInArrow(run, "doc long, variant long, c1 long, c2 long, size long, bands array<long>")
 
 
 def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -174,9 +177,9 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """pairs: u, v (distinct rows). Those of them whose texts are similar enough."""
-    left = docs.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    right = docs.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
+    """pairs: u, v (distinct rows); docs: node, text. Those of them whose texts are similar enough."""
+    left = docs.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
+    right = docs.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_v", 1 << 20):
@@ -244,21 +247,28 @@ def _spanning(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
 
 
 def compare_buckets(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """members: bucket, doc_id, label. Compares exactly all texts of a bucket that are in different classes, in blocks of
-    bounded rows and bytes, and returns links (u, v) that connect what is similar."""
-    open_ = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rows = members.join(open_, "bucket", "left_semi").join(texts.select("doc_id", "text"), "doc_id")
-    rows = materialise(rows.withColumn("size", F.length("text")))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CHARS)).cast("int")
-    placed = rows.join(rows.groupBy("bucket").agg(blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a block meets itself (side 2) and each other one (sides 0 and 1)
-    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = meets.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side.alias("side"), "doc_id", "label", "text")
+    """members: bucket, node, size, label; texts: node, text. Compares exactly all texts of a bucket that are in different
+    classes, in blocks of bounded rows and bytes, and returns links (u, v) that connect what is similar. A class that fills
+    a block has blocks of its own, which don't meet each other; smaller ones share blocks."""
+    open_ = materialise(members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"))
+    rows = materialise(members.join(open_, "bucket", "left_semi"))
+    size = (F.count("*") / BLOCK_ROWS).alias("rows"), (F.sum("size") / BLOCK_CHARS).alias("bytes")
+    large = rows.groupBy("bucket", "label").agg(*size).where("rows >= 0.5 or bytes >= 0.5").select("bucket", "label", F.col("label").alias("own"))
+    rows = materialise(rows.join(large, ["bucket", "label"], "left"))
+    groups = materialise(rows.groupBy("bucket", "own").agg(*size).select("bucket", "own", F.ceil(F.greatest("rows", "bytes")).cast("int").alias("blocks")))
+    name = lambda own, nth: F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("")), nth.cast("string"))
+    here = groups.withColumnsRenamed({"own": "own_", "bucket": "bucket_"})
+    placed = rows.join(here, (F.col("bucket") == F.col("bucket_")) & F.col("own").eqNullSafe(F.col("own_"))).select("bucket", "own", "node", "label", name(F.col("own"), F.pmod(F.xxhash64("node"), "blocks")).alias("block"))
+    others = groups.select("bucket", F.col("own").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("nth")).select("bucket", "of", name(F.col("of"), F.col("nth")).alias("other"))
+    # a block meets itself (side 2) and each block of other classes (sides 0 and 1)
+    meets = placed.join(others, "bucket").where(F.col("own").isNull() | F.col("of").isNull() | (F.col("own") != F.col("of")))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    meets = meets.select("bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), side.alias("side"), "node", "label")
+    dealt = meets.join(texts.select("node", "text"), "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        ids, labels, sides = (pdf[c].to_numpy() for c in ("doc_id", "label", "side"))
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        ids, labels, sides = (pdf[c].to_numpy() for c in ("node", "label", "side"))
         row, hashes, tf, _ = shingles(pa.array(pdf["text"].tolist(), pa.large_string()))
         total = np.bincount(row, tf * idf.value[_bucket(hashes)].astype(np.float64), minlength=len(ids))
         both = intersections(row, hashes, tf, idf.value, len(ids))
@@ -271,34 +281,52 @@ def compare_buckets(members: DataFrame, texts: DataFrame, idf, threshold: float)
     return dealt.groupBy("bucket", "a", "b").applyInPandas(compare, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """docs: doc_id long, text. Returns doc_id, class_id (the smallest doc_id of the class)."""
-    spark = docs.sparkSession
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    signed = materialise(sign(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), idf))
-    nodes = materialise(signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    filed = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = filed.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("bucket", "u")
-    members = materialise(filed.join(heads, "bucket").select("bucket", "u", F.col("node").alias("v")))
-    texts = docs.select("doc_id", "text")
+def classes(rows: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """rows: doc, variant, text. Returns doc, variant and the first row of its class (first_doc, first_variant), for texts
+    that have words."""
+    spark = rows.sparkSession
+    idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
+    node = F.when(F.col("variant") == 0, F.col("doc")).otherwise(F.col("variant")).alias("node")
+    texts = rows.where(F.col("text").isNotNull())
+    signed = materialise(sign(texts, idf))
+    # one row stands for all of the same words
+    nodes = materialise(signed.groupBy("c1", "c2").agg(F.min(node).alias("node"), F.min(F.struct(*KEY)).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    texts = texts.select(node, "text")
+    filed = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    # heads are written first, so that the join reads them by a shuffle of its own and splits frequent buckets
+    heads = materialise(filed.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").select("bucket", "u"))
+    members = materialise(filed.join(heads, "bucket").select("bucket", "u", F.col("node").alias("v"), "size"))
     stars = members.where("u <> v").select("u", "v").distinct()
     linked = materialise(verify(stars, texts, idf, threshold).distinct())
     labels = materialise(components(linked))
-    tagged = members.join(labels, members["v"] == labels["node"], "left").select("bucket", F.col("v").alias("doc_id"), F.coalesce("label", "v").alias("label"))
+    tagged = members.join(labels, members["v"] == labels["node"], "left").select("bucket", F.col("v").alias("node"), "size", F.coalesce("label", "v").alias("label"))
     more = materialise(compare_buckets(tagged, texts, idf, threshold))
+    discard(members, heads)
     labels = components(linked.unionByName(more))
-    classes = nodes.join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("class_id"))
-    found = signed.join(classes, ["c1", "c2"]).select("doc_id", "class_id").distinct()
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    placed = materialise(nodes.join(labels, "node", "left").select("c1", "c2", "first", F.coalesce("label", "node").alias("label")))
+    firsts = materialise(placed.groupBy("label").agg(F.min("first").alias("first")))
+    found = materialise(placed.drop("first").join(firsts, "label").select("c1", "c2", "first"))
+    return signed.join(found, ["c1", "c2"]).select(*KEY, F.col("first.doc").alias("first_doc"), F.col("first.variant").alias("first_variant")).distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """docs: doc_id long, text. Returns doc_id, class_id (the smallest doc_id of the class)."""
+    rows = known(docs.where(F.col("doc_id").isNotNull()))
+    found = rows.drop("text").join(classes(rows, threshold), list(KEY), "left").select("doc_id", F.coalesce("first_doc", "doc_id").alias("class_id"))
+    return found.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose class has a smaller doc_id, columns unchanged; a repeated row stays once, rows of
-    null doc_id stay."""
-    classes = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    first = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("class_id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """docs without the documents whose class has a smaller one (by doc_id, then a hash of the text), columns unchanged; a
+    repeated row stays once, rows of null doc_id stay."""
+    names = {c: f"keep_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+    rows = known(own.where(F.col("doc_id").isNotNull()), *names.values())
+    joined = rows.join(classes(rows), list(KEY), "left")
+    first = F.col("first_doc").isNull() | ((F.col("first_doc") == F.col("doc")) & (F.col("first_variant") == F.col("variant")))
+    kept = joined.where(first).dropDuplicates(list(KEY)).select(*names.values())
+    kept = kept.unionByName(own.where(F.col("doc_id").isNull()).select(*names.values()))
+    return kept.withColumnsRenamed({a: c for c, a in names.items()})
 
 
 def op1(docs: DataFrame) -> DataFrame:

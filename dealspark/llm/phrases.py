@@ -170,7 +170,7 @@ def locate(texts: DataFrame, live: DataFrame, passages: DataFrame, width: int) -
     size = passages.agg(F.coalesce(F.sum(F.octet_length("passage")), F.lit(0)).alias("n")).first()["n"]
     shards = F.lit(max(1, -(-size // (SHARD_BYTES // 4))))
     shard = F.pmod(F.xxhash64("anchor"), shards).alias("shard")
-    routes = live.join(passages.select("anchor").distinct(), "anchor", "left_semi").select(shard, *_OCCURRENCE, "whole")
+    routes = live.join(passages.select("anchor"), "anchor", "left_semi").select(shard, *_OCCURRENCE, "whole")
     # how a shard is split: by passages (pk) and by pieces (sk)
     weight = passages.groupBy(shard).agg(F.ceil(F.sum(F.octet_length("passage")) / SHARD_BYTES).cast("int").alias("pk"))
     grid = materialise(weight.join(routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("sk")), "shard"))
@@ -230,9 +230,10 @@ def occurrences(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     texts = texts.where(F.col("text").isNotNull())
     found = materialise(find_blocks(texts, width, gram))
     # an anchor that occurs at one place has no recurring window
-    several = found.groupBy("anchor").agg(_at_several().alias("several")).where("several").select("anchor")
+    # (written first, so that the join reads it by a shuffle of its own and splits frequent anchors)
+    several = materialise(found.groupBy("anchor").agg(_at_several().alias("several")).where("several").select("anchor"))
     live = materialise(found.join(several, "anchor", "left_semi"))
-    discard(found)
+    discard(found, several)
     contents = materialise(distinct_blocks(live))
     passages = recurring_passages(texts, contents, width)
     marked = live.join(contents.select("anchor", "block", "whole"), ["anchor", "block"])

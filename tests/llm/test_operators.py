@@ -210,6 +210,20 @@ def test_near_duplicate_chain_and_odd_rows(spark, odd):
     assert ids.count(7) == 1 and 6 not in ids and ids.count(None) == 2
 
 
+def test_near_duplicates_that_share_an_id(spark, monkeypatch):
+    """Texts of one doc_id are classed apart; blocks of a few rows give the same links."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
+    rng = random.Random(14)
+    a, b = words(rng, 200, 9999), words(rng, 200, 9999)
+    near = lambda t, k: " ".join(f"n{k}" if i == 10 * k else w for i, w in enumerate(t.split()))
+    rows = [(1, a), (1, b), (2, near(b, 1)), (3, near(a, 2)), (1, a), (5, f"{b} tail")] + [(10 + k, near(a, k % 15)) for k in range(20)] + [(40 + k, near(b, k % 15)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.class_id) for r in neardup.op1(df).collect())
+    assert got == collections.Counter((i, 1) for i, _ in rows)
+    kept = neardup.keep_one(df.withColumn("doc", F.lit("x")).withColumn("_several", F.lit(True)))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (1, b)]) and kept.columns == ["doc_id", "text", "doc", "_several"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (105, 101), (200, 203), (203, 202), (202, 201)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
