@@ -11,7 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -58,6 +59,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sampled(share: Column | float, *keys: str) -> Column:
+    """Whether a row is among the share (0 to 1) that a hash of keys picks, to a precision of 53 bits."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 11) < (share if isinstance(share, Column) else F.lit(share)) * float(1 << 53)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix."""
     h = h.astype(np.uint64, copy=True)

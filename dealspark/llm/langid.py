@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts come from a bounded sample of labelled rows (`train_rows` of each language, chosen by a hash of doc_id). The
+Counts come from a bounded sample of labelled rows (`train_rows` of each language, chosen by a hash of doc_id and text). The
 log-probability matrix (orders x 2**bits x languages floats, at most `MAX_LANGUAGES` languages) is broadcast, and tasks
 score whole texts in numpy. Null texts and texts without a letter are `und` with score 0. Repeated rows are scored alike;
 ties go to the smaller language name; without any labelled row everything is `und`. Other columns are ignored.
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealspark.llm.common import record, slices
+from dealspark.llm.common import record, sampled, slices
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -83,7 +83,7 @@ def train(docs: DataFrame, train_rows: int = 5000, partitions: int = 8) -> tuple
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, min(1.0, train_rows / sizes[lang])).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    sample = labelled.where(sampled(share, "doc_id", "text"))
     counted = sample.select("text", "lang").repartition(partitions).mapInArrow(_count, "lang string, bucket int, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((len(ORDERS) << BITS, len(langs)))

@@ -219,5 +219,5 @@ def scan(files: DataFrame) -> DataFrame:
 
 def op5(docs: DataFrame) -> DataFrame:
     """Documents as files: source and language are directories."""
-    path = F.concat_ws("/", F.lit("corpus"), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.lit("corpus"), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")))
     return scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")

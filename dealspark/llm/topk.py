@@ -4,7 +4,7 @@ Vectors are ordered by length and cut into buckets. A lower bound of each query'
 longest vectors. With it every (query block, bucket) pair gets a local cosine threshold per query: above 1 the bucket is
 skipped; a high threshold prunes by the query's largest coordinate, a lower one by length; what is left is multiplied out.
 Vectors that are null or hold null, NaN or infinite components take no part; shorter ones count as padded with zeros. Ties
-go to the smaller vec_id. Repeated rows each count. Empty tables give an empty result; other columns are ignored.
+go to the smaller vec_id. Repeated rows each count as candidates; rows of one query's vec_id are one query, their hits merged. Empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from dealspark.llm.common import materialise
 
 #: Rows of a bucket and of a query block: bounds on what one task holds.
 BUCKET_ROWS, QUERY_ROWS = 8192, 512
+#: Query blocks whose best hits a task holds at once.
+HELD_BLOCKS = 64
 #: From this local cosine on, pruning by coordinate is tried.
 COORDINATE_FROM = 0.7
 
@@ -143,8 +145,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = vectors.withColumn("l", -length)
-    buckets = materialise(ordered.repartitionByRange(min(parts, 64), "l").sortWithinPartitions("l", "vec_id").select("vec_id", "v").mapInPandas(_pack(BUCKET_ROWS), BLOCK))
-    blocks = materialise(queries.repartition(min(parts, 16)).mapInPandas(_pack(QUERY_ROWS), BLOCK))
+    buckets = materialise(ordered.repartitionByRange(parts, "l").sortWithinPartitions("l", "vec_id").select("vec_id", "v").mapInPandas(_pack(BUCKET_ROWS), BLOCK))
+    blocks = materialise(queries.repartition(parts).mapInPandas(_pack(QUERY_ROWS), BLOCK))
     first = buckets.orderBy(F.desc("longest"), "block").limit(1)
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,26 +162,40 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 for i in np.flatnonzero(enough):
                     s = scores[i][~own[i]]
                     low[i] = np.partition(s, len(s) - k)[len(s) - k]
-                yield pd.DataFrame({"block": [r.block], "dims": [r.dims], "ids": [r.ids], "matrix": [r.matrix], "bounds": [low.tobytes()]})
+                # the shortest vector that can reach some query's bound
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    least = np.where(low > 0, low / np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)), 0.0)
+                yield pd.DataFrame({"block": [r.block], "bounds": [low.tobytes()], "shortest": [float(np.nan_to_num(least, nan=0.0).min()) * (1 - 1e-9)]})
 
     named = first.select(F.col("dims").alias("vdims"), F.col("ids").alias("vids"), F.col("matrix").alias("vmatrix"), F.lit(0).alias("on"))
     # one bucket row (at most BUCKET_ROWS vectors) meets every query block
-    bounded = blocks.withColumn("on", F.lit(0)).join(F.broadcast(named), "on").mapInPandas(bound, "block long, dims int, ids binary, matrix binary, bounds binary")
+    bounded = materialise(blocks.withColumn("on", F.lit(0)).join(F.broadcast(named), "on").mapInPandas(bound, "block long, bounds binary, shortest double"))
+
+    # which (query block, bucket) pairs can hold a hit: by numbers alone, before any vector is shipped
+    reach = buckets.select(F.col("block").alias("target"), "longest")
+    pairs = bounded.select("block", "shortest").join(reach, F.col("longest") >= F.col("shortest")).select("block", "target")
+    targets = buckets.select(F.col("block").alias("target"), F.col("dims").alias("vdims"), F.col("ids").alias("vids"), F.col("matrix").alias("vmatrix"))
+    asked = pairs.join(blocks.select("block", "dims", "ids", "matrix"), "block").join(bounded.select("block", "bounds"), "block")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Keeps the k best of every query over the buckets of a task; of many query blocks, some at a time."""
+        best: dict[int, pd.DataFrame] = {}
         for batch in batches:
             for r in batch.itertuples():
                 width = max(r.dims, r.vdims)
                 qids, q = _unpack(r.ids, r.matrix, r.dims, width)
                 vids, v = _unpack(r.vids, r.vmatrix, r.vdims, width)
                 found = search_block(qids, q, np.frombuffer(r.bounds, np.float64), vids, v, k)
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    targets = buckets.select(F.col("block").alias("target"), F.col("dims").alias("vdims"), F.col("ids").alias("vids"), F.col("matrix").alias("vmatrix"))
-    # the stated query set against all buckets: every query block is dealt once to each bucket's key
-    keys = buckets.select(F.col("block").alias("target")).withColumn("on", F.lit(0))
-    dealt = materialise(bounded).withColumn("on", F.lit(0)).join(keys, "on").drop("on")
-    hits = dealt.join(targets, "target").mapInPandas(search, "query_id long, vec_id long, score long")
+                hits = pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+                hits = pd.concat([best.get(r.block, hits.iloc[:0]), hits]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+                best[r.block] = hits[hits.groupby("query_id").cumcount() < k]
+                if len(best) > HELD_BLOCKS:
+                    yield pd.concat(best.values())
+                    best = {}
+        if best:
+            yield pd.concat(best.values())
+
+    hits = asked.join(targets, "target").mapInPandas(search, "query_id long, vec_id long, score long")
     best = hits.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 

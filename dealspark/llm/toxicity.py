@@ -1,9 +1,11 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is its own embedding (words of the training sample; others share one) beside the mean embedding of its
-hashed character trigrams. The network reads overlapping windows of words; attention pools its states into a window's
-logit, the highest logit of a document is calibrated to its score. The labels are of documents, so training picks the
-windows itself: the strongest of each toxic document against random and the strongest ones of the others.
+hashed character n-grams. The network reads overlapping windows of words; attention pools its states into a window's
+logit, the highest logit of a document is calibrated to its score. All weights start at random. The labels are of
+documents, so training picks the windows itself: in each phase those that the network so far finds strongest, from a falling
+share of each toxic document's, against random and the strongest ones of the others. A fifth of the rows is set aside: the
+phase that ranks it best is kept, and the scores are calibrated on it (on all rows where it holds few toxic ones).
 
 Training reads at most about `train_rows` labelled rows of each class, chosen by a hash of doc_id; training, calibration and
 scoring read every window of every whole text. Null and empty texts and texts without a word get the calibrated score of no
@@ -24,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealspark.llm.common import NOT_ALNUM, Words, mix, record, slices, split_words
+from dealspark.llm.common import NOT_ALNUM, Words, mix, sampled, slices, split_words
 from dealspark.llm.langid import is_held_out
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
-CHAR_BUCKETS = 4096
-MAX_WORDS = 30_000
+CHAR_ORDERS, CHAR_BUCKETS = (3, 5), 1 << 14
+#: Training: phases of so many steps; share of words hidden in a step; weight decay of embeddings; toxic rows set aside that
+#: suffice for calibration.
+PHASES, STEPS, HIDE, DECAY, ENOUGH = 6, 80, 0.3, 2.0, 20
 THRESHOLD = 0.3
 
 
@@ -55,7 +59,7 @@ class Model:
 
 @dataclass
 class Vocabulary:
-    """Distinct words of a slice: the model's word number (0: unknown) and the trigram buckets of each."""
+    """Distinct words of a slice: the model's word number (0: unknown) and the n-gram buckets of each."""
 
     ids: np.ndarray
     grams: np.ndarray
@@ -70,19 +74,29 @@ def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _vocabulary(words: Words, uniq: np.ndarray, at: np.ndarray, known: np.ndarray) -> Vocabulary:
     starts, lengths = words.starts[at], words.ends[at] - words.starts[at]
+    size = lengths + 2
+    first = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(lengths)), size)
+    inside = np.arange(size.sum()) - first[owner]
     # bytes of every distinct word between two zero bytes
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    pos = np.arange(first[-1]) - np.repeat(first[:-1], lengths) + np.repeat(starts, lengths)
-    chars = words.data[pos].astype(np.uint64) + np.uint64(1)
-    left, right = np.zeros_like(chars), np.zeros_like(chars)
-    left[1:], right[:-1] = chars[:-1], chars[1:]
-    left[first[:-1]], right[first[1:] - 1] = 0, 0
-    grams = (mix((left << np.uint64(20)) | (chars << np.uint64(10)) | right) >> np.uint64(40)).astype(np.int64) % CHAR_BUCKETS
+    letter = (inside > 0) & (inside < size[owner] - 1)
+    chars = np.zeros(len(owner), np.uint64)
+    chars[letter] = words.data[starts[owner[letter]] + inside[letter] - 1].astype(np.uint64) + np.uint64(1)
+    grams, of = [], []
+    for order in CHAR_ORDERS:
+        # a word shorter than the order is one n-gram
+        at = np.flatnonzero(inside <= np.maximum(0, size[owner] - order))
+        h = np.full(len(at), order, np.uint64)
+        for j in range(order):
+            h = h * np.uint64(0x100000001B3) + np.where(inside[at] + j < size[owner[at]], chars[np.minimum(at + j, len(chars) - 1)], 0).astype(np.uint64)
+        grams.append((mix(h) >> np.uint64(40)).astype(np.int64) % CHAR_BUCKETS)
+        of.append(owner[at])
+    order = np.argsort(np.concatenate(of), kind="stable")
     ids = np.zeros(len(uniq), np.int64)
     if len(known):
         slot = np.minimum(np.searchsorted(known, uniq), len(known) - 1)
         ids = np.where(known[slot] == uniq, slot + 1, 0)
-    return Vocabulary(ids, grams, first)
+    return Vocabulary(ids, np.concatenate(grams)[order], np.searchsorted(np.concatenate(of)[order], np.arange(len(lengths) + 1)))
 
 
 def _windows(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +170,12 @@ def _gru_back(dout: np.ndarray, mask: np.ndarray, steps: list, u: np.ndarray) ->
 
 
 def _gradients(p: dict, vocab: Vocabulary, ids: np.ndarray, idx: np.ndarray, mask: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """idx: steps x windows of distinct-word numbers; ids: the same of model words (some dropped)."""
+    """idx: steps x windows of distinct-word numbers; ids: the same of model words (some hidden)."""
+    here, idx = np.unique(idx, return_inverse=True)
+    idx = idx.reshape(ids.shape)
+    size = np.diff(vocab.first)[here]
+    first = np.concatenate([[0], np.cumsum(size)])
+    vocab = Vocabulary(vocab.ids[here], vocab.grams[np.repeat(vocab.first[here] - first[:-1], size) + np.arange(first[-1])], first)
     chars = _char_means(p, vocab)
     x = np.concatenate([p["words"][ids], chars[idx]], axis=2)
     keep: dict = {}
@@ -191,6 +210,8 @@ def _gradients(p: dict, vocab: Vocabulary, ids: np.ndarray, idx: np.ndarray, mas
 
 def _adam(m: Model, g: dict[str, np.ndarray], step: int, rate: float) -> None:
     for k, d in g.items():
+        if k in ("words", "chars"):
+            m.params[k] *= np.float32(1 - rate * DECAY)  # what few documents say fades
         a, b = m.moments.setdefault(k, [np.zeros_like(d), np.zeros_like(d)])
         a += 0.1 * (d - a)
         b += 0.001 * (d * d - b)
@@ -215,64 +236,55 @@ def _projected(m: Model, v: Vocabulary) -> np.ndarray:
     return np.concatenate([m.params["words"][v.ids], _char_means(m.params, v)], axis=1) @ m.params["wx"] + m.params["bx"]
 
 
-def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = 300, batch: int = 128, seed: int = 17) -> Model:
-    """base: the share of toxic rows among all labelled ones."""
+def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = STEPS, batch: int = 128, seed: int = 17) -> Model:
+    """base: the share of toxic rows among all labelled ones; steps: of each phase."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape, by=1.0: (rng.standard_normal(shape) * by).astype(np.float32)
     words = split_words(pc.utf8_lower(pa.array(texts, pa.large_string())), NOT_ALNUM)
     uniq, at, inverse = _distinct(words)
     y = labels.astype(np.float32)
-    # document counts of every word by label, for the choice of words and their first values
+    row, start, length = _windows(np.diff(words.first), words.first[:-1])
+    n_windows = np.bincount(row, minlength=len(y))
+    # words of three documents or more have an embedding
     doc_word = np.unique(words.row * len(uniq) + inverse) if len(uniq) else np.zeros(0, np.int64)
-    w, d = doc_word % max(1, len(uniq)), doc_word // max(1, len(uniq))
-    toxic_docs = np.bincount(w, y[d], minlength=len(uniq))
-    all_docs = np.bincount(w, minlength=len(uniq))
-    pick = np.flatnonzero(all_docs >= 3)
-    pick = np.sort(pick[np.argsort(-all_docs[pick], kind="stable")[:MAX_WORDS]])
-    positives, negatives = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    odds = np.log((toxic_docs[pick] + 0.5) / (positives + 1)) - np.log((all_docs[pick] - toxic_docs[pick] + 0.5) / (negatives + 1))
-    embed = normal(len(pick) + 1, WORD_DIM, by=0.05)
-    embed[0] = 0
-    embed[1:, 0] += np.clip(odds / 2, -2, 3)
+    pick = np.flatnonzero(np.bincount(doc_word % max(1, len(uniq)), minlength=len(uniq)) >= 3)
     dims = WORD_DIM + CHAR_DIM
     params = {
-        "words": embed, "chars": normal(CHAR_BUCKETS, CHAR_DIM, by=0.3), "wx": normal(dims, 6 * HIDDEN, by=dims**-0.5), "bx": np.zeros(6 * HIDDEN, np.float32),
+        "words": normal(len(pick) + 1, WORD_DIM, by=0.05), "chars": normal(CHAR_BUCKETS, CHAR_DIM, by=0.05), "wx": normal(dims, 6 * HIDDEN, by=dims**-0.5), "bx": np.zeros(6 * HIDDEN, np.float32),
         "uf": normal(HIDDEN, 3 * HIDDEN, by=HIDDEN**-0.5), "ub": normal(HIDDEN, 3 * HIDDEN, by=HIDDEN**-0.5), "bf": np.zeros(HIDDEN, np.float32), "bb": np.zeros(HIDDEN, np.float32),
         "wa": normal(2 * HIDDEN, ATTENTION, by=0.35), "ba": np.zeros(ATTENTION, np.float32), "va": normal(ATTENTION, by=0.35), "wo": normal(2 * HIDDEN, by=0.35), "bo": np.zeros(1, np.float32),
     }
+    params["words"][0] = 0
     m = Model(uniq[pick], params, base)
-    if not (0 < y.sum() < len(y)):
+    aside = rng.random(len(y)) < 0.2
+    toxic, clean = (np.flatnonzero((y == label) & (n_windows > 0) & ~aside) for label in (1, 0))
+    if not (len(toxic) and len(clean)):
         return m
     vocab = _vocabulary(words, uniq, at, m.words)
-    row, start, length = _windows(np.diff(words.first), words.first[:-1])
-    prior = np.zeros(len(uniq))
-    prior[pick] = odds
-    score = np.full(len(start), -9.0)
-    for t in range(WINDOW):
-        score = np.where(t < length, np.maximum(score, prior[inverse[np.minimum(start + t, len(inverse) - 1)]]), score)
-    step = 0
-    for phase in range(3):
-        best = np.full(len(y), -1)
-        by_score = np.lexsort((score, row))
-        best[row[by_score]] = by_score
-        toxic = best[(y > 0) & (best >= 0)]
-        clean = best[(y == 0) & (best >= 0)]
-        other = np.flatnonzero(y[row] == 0)
-        for _ in range(steps // 3):
-            step += 1
-            half = batch // 2
-            some = np.concatenate([rng.choice(toxic, half), rng.choice(clean, half // 2), rng.choice(other, half - half // 2)])
-            t = np.arange(int(length[some].max()))[:, None]
-            mask = t < length[some][None]
-            idx = inverse[np.minimum(start[some][None] + t, len(inverse) - 1)]
-            ids = np.where(rng.random(idx.shape) < 0.2, 0, vocab.ids[idx])
-            g = _gradients(m.params, vocab, ids, idx, mask[..., None], y[row[some]], np.ones(len(some), np.float32))
-            _adam(m, g, step, 0.01 if phase < 2 else 0.003)
+    lo = np.cumsum(n_windows) - n_windows
+    score, best = rng.random(len(start)), None
+    for phase in range(PHASES):
+        order = np.lexsort((-score, row))  # each document's windows, the strongest first
+        reach = np.ceil(n_windows * (0.5**phase if phase < PHASES - 1 else 0)).clip(1)
+        for step in range(phase * steps + 1, (phase + 1) * steps + 1):
+            t, c = rng.choice(toxic, batch // 2), rng.choice(clean, batch // 2)
+            width = np.concatenate([reach[t], np.where(rng.random(len(c)) < 0.5, 1, n_windows[c])])
+            some = order[lo[np.concatenate([t, c])] + (rng.random(len(width)) * width).astype(np.int64)]
+            nth = np.arange(int(length[some].max()))[:, None]
+            idx = inverse[np.minimum(start[some][None] + nth, len(inverse) - 1)]
+            ids = np.where(rng.random(idx.shape) < HIDE, 0, vocab.ids[idx])
+            g = _gradients(m.params, vocab, ids, idx, (nth < length[some][None])[..., None], y[row[some]], np.ones(len(some), np.float32))
+            _adam(m, g, step, 0.01 * min(1.0, 2.35 - 2.25 * step / (PHASES * steps)))
         score = _logits(m, _projected(m, vocab), inverse, start, length).astype(np.float64)
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, row, score)
-    has = np.isfinite(top)
-    m.slope, m.shift = _calibrate(top[has], y[has], base)
+        top = np.full(len(y), -np.inf)
+        np.maximum.at(top, row, score)
+        p, n = top[(y > 0) & aside & np.isfinite(top)], top[(y == 0) & aside & np.isfinite(top)]
+        rank = float((p[:, None] > n).mean()) if len(p) and len(n) else 0.0
+        if best is None or rank >= best[0]:
+            best = rank, {k: v.copy() for k, v in m.params.items()}, top
+    m.params, top = best[1], best[2]
+    use = np.isfinite(top) & (aside if y[aside].sum() >= ENOUGH else True)
+    m.slope, m.shift = _calibrate(top[use], y[use], base)
     m.trained = True
     m.moments = {}
     return m
@@ -316,7 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 2000) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, train_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, train_rows / max(1, sizes.get(0, 0))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    sample = known.where(sampled(share, "doc_id"))
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
@@ -349,9 +361,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str]
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't predicted to be toxic, and those without a word; columns unchanged."""
-    judged = score(docs, model, docs.columns, ("_toxic_score", "_toxic"))
+    names = {c: f"keep_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select("text", *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+    judged = score(rows, model, ["text", *names.values()])
     worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
-    return judged.where((F.col("_toxic") == 0) | ~worded).select(*docs.columns)
+    return judged.where((F.col("predicted") == 0) | ~worded).select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
 def op9(docs: DataFrame, labels: DataFrame, train_rows: int = 2000) -> DataFrame:

@@ -257,6 +257,26 @@ def test_mined_url_rules(spark):
     assert (got[300].verdict, got[301].verdict, got[302].verdict) == ("block", "allow", "allow") and got[300].mined_rule
 
 
+def test_mined_verdicts_by_hand(spark):
+    """Every url's verdict and rule, from the mined rules applied one by one; tokens of all parts of a url count."""
+    rows = [(i, f"http://a{i % 7}.example.net/fr/deep/{'x' if i % 2 else 'y'}/{i}?a=1&{'odd' if i % 3 else 'even'}=2") for i in range(90)]
+    rows += [(200 + i, f"https://q.z.w.example.net/en/{'promo' if i % 5 else 'news'}/item{i}.html") for i in range(80)] + [(400, "http://z.museum/fr/deep/x/7?b=1&odd=9"), (401, "https://k.io/a/promo/item3.html"), (402, None), (403, "ftp://n")]
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string")
+    url, host, path = F.col("url"), urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))
+    base = df.select("page_id", "url", urlfilter.tokens(url, host, path).alias("tokens"), *[c.alias(n) for c, n in zip(urlfilter.fitting_rule(host, path), ("rule", "verdict"))])
+    rules = urlfilter.mine(base.where("rule is not null").withColumnRenamed("page_id", "id")).collect()
+    assert rules
+    got = urlfilter.judge_urls(df).collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == len(rows) + 1
+    for r in base.collect():
+        fits = [m for m in rules if set(m["items"]) <= set(r.tokens or [])]
+        best = min(fits, key=lambda m: (-m.confidence, -len(m["items"]), -m.support, " ".join(m["items"])), default=None)
+        want = (r.verdict, None) if r.rule else (best.verdict, " ".join(best["items"])) if best else ("allow", None)
+        assert (by[r.page_id].verdict, by[r.page_id].mined_rule) == want
+    assert {"dir:deep", "query:odd", "host1:museum", "host2:z", "leaf:0"} <= set(next(r.tokens for r in base.collect() if r.page_id == 400))
+
+
 def test_leaks_equal_brute_force(spark, sf):
     docs, items = documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.op4(docs, items).collect()}
@@ -395,7 +415,7 @@ def test_special_token_text():
 def test_gradients_by_differences():
     rng = np.random.default_rng(4)
     texts = ["bad apple pie", "good apple", "nice pie tart", "bad tart"] * 3
-    m = toxicity.fit(texts, np.array([1, 0, 0, 1] * 3), 0.5, steps=3)
+    m = toxicity.fit(texts, np.array([1, 0, 0, 1] * 3), 0.5, steps=1)
     ws = toxicity.split_words(pa.array(texts, pa.large_string()), toxicity.NOT_ALNUM)
     uniq, at, inverse = toxicity._distinct(ws)
     v = toxicity._vocabulary(ws, uniq, at, m.words)
