@@ -112,3 +112,6 @@ MINED_PATTERNS = {
 }
 FOUNDER_PATTERN = r"(?:co[- ]?founders?|founders?|team|ceo) *[:\-] *([^\n.]{3,50})"
 TEAM_SIZE_PATTERNS = [r"([0-9]+) *(?:person|people|employee|team)", r"team *(?:of *)?([0-9]+)"]
+
+#: Fixed value: how a mail names a company.
+MAIL_COMPANY = r"(?:company|startup|firm)[ \t\n]+(?:is[ \t\n]+)?([A-Z][a-zA-Z]+)"

@@ -106,6 +106,7 @@ def classify_email(text: Column) -> dict[str, Column]:
         "sender": F.coalesce(X.first_class(text, L.EMAIL_SENDERS), F.lit("unknown")),
         "urgency": F.when(intent.isin("due_diligence", "interested"), "high").otherwise("medium"),
         "topics": F.array_join(X.keep([(X.hits(text, t) > 0, n) for n, t in L.EMAIL_INTENTS]), ","),
+        "company": F.nullif(F.regexp_extract(text, L.MAIL_COMPANY, 1), F.lit("")),
     }
 
 

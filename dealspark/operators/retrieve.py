@@ -118,9 +118,8 @@ def scores(vectors: DataFrame, queries: DataFrame, metric: str = "cosine", least
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
-    """r11: the best k of each query; for larger sets use knn_blocks."""
-    scored = scores(vectors, queries, metric, least)
-    return top_per_group(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
+    """r11: the best k of each query, of those that score `least` or more."""
+    return knn_blocks(vectors, queries, k, metric, least)
 
 
 def _blocks(rows: DataFrame, key: str, size: int, block: str) -> tuple[DataFrame, int]:
@@ -131,17 +130,26 @@ def _blocks(rows: DataFrame, key: str, size: int, block: str) -> tuple[DataFrame
 
 
 def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and the vectors of unit length as one matrix."""
+    """Ids, and the vectors as one matrix."""
     flat = rows.flatten()
     v = flat.field("v")
     if pc.count_distinct(pc.list_value_length(v)).as_py() > 1:
         raise ValueError("vectors differ in length")
     m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-    return flat.field("id").to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    return flat.field("id").to_numpy(), m
+
+
+def _products(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all pairs; a vector of no length has the cosine 0."""
+    if metric == "l2":
+        return -np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (v**2).sum(axis=1)[None] - 2 * (q @ v.T), 0))
+    if metric == "cosine":
+        q, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (q, v))
+    return q @ v.T
 
 
-def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """r11 at scale: cosine by one matrix product of every block of queries with every block of vectors, dealt by the
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
+    """r11: one matrix product of every block of queries with every block of vectors, dealt by the
     latter's number. Every product returns its best k of each query, and the best of those stay. Rows without id or vector
     take no part."""
     of_queries, _ = _blocks(queries.select("qid", "v"), "qid", QUERY_ROWS, "q")
@@ -155,8 +163,8 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 qid, q = _matrix(batch.column("q_rows").slice(i, 1))
                 ids, v = _matrix(batch.column("b_rows").slice(i, 1))
                 # rounded, with ties to the smaller id
-                scores = np.round(q @ v.T, 6)
-                scores[(qid[:, None] == ids[None, :]) | np.isnan(scores)] = -np.inf
+                scores = np.round(_products(q, v, metric), 6)
+                scores[(qid[:, None] == ids[None, :]) | np.isnan(scores) | (scores < (-np.inf if least is None else least))] = -np.inf
                 cut = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
                 row, at = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
                 order = np.lexsort((ids[at], -scores[row, at], row))
@@ -189,17 +197,36 @@ def hybrid_concat(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return top_per_group(once.select("qid", "id", F.col("m.method").alias("method"), F.col("m.r").alias("r")), ["qid"], [F.asc("method"), F.asc("r"), F.asc("id")], k).select("qid", "id", "method", "rank")
 
 
-def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, bucket_length: float = 2.0, tables: int = 16, seed: int = 7) -> DataFrame:
-    """r12: candidates by random projections of normalised vectors, exact order among them. The projections are fitted on
-    the dimension alone; every vector is hashed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def cell_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 32, sample_rows: int = 50_000, seed: int = 7) -> DataFrame:
+    """r12: vectors are filed under the nearest of `cells` k-means centres of unit vectors, fitted on a sample of about
+    `sample_rows`; every vector is filed. A query is compared exactly (cosine) with the vectors of its nearest `probes`
+    cells, a share of probes / cells of the table or less."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    ready = lambda df, key: df.select(key, V.normalise(F.col("v")).alias("v")).select(key, "v", array_to_vector("v").alias("f"))
+    ready = lambda df, key: df.where(F.col(key).isNotNull() & F.col("v").isNotNull()).select(F.col(key).cast("long").alias(key), V.normalise(F.col("v")).alias("v"))
     a, b = ready(vectors, "id"), ready(queries, "qid")
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(a)
-    near = model.approxSimilarityJoin(a, b, 1.45, "distance").select(F.col("datasetB.qid").alias("qid"), F.col("datasetA.id").alias("id"), "distance").where("qid <> id")
-    scored = near.select("qid", "id", F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("score"))
+    n = a.count()
+    if not n:
+        return knn_blocks(vectors, queries, k)
+    sample = a.where(F.shiftrightunsigned(F.xxhash64("id"), 11) < F.lit(min(1.0, sample_rows / n) * float(1 << 53))) if n > sample_rows else a
+    centres = np.array(KMeans(k=min(cells, n), seed=seed, maxIter=10, featuresCol="f").fit(sample.select(array_to_vector("v").alias("f"))).clusterCenters())
+
+    def nearest(key: str, count: int):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    far = (centres**2).sum(axis=1)[None] - 2 * (v @ centres.T)
+                    cell = np.argsort(far, axis=1, kind="stable")[:, :count].astype(np.int32)
+                    row = np.repeat(np.arange(batch.num_rows), cell.shape[1])
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(cell.reshape(-1))], names=[key, "v", "cell"])
+
+        return run
+
+    filed = a.mapInArrow(nearest("id", 1), "id long, v array<double>, cell int")
+    asked = b.mapInArrow(nearest("qid", probes), "qid long, v array<double>, cell int").withColumnRenamed("v", "qv")
+    scored = filed.join(asked, "cell").where("qid <> id").select("qid", "id", F.round(V.dot(F.col("v"), F.col("qv")), 6).alias("score"))
     return top_per_group(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 

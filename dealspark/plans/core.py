@@ -162,6 +162,15 @@ def typed_union(s, d):
 
 register("u01_typed_union", typed_union, "select 'draft' as type, o_orderkey as id, o_orderpriority as title, o_orderdate as at from orders where o_orderstatus = 'P' union all select 'library', p_partkey, p_name, null from part where p_size = 10 union all select 'conversation', conv_id, role, null from conversations where turn = 1")
 register("u02_distinct_union", lambda s, d: table(s, d, "part").select(F.col("p_brand").alias("name")).union(table(s, d, "part").select("p_type")).distinct(), "select p_brand as name from part union select p_type from part")
-register("u03_set_overlap", lambda s, d: table(s, d, "documents").select("doc_id", F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 40)).alias("a"), F.array_distinct(F.slice(F.split(F.lower("text"), " "), 21, 40)).alias("b")).select("doc_id", *[c.alias(n) for n, c in R.set_overlap(F.col("a"), F.col("b")).items()]), """with w as (select doc_id, string_split(lower(text), ' ') as w from documents), s as (select doc_id, list_distinct(w[1:40]) as a, list_distinct(w[21:60]) as b from w), n as (select doc_id, cast(len(list_intersect(a, b)) as int) as n_both, cast(len(list_distinct(list_concat(a, b))) as int) as n_any from s)
+def halves(s, d):
+    """u03: the words of the first and of the second half of every text, as sets."""
+    words, n = F.split(F.lower("text"), " "), F.size(F.split(F.lower("text"), " "))
+    half = F.ceil(n / 2).cast("int")
+    a, b = F.array_distinct(F.slice(words, 1, half)), F.array_distinct(F.slice(words, half + 1, F.greatest(n - half, F.lit(0))))
+    return table(s, d, "documents").select("doc_id", a.alias("a"), b.alias("b")).select("doc_id", *[c.alias(name) for name, c in R.set_overlap(F.col("a"), F.col("b")).items()])
+
+
+register("u03_set_overlap", halves, """with w as (select doc_id, string_split(lower(text), ' ') as w from documents), h as (select doc_id, w, cast(ceil(len(w) / 2.0) as int) as h from w), s as (select doc_id, list_distinct(w[1:h]) as a, list_distinct(w[h + 1:]) as b from h),
+    n as (select doc_id, cast(len(list_intersect(a, b)) as int) as n_both, cast(len(list_distinct(list_concat(a, b))) as int) as n_any from s)
     select doc_id, n_both, n_any, round(case when n_any > 0 then n_both / cast(n_any as double) else 0.0 end, 6) as jaccard from n""")
 register("u04_unseen", lambda s, d: R.unseen(table(s, d, "part").select("p_partkey"), table(s, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey")), "p_partkey"), "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity = 50)")

@@ -49,21 +49,17 @@ def embeddings(s, d):
 
 
 def probes(s, d):
-    return embeddings(s, d).where("id < 20").select(F.col("id").alias("qid"), "v")
-
-
-def every_20th(s, d):
     return embeddings(s, d).where("id % 20 = 0").select(F.col("id").alias("qid"), "v")
 
 
 _V = "v as (select vec_id as id, cast(embedding as double[]) as v, label from embeddings)"
-_COS = f"{_V}, c as (select q.id as qid, x.id as id, round(list_cosine_similarity(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id < 20)"
+_COS = f"{_V}, c as (select q.id as qid, x.id as id, round(list_cosine_similarity(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0)"
 _TOP = "row_number() over (partition by qid order by score desc, id)"
 register("r11_knn_cosine", lambda s, d: S.knn(embeddings(s, d), probes(s, d), 5), f"with {_COS} select qid, id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 5")
-register("r11_knn_l2", lambda s, d: S.knn(embeddings(s, d), probes(s, d), 5, "l2"), f"with {_V}, c as (select q.id as qid, x.id as id, round(-list_distance(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id < 20) select qid, id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 5")
-register("r11_knn_inner", lambda s, d: S.knn(embeddings(s, d), probes(s, d), 5, "inner", 0.1), f"with {_V}, c as (select q.id as qid, x.id as id, round(list_inner_product(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id < 20) select qid, id, score, cast({_TOP} as int) as rank from c where score >= 0.1 qualify {_TOP} <= 5")
-register("r11_knn_blocks", lambda s, d: S.knn_blocks(embeddings(s, d), every_20th(s, d), 5), f"with {_V}, c as (select q.id as qid, x.id as id, round(list_cosine_similarity(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0) select qid, id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 5")
-register("r12_ann", lambda s, d: S.lsh_knn(embeddings(s, d), every_20th(s, d), 5))
+register("r11_knn_l2", lambda s, d: S.knn(embeddings(s, d), probes(s, d), 5, "l2"), f"with {_V}, c as (select q.id as qid, x.id as id, round(-list_distance(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0) select qid, id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 5")
+register("r11_knn_inner", lambda s, d: S.knn(embeddings(s, d), probes(s, d), 5, "inner", 0.1), f"with {_V}, c as (select q.id as qid, x.id as id, round(list_inner_product(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0) select qid, id, score, cast({_TOP} as int) as rank from c where score >= 0.1 qualify {_TOP} <= 5")
+register("r11_knn_blocks", lambda s, d: S.knn_blocks(embeddings(s, d), probes(s, d), 5), f"with {_V}, c as (select q.id as qid, x.id as id, round(list_cosine_similarity(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0) select qid, id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 5")
+register("r12_ann", lambda s, d: S.cell_knn(embeddings(s, d), probes(s, d), 5))
 _MEAN = "u as (select label, i, avg(v[i]) as x from v, unnest(range(1, 65)) t(i) group by 1, 2), m as (select label, list(x order by i) as m from u group by 1)"
 register("r13_vector_arithmetic", lambda s, d: S.vector_arithmetic(embeddings(s, d), F.col("label") == 1, F.col("label") == 2, 10).select("id", "score", "rank"), f"with {_V}, {_MEAN}, t as (select list_transform(range(1, 65), lambda i: a.m[i] - b.m[i]) as t from m a, m b where a.label = 1 and b.label = 2), c as (select -1 as qid, id, round(list_cosine_similarity(v, t), 6) as score from v, t) select id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 10")
 register("r14_vector_forms", lambda s, d: embeddings(s, d).select("id", F.round(V.norm(V.normalise(F.col("v"))), 6).alias("unit"), F.size(V.fit_dim(F.col("v"), 100)).alias("padded"), F.size(V.fit_dim(F.col("v"), 10)).alias("cut"), F.round(V.norm(V.parse_vector(F.to_json("v"))) / V.norm(F.col("v")), 6).alias("parsed")), f"with {_V} select id, 1.0::double as unit, 100 as padded, 10 as cut, 1.0::double as parsed from v")
@@ -93,7 +89,7 @@ def concatenated(s, d):
     return S.hybrid_concat(bm, near, 6)
 
 
-register("r10_hybrid_concat", concatenated, f"""with {_COS}, n as (select qid, id, {_TOP} as r from c qualify {_TOP} <= 6), i as (select q.id as qid, x.id as id, round(list_inner_product(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id < 20), b as (select qid, id, {_TOP} as r from i qualify {_TOP} <= 3),
+register("r10_hybrid_concat", concatenated, f"""with {_COS}, n as (select qid, id, {_TOP} as r from c qualify {_TOP} <= 6), i as (select q.id as qid, x.id as id, round(list_inner_product(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0), b as (select qid, id, {_TOP} as r from i qualify {_TOP} <= 3),
     u as (select qid, id, 0 as method, r from b union all select qid, id, 1, r from n), o as (select * from u qualify row_number() over (partition by qid, id order by method, r) = 1)
     select qid, id, method, cast(row_number() over (partition by qid order by method, r, id) as int) as rank from o qualify row_number() over (partition by qid order by method, r, id) <= 6""")
 
@@ -186,22 +182,28 @@ register("a15_company_sentiment", company_sentiment, _sentiment_sql(f", p as (se
 register("a16_sentiment_summary", lambda s, d: scored_texts(s, d).groupBy(_mood().alias("sentiment"), _level().alias("risk_level")).agg(F.count("*").alias("n")), _sentiment_sql(f"select {_MD} as sentiment, {_LV} as risk_level, count(*) as n from sc group by 1, 2"), ("vDecks", "vLibrary", "vDrafts"))
 
 
-def email_stats(s, d):
-    """a08: counts and response times by intent and sender, in one pass over the grouping sets."""
+def email_stats(s, d, company: str | None = None):
+    """a08: counts and response times in total and by status, intent and sender, in one pass; company: only mails that name
+    it. The event's type stands for the status."""
     b = F.col("body")
-    rows = view(s, d, "vEmails").select(C.email_intent(b)["intent"].alias("intent"), C.sender_type(b).alias("sender"), (F.col("id") % 90).alias("minutes"))
-    dim = F.explode(F.array(F.struct(F.lit("total").alias("dim"), F.lit("").alias("value")), F.struct(F.lit("intent").alias("dim"), F.col("intent").alias("value")), F.struct(F.lit("sender").alias("dim"), F.col("sender").alias("value"))))
+    mails = view(s, d, "vEmails").join(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status")), "id")
+    if company:
+        mails = mails.where(F.lower(b).contains(company.lower()))
+    rows = mails.select("status", C.email_intent(b)["intent"].alias("intent"), C.sender_type(b).alias("sender"), (F.col("id") % 90).alias("minutes"))
+    dim = F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), (F.col(n) if n != "total" else F.lit("")).alias("value")) for n in ("total", "status", "intent", "sender")]))
     return rows.select(dim.alias("g"), "minutes").groupBy("g.dim", "g.value").agg(F.count("*").alias("n"), F.round(F.avg("minutes"), 4).alias("mean_minutes"), F.percentile("minutes", 0.5).alias("median_minutes"))
 
 
-def _email_sql():
+def _email_sql(where: str = "true"):
     from dealspark.plans.text import _INTENT, _SENDER
 
     agg = "count(*) as n, round(avg(minutes), 4) as mean_minutes, quantile_cont(minutes::double, 0.5) as median_minutes"
-    return f", {_INTENT}, e as (select intent, {_SENDER} as sender, id % 90 as minutes from i) select 'total' as dim, '' as value, {agg} from e union all select 'intent', intent, {agg} from e group by 2 union all select 'sender', sender, {agg} from e group by 2"
+    dims = " ".join(f"union all select '{n}', {n}, {agg} from e group by 2" for n in ("status", "intent", "sender"))
+    return f", {_INTENT}, e as (select intent, {_SENDER} as sender, event_type as status, id % 90 as minutes from i join events on event_id = id where {where}) select 'total' as dim, '' as value, {agg} from e {dims}"
 
 
 register("a08_email_stats", email_stats, _email_sql(), ("vEmails",))
+register("a08_email_stats_of", lambda s, d: email_stats(s, d, "the founder"), _email_sql("contains(lower(body), 'the founder')"), ("vEmails",))
 
 
 def visual_summary(s, d):

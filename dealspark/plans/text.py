@@ -70,7 +70,7 @@ register("x03_tokens", lambda s, d: docs(s, d).select("doc_id", F.size(X.words_a
 register("x04_letter_runs", lambda s, d: docs(s, d).select("doc_id", F.size(X.letter_runs(T())).alias("n"), F.array_join(F.slice(X.letter_runs(T()), 1, 5), " ").alias("head")), r"with t as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '') as w from documents) select doc_id, cast(len(w) as int) as n, array_to_string(w[1:5], ' ') as head from t")
 register("x05_blank_split", lambda s, d: docs(s, d).select("doc_id", F.size(X.blank_split(T())).alias("n")), r"select doc_id, cast(len(list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '')) as int) as n from documents")
 register("x06_normalise_numbers", lambda s, d: decks(s, d).select("doc_id", X.normalise_numbers(F.concat(F.lit("Raised $"), (F.col("doc_id") % 90 + 1).cast("string"), F.lit("M last year"))).alias("text")), "select doc_id, 'Raised $' || cast(doc_id % 90 + 1 as varchar) || ',000,000 last year' as text from vDecks", ("vDecks",))
-register("x07_chart_noise", lambda s, d: docs(s, d).select("doc_id", X.drop_chart_noise(F.concat_ws(" ", F.lit("10 20 30 end"), F.substring("text", 1, 80), F.lit("7"))).alias("clean")), r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace('10 20 30 end ' || substr(text, 1, 80) || ' 7', '(?:\b[0-9]{1,3}\b[ \t]+){2,}[0-9]{1,3}\b', ' ', 'g'), '(^|[ \t\n])[0-9]{1,3}($|[ \t\n])', ' ', 'g'), '[ \t]+', ' ', 'g')) as clean from documents")
+register("x07_chart_noise", lambda s, d: docs(s, d).select("doc_id", X.drop_chart_noise(T()).alias("clean")), r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?:\b[0-9]{1,3}\b[ \t]+){2,}[0-9]{1,3}\b', ' ', 'g'), '(^|[ \t\n])[0-9]{1,3}($|[ \t\n])', ' ', 'g'), '[ \t]+', ' ', 'g')) as clean from documents")
 register("k05_segments", lambda s, d: docs(s, d).select("doc_id", F.posexplode(F.slice(F.filter(F.split(T(), "\n+"), lambda x: F.trim(x) != ""), 1, 8)).alias("pos", "segment")), r"with s as (select doc_id, list_filter(string_split_regex(text, '\n+'), lambda x: trim(x) <> '')[1:8] as s from documents) select doc_id, cast(i - 1 as int) as pos, s[i] as segment from s, unnest(range(1, len(s) + 1)) t(i)")
 
 
@@ -199,7 +199,7 @@ register("c06_blend", blended, f""", {_INTENT}, j as (select id, intent as wl, c
 _EI = sql_argmax("body", L.EMAIL_INTENTS, "other")
 _EMAX = "greatest(" + ", ".join(sql_hits("body", t) for _, t in L.EMAIL_INTENTS) + ")"
 register("c07_classify_email", lambda s, d: pick(view(s, d, "vEmails"), ["id"], C.classify_email(B())), f""", i as (select *, {_EI} as intent from vEmails) select id, intent, round(least({_EMAX} / cast(3 as double), 1.0), 6) as confidence, intent in ('interested','due_diligence','question') as needs_context,
-    coalesce({sql_first('body', L.EMAIL_SENDERS)}, 'unknown') as sender, case when intent in ('due_diligence','interested') then 'high' else 'medium' end as urgency, {sql_join([(f"{sql_hits('body', t)} > 0", n) for n, t in L.EMAIL_INTENTS])} as topics from i""", ("vEmails",))
+    coalesce({sql_first('body', L.EMAIL_SENDERS)}, 'unknown') as sender, case when intent in ('due_diligence','interested') then 'high' else 'medium' end as urgency, {sql_join([(f"{sql_hits('body', t)} > 0", n) for n, t in L.EMAIL_INTENTS])} as topics, nullif(regexp_extract(body, {q(L.MAIL_COMPANY)}, 1), '') as company from i""", ("vEmails",))
 _CC = [(n, "(" + " + ".join(f"cast(regexp_matches(lower(text), {q(C._context_pattern(p))}) as int)" for p in ps) + ")") for n, ps in L.CONTEXTS]
 _CMAX = "greatest(" + ", ".join(c for _, c in _CC) + ")"
 _CTX = f"k as (select *, case when {_CMAX} = 0 then 'general' " + " ".join(f"when {c} = {_CMAX} then {q(n)}" for n, c in _CC) + " end as context from vDecks)"
