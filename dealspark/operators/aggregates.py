@@ -108,7 +108,7 @@ def tag_clusters(df: DataFrame, ts: str, tags: str, newest: int, n: int) -> Data
     """a18: the newest rows clustered by their first two tags in order; the n largest clusters."""
     key = F.when(F.size(tags) == 0, F.array(F.lit("general"))).otherwise(F.array_sort(F.slice(tags, 1, 2)))
     top = df.orderBy(F.desc(ts), "id").limit(newest).select("id", F.array_join(key, ",").alias("cluster"))
-    return top.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).orderBy(F.desc("n"), "cluster").limit(n)
+    return top.groupBy("cluster").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members")).orderBy(F.desc("n"), "cluster").limit(n)
 
 
 def memory_stats(df: DataFrame, vector: str) -> DataFrame:

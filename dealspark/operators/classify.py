@@ -11,6 +11,9 @@ from dealspark.functions import lexicons as L
 from dealspark.functions import text as X
 
 
+TITLE_LINE = "^[A-Z][A-Za-z0-9&.]*(?:[ \\t]+[A-Za-z0-9&.]+){0,3}$"
+
+
 def occurrences(text: Column, term: str) -> Column:
     """How often a term occurs in lower-cased text, without overlap."""
     low = F.lower(text)
@@ -111,11 +114,12 @@ def classify_email(text: Column) -> dict[str, Column]:
 
 
 def _context_pattern(p: str) -> str:
-    return f"(^|[^a-z0-9])({p})([^a-z0-9]|$)"
+    return rf"\b({p})\b"
 
 
-def detect_context(text: Column) -> dict[str, Column]:
-    """c08: type by the most pattern groups, topics, sentiment by majority, importance."""
+def detect_context(text: Column, key_decision: Column | None = None, faq: Column | None = None) -> dict[str, Column]:
+    """c08: type by the most pattern groups, topics, sentiment by majority, importance; the two flags of a record's metadata
+    add to its importance."""
     low = F.lower(text)
     counts = [(n, reduce(lambda a, b: a + b, [low.rlike(_context_pattern(p)).cast("int") for p in ps])) for n, ps in L.CONTEXTS]
     most = F.greatest(*[c for _, c in counts])
@@ -124,6 +128,9 @@ def detect_context(text: Column) -> dict[str, Column]:
         kind = F.when((c == most) & (most > 0), n).otherwise(kind)
     up, down = X.hits(text, L.CONTEXT_POSITIVE), X.hits(text, L.CONTEXT_NEGATIVE)
     importance = 0.5 + F.when(low.rlike(r"\$[0-9]|[0-9] *(million|billion) *usd"), 0.2).otherwise(0.0) + F.when(kind == "deal", 0.15).otherwise(0.0) + F.when(low.rlike(_context_pattern("ceo|cto|founder|board|decided|approved")), 0.1).otherwise(0.0) + F.when(F.length(text) > 500, 0.05).otherwise(0.0)
+    for flag, weight in ((key_decision, 0.2), (faq, 0.1)):
+        if flag is not None:
+            importance = importance + F.when(flag, weight).otherwise(0.0)
     return {"context": kind, "topics": F.array_join(X.keep([(X.hits(text, t) > 0, n) for n, t in L.TOPICS]), ","), "sentiment": F.when(up > down, "positive").when(down > up, "negative").otherwise("neutral"), "importance": F.round(F.least(F.lit(1.0), importance), 4)}
 
 
@@ -184,8 +191,9 @@ def numeric_metrics(text: Column) -> dict[str, Column]:
 
 
 def founders(text: Column) -> Column:
-    """e05: names of all founder lines, at most five."""
-    return F.slice(F.transform(F.regexp_extract_all(F.lower(text), F.lit(L.FOUNDER_PATTERN), 1), lambda x: F.initcap(F.trim(x))), 1, 5)
+    """e05: names of all founder lines, pattern by pattern, at most five."""
+    found = F.concat(*[F.regexp_extract_all(F.lower(text), F.lit(p), 1) for p in L.FOUNDER_PATTERNS])
+    return F.slice(F.filter(F.transform(found, lambda x: F.initcap(F.trim(x))), lambda x: F.length(x) > 2), 1, 5)
 
 
 def team_size(text: Column) -> Column:
@@ -210,6 +218,20 @@ def company_from_file(name: Column) -> Column:
     return F.when(F.length(F.trim(cut)).between(3, 49), F.trim(cut))
 
 
+def company_from_text(text: Column) -> Column:
+    """e10: the first pattern whose match in the opening could be a name (2 to 40 characters, no common word); else the first
+    line near the top of one to four plain words that begins with a capital and isn't a heading."""
+    opening = F.substring(text, 1, 2000)
+
+    def name(pattern: str) -> Column:
+        found = F.trim(F.regexp_replace(F.regexp_extract(opening, pattern, 1), r"\s+", " "))
+        return F.when(F.length(found).between(2, 40) & ~F.lower(found).isin(L.NOT_NAMES), found)
+
+    lines = F.transform(F.split(F.substring(text, 1, 500), "\n"), lambda x: F.trim(x))
+    titles = F.filter(lines, lambda x: F.length(x).between(2, 35) & x.rlike(TITLE_LINE) & ~F.lower(x).rlike("|".join(L.NOT_TITLES)))
+    return F.coalesce(*[name(p) for p in L.NAME_PATTERNS], F.get(titles, F.lit(0)))
+
+
 def year_revenues(df: DataFrame, key: str, text: str) -> DataFrame:
     """e11, e12: (year, amount) pairs in either order with K/M/B, crore and lakh; the first of each year stays."""
     unit = r" *(k|m|b|thousand|million|billion|crore|lakh)?\b"
@@ -240,9 +262,13 @@ def best_text_revenue(text: Column) -> Column:
 
 
 def document_insights(text: Column) -> dict[str, Column]:
-    """e20."""
+    """e20: type, business models, the first figures, what is found on growth, technology, market and risk, and insights."""
     low = F.lower(text)
-    return {"doc_type": F.coalesce(X.first_class(text, L.DOC_TYPES), F.lit("unknown")), "models": F.array_join(X.keep([(low.rlike(p), n) for n, p in L.BUSINESS_MODELS]), ","), "figures": F.size(F.regexp_extract_all(text, F.lit(r"(\$[0-9][0-9,.]*)"), 1)), "has_growth": low.rlike("growth|yoy|annual|yearly")}
+    every = lambda patterns: F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1) for p in patterns])
+    amounts, found = every(L.FIGURES), {n: every(p) for n, _, p in L.INSIGHTS}
+    growth, *others = [(F.size(found[n]) > 0, t) for n, t, _ in L.INSIGHTS]
+    said = [(F.size(amounts) > 0, F.concat(F.lit("Financial figures detected: "), F.array_join(F.slice(amounts, 1, 5), ", "))), growth, *[(low.rlike(p), f"Business model: {n}") for n, p in L.BUSINESS_MODELS], *others]
+    return {"doc_type": F.coalesce(X.first_class(text, L.DOC_TYPES), F.lit("unknown")), "models": F.array_join(X.keep([(low.rlike(p), n) for n, p in L.BUSINESS_MODELS]), ","), "figures": F.array_join(F.slice(amounts, 1, 5), ", "), **{n: F.array_join(found[n], ";") for n in found}, "insights": F.array_join(X.keep(said), " | ")}
 
 
 def entities(text: Column, n: int = 10) -> Column:

@@ -63,7 +63,7 @@ register("a14_portfolio_health", lambda s, d: A.portfolio_health(ratios(s, d)),
     case when high > total / 3.0 then 'Reduce exposure to high-risk companies' else 'Keep the current allocation' end as recommendation from c""", ("vDrafts",))
 register("a18_tag_clusters", lambda s, d: A.tag_clusters(table(s, d, "events").select(F.col("event_id").alias("id"), "ts", F.when(F.col("event_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")))).alias("tags")), "ts", "tags", 100, 10),
     """with t as (select event_id as id, ts, case when event_id % 7 = 0 then 'general' when event_type < 'u' || cast(user_id % 5 as varchar) then event_type || ',u' || cast(user_id % 5 as varchar) else 'u' || cast(user_id % 5 as varchar) || ',' || event_type end as cluster from events order by ts desc, event_id limit 100)
-    select cluster, count(*) as n, min(id) as first_id from t group by 1 order by n desc, cluster limit 10""")
+    select cluster, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as members from t group by 1 order by n desc, cluster limit 10""")
 register("a19_memory_stats", lambda s, d: A.memory_stats(table(s, d, "embeddings"), "embedding"), "select count(*) as total, count(embedding) as with_vector, cast(max(len(embedding)) as int) as dims from embeddings")
 register("a21_security_dashboard", lambda s, d: A.security_dashboard(table(s, d, "events"), AS_OF), f"""with c as (select count(distinct user_id) filter (where ts > timestamp '{AS_OF}' - interval 8 hour and ts <= timestamp '{AS_OF}') as active_sessions,
     count(*) filter (where d) as events_24h, count(distinct user_id) filter (where d and event_type = 'error') as failed_users,

@@ -114,21 +114,21 @@ register("a26_compare_methods", lambda s, d: S.compare_methods(S.bm25(documents(
 
 # summaries over classified text
 def context_summary(s, d):
-    """a17: per context type the number, mean importance, and the ten most frequent entities."""
+    """a17: per context type the number, mean importance, how many are of each sentiment, and the ten most frequent entities."""
     t = F.col("text")
     m = C.detect_context(t)
-    rows = view(s, d, "vDecks").select("doc_id", m["context"].alias("context"), m["importance"].alias("importance"), C.entities(t).alias("entities"))
+    rows = view(s, d, "vDecks").select("doc_id", m["context"].alias("context"), m["importance"].alias("importance"), m["sentiment"].alias("sentiment"), C.entities(t).alias("entities"))
     top = R.top_per_group(rows.select("context", F.explode("entities").alias("entity")).groupBy("context", "entity").agg(F.count("*").alias("n")), ["context"], [F.desc("n"), F.asc("entity")], 10)
     names = top.groupBy("context").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda x: x["entity"]), ";").alias("top_entities"))
-    return rows.groupBy("context").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 4).alias("importance")).join(names, "context", "left")
+    return rows.groupBy("context").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 4).alias("importance"), *[F.count(F.when(F.col("sentiment") == m, 1)).alias(m) for m in ("positive", "negative", "neutral")]).join(names, "context", "left")
 
 
 def _context_sql():
-    from dealspark.plans.text import _CTX, _IMP
+    from dealspark.plans.text import _CSENT, _CTX, _IMP
 
     ent = r"""list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(text, '\b([A-Z][a-zA-Z]*(?:[ \t\n]+[A-Z][a-zA-Z]*)*)', 1), lambda e: length(e) > 2), regexp_extract_all(text, '"([^"]+)"', 1))))[1:10]"""
-    return f""", {_CTX}, r as (select doc_id, context, {_IMP} as importance, {ent} as e from k), x as (select context, entity, count(*) as n from (select context, unnest(e) as entity from r) t group by 1, 2), y as (select *, row_number() over (partition by context order by n desc, entity) as rank from x qualify rank <= 10), z as (select context, string_agg(entity, ';' order by rank) as top_entities from y group by 1)
-    select r.context, count(*) as n, round(avg(importance), 4) as importance, any_value(top_entities) as top_entities from r left join z on z.context = r.context group by 1"""
+    return f""", {_CTX}, r as (select doc_id, context, {_IMP} as importance, {_CSENT} as mood, {ent} as e from k), x as (select context, entity, count(*) as n from (select context, unnest(e) as entity from r) t group by 1, 2), y as (select *, row_number() over (partition by context order by n desc, entity) as rank from x qualify rank <= 10), z as (select context, string_agg(entity, ';' order by rank) as top_entities from y group by 1)
+    select r.context, count(*) as n, round(avg(importance), 4) as importance, count(*) filter (where mood = 'positive') as positive, count(*) filter (where mood = 'negative') as negative, count(*) filter (where mood = 'neutral') as neutral, any_value(top_entities) as top_entities from r left join z on z.context = r.context group by 1"""
 
 
 register("a17_context_summary", context_summary, _context_sql(), ("vDecks",))

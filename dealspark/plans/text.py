@@ -44,6 +44,10 @@ def sql_match(text: str, patterns: list[str]) -> str:
     return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract({text}, {q(p)}, 1)), '')" for p in patterns) + ")"
 
 
+def sql_all(text: str, patterns: list[str]) -> str:
+    return "list_concat(" + ", ".join(f"regexp_extract_all({text}, {q(p)}, 1)" for p in patterns) + ")"
+
+
 def sql_join(items: list[tuple[str, str]], sep: str = ",") -> str:
     return f"array_to_string(list_filter([{', '.join(f'case when {c} then {q(t)} end' for c, t in items)}], lambda x: x is not null), {q(sep)})"
 
@@ -107,15 +111,26 @@ register("e04_extraction_struct", extraction_struct, f", m as (select doc_id, {_
 _TEAM = "text || case when doc_id % 2 = 0 then ' Founders: ada pike' || cast(doc_id % 9 as varchar(2)) || '\n CEO: bo lund. Team of ' || cast(doc_id % 60 as varchar(3)) else '' end"
 def _team() -> Column:
     return F.concat(T(), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" Founders: ada pike"), (F.col("doc_id") % 9).cast("string"), F.lit("\n CEO: bo lund. Team of "), (F.col("doc_id") % 60).cast("string"))).otherwise(""))
-register("e05_founders", lambda s, d: decks(s, d).withColumn("text", _team()).select("doc_id", F.array_join(C.founders(T()), ";").alias("founders")), f""", t as (select doc_id, {_TEAM} as text from vDecks), f as (select doc_id, regexp_extract_all(lower(text), {q(L.FOUNDER_PATTERN)}, 1)[1:5] as f from t)
-    select doc_id, array_to_string(list_transform(f, lambda x: array_to_string(list_transform(string_split(trim(x), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')), ';') as founders from f""", ("vDecks",))
+register("e05_founders", lambda s, d: decks(s, d).withColumn("text", _team()).select("doc_id", F.array_join(C.founders(T()), ";").alias("founders")), f""", t as (select doc_id, {_TEAM} as text from vDecks), f as (select doc_id, {sql_all('lower(text)', L.FOUNDER_PATTERNS)} as f from t)
+    select doc_id, array_to_string(list_filter(list_transform(f, lambda x: array_to_string(list_transform(string_split(trim(x), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')), lambda x: length(x) > 2)[1:5], ';') as founders from f""", ("vDecks",))
 register("e06_team_size", lambda s, d: decks(s, d).withColumn("text", _team()).select("doc_id", C.team_size(T()).alias("team_size")), f", t as (select doc_id, {_TEAM} as text from vDecks) select doc_id, {_SIZE} as team_size from t", ("vDecks",))
-register("e07_industry", lambda s, d: decks(s, d).select("doc_id", X.first_class(T(), L.INDUSTRIES[13]).alias("industry"), X.first_class(T(), L.INDUSTRIES[6]).alias("industry_6")), f"select doc_id, {sql_first('text', L.INDUSTRIES[13])} as industry, {sql_first('text', L.INDUSTRIES[6])} as industry_6 from vDecks", ("vDecks",))
+register("e07_industry", lambda s, d: decks(s, d).select("doc_id", X.first_class(T(), L.INDUSTRIES[13]).alias("industry"), X.first_class(T(), L.INDUSTRIES[8]).alias("industry_8"), X.first_class(T(), L.INDUSTRIES[6]).alias("industry_6")), f"select doc_id, {sql_first('text', L.INDUSTRIES[13])} as industry, {sql_first('text', L.INDUSTRIES[8])} as industry_8, {sql_first('text', L.INDUSTRIES[6])} as industry_6 from vDecks", ("vDecks",))
 _STAGE = "case " + " ".join(f"when contains(lower(text), {q(x)}) then {q('Pre-seed' if x in ('pre-seed', 'preseed') else x)}" for x in L.STAGES) + f" when {sql_hits('text', L.EARLY)} > {sql_hits('text', L.GROWTH)} then 'early stage' when {sql_hits('text', L.GROWTH)} > {sql_hits('text', L.EARLY)} then 'growth stage' end"
 register("e08_funding_stage", lambda s, d: decks(s, d).select("doc_id", C.funding_stage(T()).alias("stage")), f"select doc_id, {_STAGE} as stage from vDecks", ("vDecks",))
 register("e09_company_from_file", lambda s, d: view(s, d, "vLibrary").select("id", C.company_from_file(F.col("file_name")).alias("company")), r"""select id, regexp_replace(trim(regexp_replace(regexp_replace(file_name, '\.pdf$', ''), '[_-]', ' ', 'g')), '(?i)(^| )((pitch|deck|pitchdeck|presentation|final|draft)[0-9]*|v[0-9]+[^ ]*|[0-9]{8})( .*)?$', '') as company from vLibrary""", ("vLibrary",))
-_NAME_PATTERNS = [r"(?i)company *: *([A-Za-z][A-Za-z0-9#]{1,39})", r"(?i)about +([A-Za-z0-9]{2,40})"]
-register("e10_company_from_text", lambda s, d: decks(s, d).select("doc_id", X.first_match(F.substring(T(), 1, 2000), _NAME_PATTERNS).alias("name")), f"select doc_id, {sql_match('substr(text, 1, 2000)', _NAME_PATTERNS)} as name from vDecks", ("vDecks",))
+_TITLED = "case doc_id % 4 when 0 then replace(company, '#', ' ') || ' | Pitch Deck' || chr(10) when 1 then 'Confidential' || chr(10) || replace(company, '#', ' No') || chr(10) when 2 then 'Welcome to Orchid! ' else 'Our Team. ' end || text"
+
+
+def sql_name(text: str) -> str:
+    """The name of a company in a text, by patterns, else by a title line."""
+    found = [f"trim(regexp_replace(regexp_extract(substr({text}, 1, 2000), {q(p)}, 1), '\\s+', ' ', 'g'))" for p in L.NAME_PATTERNS]
+    valid = [f"case when length({n}) between 2 and 40 and lower({n}) not in ({', '.join(map(q, L.NOT_NAMES))}) then {n} end" for n in found]
+    lines = f"list_transform(string_split(substr({text}, 1, 500), chr(10)), lambda x: trim(x))"
+    return f"coalesce({', '.join(valid)}, list_filter({lines}, lambda x: length(x) between 2 and 35 and regexp_matches(x, {q(C.TITLE_LINE)}) and not regexp_matches(lower(x), {q('|'.join(L.NOT_TITLES))}))[1])"
+
+
+register("e10_company_from_text", lambda s, d: decks(s, d).withColumn("text", F.expr(_TITLED)).select("doc_id", C.company_from_text(T()).alias("name")), f", t as (select doc_id, {_TITLED} as text from vDecks) select doc_id, {sql_name('text')} as name from t", ("vDecks",))
+register("e10_company_from_page", lambda s, d: table(s, d, "pages").select("page_id", C.company_from_text(F.col("url")).alias("name")), f"select page_id, {sql_name('url')} as name from pages")
 _YEARS = "'In 2023: $' || cast(doc_id % 50 + 1 as varchar(3)) || 'M and Year 2 - ' || cast(doc_id % 7 + 1 as varchar(3)) || ' crore, 2024 was quiet, 2023 = $9K'"
 register("e11_year_revenues", lambda s, d: C.year_revenues(decks(s, d).select("doc_id", F.expr(_YEARS).alias("text")), "doc_id", "text"), "select doc_id, '2023' as yr, (doc_id % 50 + 1) * 1e6 as revenue from vDecks union all select doc_id, 'year 2', (doc_id % 7 + 1) * 1e7 from vDecks", ("vDecks",))
 _LAKHS = "'2022: ₹' || cast(doc_id % 30 + 1 as varchar(3)) || ' lakh, 2021: 3 crore'"
@@ -129,7 +144,10 @@ register("e17_revenue_proxy", lambda s, d: decks(s, d).select("doc_id", F.coales
 _OPS = "'Fleet of ' || cast(doc_id % 500 as varchar(4)) || ' vehicles, ' || cast(doc_id % 100 as varchar(3)) || '% retention and occupancy: ' || cast(doc_id % 90 as varchar(3)) || '%'"
 _OPS_PATTERNS = {"fleet": [r"(?i)fleet of ([0-9]+)"], "retention": [r"(?i)([0-9]+%) retention"], "occupancy": [r"(?i)occupancy: *([0-9]+%)"]}
 register("e18_operational_metrics", lambda s, d: pick(decks(s, d).select("doc_id", F.expr(_OPS).alias("text")), ["doc_id"], {k: X.first_match(T(), p) for k, p in _OPS_PATTERNS.items()}), "select doc_id, cast(doc_id % 500 as varchar) as fleet, cast(doc_id % 100 as varchar) || '%' as retention, cast(doc_id % 90 as varchar) || '%' as occupancy from vDecks", ("vDecks",))
-register("e20_document_insights", lambda s, d: pick(decks(s, d), ["doc_id"], C.document_insights(T())), f"select doc_id, coalesce({sql_first('text', L.DOC_TYPES)}, 'unknown') as doc_type, {sql_join([(f'regexp_matches(lower(text), {q(p)})', n) for n, p in L.BUSINESS_MODELS])} as models, cast(len(regexp_extract_all(text, '(\\$[0-9][0-9,.]*)', 1)) as int) as figures, regexp_matches(lower(text), 'growth|yoy|annual|yearly') as has_growth from vDecks", ("vDecks",))
+_FOUND = ", ".join(f"{sql_all('text', [f'(?i){x}' for x in p])} as {n}" for n, p in [("amounts", L.FIGURES), *[(n, p) for n, _, p in L.INSIGHTS]])
+_KINDS = [f"case when len({n}) > 0 then {q(t)} end" for n, t, _ in L.INSIGHTS]
+_SAID = ["case when len(amounts) > 0 then 'Financial figures detected: ' || array_to_string(amounts[1:5], ', ') end", _KINDS[0], *[f"case when regexp_matches(lower(text), {q(p)}) then {q(f'Business model: {n}')} end" for n, p in L.BUSINESS_MODELS], *_KINDS[1:]]
+register("e20_document_insights", lambda s, d: pick(decks(s, d), ["doc_id"], C.document_insights(T())), f", i as (select doc_id, text, {_FOUND} from vDecks) select doc_id, coalesce({sql_first('text', L.DOC_TYPES)}, 'unknown') as doc_type, {sql_join([(f'regexp_matches(lower(text), {q(p)})', n) for n, p in L.BUSINESS_MODELS])} as models, array_to_string(amounts[1:5], ', ') as figures, {', '.join(f"array_to_string({n}, ';') as {n}" for n, _, _ in L.INSIGHTS)}, array_to_string(list_filter([{', '.join(_SAID)}], lambda x: x is not null), ' | ') as insights from i", ("vDecks",))
 register("e21_entities", lambda s, d: decks(s, d).select("doc_id", F.array_join(C.entities(T()), ";").alias("entities")), r"""select doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(text, '\b([A-Z][a-zA-Z]*(?:[ \t\n]+[A-Z][a-zA-Z]*)*)', 1), lambda e: length(e) > 2), regexp_extract_all(text, '"([^"]+)"', 1))))[1:10], ';') as entities from vDecks""", ("vDecks",))
 
 # money and years
@@ -203,9 +221,10 @@ register("c07_classify_email", lambda s, d: pick(view(s, d, "vEmails"), ["id"],
 _CC = [(n, "(" + " + ".join(f"cast(regexp_matches(lower(text), {q(C._context_pattern(p))}) as int)" for p in ps) + ")") for n, ps in L.CONTEXTS]
 _CMAX = "greatest(" + ", ".join(c for _, c in _CC) + ")"
 _CTX = f"k as (select *, case when {_CMAX} = 0 then 'general' " + " ".join(f"when {c} = {_CMAX} then {q(n)}" for n, c in _CC) + " end as context from vDecks)"
+_FLAGS = " + case when doc_id % 11 = 0 then 0.2 else 0.0 end + case when doc_id % 13 = 0 then 0.1 else 0.0 end"
 _IMP = f"round(least(1.0, 0.5 + case when regexp_matches(lower(text), '\\$[0-9]|[0-9] *(million|billion) *usd') then 0.2 else 0.0 end + case when context = 'deal' then 0.15 else 0.0 end + case when regexp_matches(lower(text), {q(C._context_pattern('ceo|cto|founder|board|decided|approved'))}) then 0.1 else 0.0 end + case when length(text) > 500 then 0.05 else 0.0 end)::double, 4)"
 _CSENT = f"case when {sql_hits('text', L.CONTEXT_POSITIVE)} > {sql_hits('text', L.CONTEXT_NEGATIVE)} then 'positive' when {sql_hits('text', L.CONTEXT_NEGATIVE)} > {sql_hits('text', L.CONTEXT_POSITIVE)} then 'negative' else 'neutral' end"
-register("c08_detect_context", lambda s, d: pick(decks(s, d), ["doc_id"], C.detect_context(T())), f", {_CTX} select doc_id, context, {sql_join([(f"{sql_hits('text', t)} > 0", n) for n, t in L.TOPICS])} as topics, {_CSENT} as sentiment, {_IMP} as importance from k", ("vDecks",))
+register("c08_detect_context", lambda s, d: pick(decks(s, d), ["doc_id"], C.detect_context(T(), F.col("doc_id") % 11 == 0, F.col("doc_id") % 13 == 0)), f", {_CTX} select doc_id, context, {sql_join([(f"{sql_hits('text', t)} > 0", n) for n, t in L.TOPICS])} as topics, {_CSENT} as sentiment, {_IMP.replace(')::double', _FLAGS + ')::double')} as importance from k", ("vDecks",))
 register("x26_expiry", lambda s, d: decks(s, d).select("doc_id", C.detect_context(T())["context"].alias("context")).select("doc_id", "context", C.expiry(F.col("context"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 100).cast("int"))).alias("expires")).withColumn("expired", F.coalesce(F.col("expires") < F.lit("2024-06-01").cast("date"), F.lit(False))), f", {_CTX}, e as (select doc_id, context, cast(case context when 'market' then date '2024-01-01' + cast(doc_id % 100 + 30 as int) when 'financial' then date '2024-01-01' + cast(doc_id % 100 + 90 as int) when 'deal' then date '2024-01-01' + cast(doc_id % 100 + 180 as int) when 'company' then date '2024-01-01' + cast(doc_id % 100 + 365 as int) end as date) as expires from k) select *, coalesce(expires < date '2024-06-01', false) as expired from e", ("vDecks",))
 register("c09_outreach_intent", lambda s, d: pick(decks(s, d).withColumns({k: F.expr(e) for k, e in {"rc": "doc_id % 11 / 10D", "gc": "doc_id % 7 / 7D", "uc": "doc_id % 3 / 2D", "hi": "doc_id % 3", "me": "doc_id % 4", "co": "doc_id % 2", "cf": "doc_id % 9 / 8D"}.items()}), ["doc_id"], C.outreach_intent(*[F.col(k) for k in ("rc", "gc", "uc", "hi", "me", "co", "cf")])), """, v as (select doc_id, doc_id % 11 / 10.0::double as rc, doc_id % 7 / 7.0::double as gc, doc_id % 3 / 2.0::double as uc, doc_id % 3 as hi, doc_id % 4 as me, doc_id % 2 as co, doc_id % 9 / 8.0::double as cf from vDecks),
     w as (select *, round((case when rc > 0.7 then 2.5 when rc > 0 then 1.0 else 0.0 end + case when gc > 0.7 then 2.0 when gc > 0 then 0.5 else 0.0 end + case when uc > 0.7 then 2.0 when uc > 0 then 0.5 else 0.0 end)::double / 10, 4) as signal, round(least(1.0, (hi * 3 + me * 1.5 + co * 2 + case when cf < 0.3 then 2.0 else 0.0 end)::double / 10), 4) as risk from v),
