@@ -133,5 +133,10 @@ INSIGHTS = [
 ]
 TEAM_SIZE_PATTERNS = [r"([0-9]+) *(?:person|people|employee|team)", r"team *(?:of *)?([0-9]+)"]
 
+#: What a mail is also searched for.
+MAIL_TERMS = ["revenue", "arr", "mrr", "growth", "funding", "valuation", "runway", "burn", "series", "seed", "investment", "return", "profit", "ebitda", "margin", "cagr", "tam", "sam"]
+#: Advice on a document's figures and charts: on many or few terms, on many or no charts.
+VISUAL_ADVICE = ["Strong financial data presentation", "Consider adding more financial metrics", "Good use of data visualization", "Consider adding charts to illustrate key points"]
+
 #: Fixed value: how a mail names a company.
 MAIL_COMPANY = r"(?:company|startup|firm)[ \t\n]+(?:is[ \t\n]+)?([A-Z][a-zA-Z]+)"

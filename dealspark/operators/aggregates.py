@@ -104,6 +104,18 @@ def portfolio_health(ratios: DataFrame) -> DataFrame:
     return counted.where("total > 0").select("total", "low", "high", F.round(share, 4).alias("low_pct"), status.alias("status"), advice.alias("recommendation"))
 
 
+def visual_summary(pages: DataFrame, key: str, pos: str, text: str, terms: list[str], advice: list[str]) -> DataFrame:
+    """a25: per document of recognised pages the figures that stand for charts, the distinct terms, the pages' text in order
+    and advice by thresholds. Counts are added up before the shuffle; the text alone is gathered, as long as the document."""
+    low = F.lower(text)
+    found = F.array_compact(F.array(*[F.when(low.contains(t), t) for t in terms]))
+    rows = pages.select(key, F.regexp_count(text, F.lit("[0-9]{2,}")).alias("charts"), found.alias("terms"), F.struct(pos, text).alias("page"))
+    whole = rows.groupBy(key).agg(F.sum("charts").alias("charts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"), F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p[text]), "\n").alias("text"))
+    n, c = F.size("terms"), F.col("charts")
+    said = F.array_compact(F.array(F.when(n > 10, advice[0]).when(n < 3, advice[1]), F.when(c > 5, advice[2]).when(c == 0, advice[3])))
+    return whole.select(key, "charts", F.array_join("terms", ",").alias("terms"), "text", F.array_join(said, "; ").alias("advice"))
+
+
 def tag_clusters(df: DataFrame, ts: str, tags: str, newest: int, n: int) -> DataFrame:
     """a18: the newest rows clustered by their first two tags in order; the n largest clusters."""
     key = F.when(F.size(tags) == 0, F.array(F.lit("general"))).otherwise(F.array_sort(F.slice(tags, 1, 2)))

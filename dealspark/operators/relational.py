@@ -133,6 +133,27 @@ def growth_summary(points: DataFrame, key: str, order: str, value: str) -> DataF
     return last.select(key, F.col(f"l.{order}").alias(order), F.col(f"l.{value}").alias(value), F.col("l.previous").alias("previous"), F.when(F.col("l.previous").isNotNull(), growth).alias("growth_pct"), text.alias("summary"))
 
 
+def growth_series(points: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """x35: growth in percent of every period on the one before, with its display form."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
+    rows = points.select(key, order, (F.round((F.col(value) - before) / before * 100, 1) + 0.0).alias("growth_pct")).where("growth_pct is not null")
+    return rows.withColumn("display", F.format_string("%.1f%%", "growth_pct"))
+
+
+def market_comparison(df: DataFrame, key: str, group: str, value: str, peers: int = 4) -> DataFrame:
+    """x35: every row with a value beside the largest others of its group, at most `peers`; itself is highlighted."""
+    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(key, group, value)
+    # the largest of each task first, so that no group is sorted whole
+    one = F.struct((-F.col(value)).alias("down"), F.col(key).alias("peer"), F.col(value).alias("size"))
+    part = known.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64)))
+    top = top_per_group(part, [group, "_part"], [F.desc(value), F.asc(key)], peers + 1)
+    best = top.groupBy(group).agg(F.slice(F.array_sort(F.collect_list(one)), 1, peers + 1).alias("best"))
+    others = F.slice(F.filter("best", lambda b: b["peer"] != F.col(key)), 1, peers)
+    self = F.struct(F.lit(None).cast("double").alias("down"), F.col(key).alias("peer"), F.col(value).alias("size"))
+    rows = known.join(best, group).select(key, F.explode(F.concat(F.array(self), others)).alias("b"))
+    return rows.select(key, F.col("b.peer").alias("peer"), F.col("b.size").alias(value), (F.col("b.peer") == F.col(key)).alias("highlight"))
+
+
 def red_flags(points: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """w05: declines between consecutive points; a key without any gets one row that says so."""
     w = Window.partitionBy(key).orderBy(order)

@@ -92,6 +92,21 @@ def accumulate(hits: DataFrame, docs: DataFrame, key: str, text: str, chars: int
     return named.groupBy("head").agg(F.round(F.sum("score"), 4).alias("score"), F.count("*").alias("hits")).orderBy(F.desc("score"), "head").limit(k)
 
 
+def mail_queries(mails: DataFrame, key: str, text: str, company: str, terms: list[str]) -> DataFrame:
+    """r05: up to three queries of each mail: its text, its company, and the finance terms found in it."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\b({'|'.join(terms)})\b"), 1))
+    asked = F.posexplode(F.array(F.col(text), F.col(company), F.array_join(found, " "))).alias("part", "text")
+    return mails.select(key, asked).where("text <> ''").select((F.col(key) * 3 + F.col("part")).alias("qid"), F.col(key).alias("mail"), "text")
+
+
+def search_for_mails(docs: DataFrame, key: str, text: str, queries: DataFrame, chars: int, k: int) -> DataFrame:
+    """r05: the scores of a mail's queries are added over texts that begin alike; the best k of each mail."""
+    hits = bm25(docs, key, text, queries, k).join(queries.select("qid", "mail"), "qid")
+    named = hits.join(docs.select(F.col(key).alias("doc"), F.substring(text, 1, chars).alias("head")), "doc")
+    total = named.groupBy("mail", "head").agg(F.round(F.sum("score"), 4).alias("score"), F.count("*").alias("hits"))
+    return top_per_group(total, ["mail"], [F.desc("score"), F.asc("head")], k)
+
+
 def density(text: Column, terms: list[str]) -> Column:
     """r06: occurrences of terms over two characters per word, times 50."""
     low = F.lower(text)
@@ -257,6 +272,20 @@ def assemble_context(hits: DataFrame, docs: DataFrame, key: str, text: str, n: i
     return named.groupBy("qid").agg(F.substring(joined, 1, n).alias("context"))
 
 
+def with_background(contexts: DataFrame, projections: DataFrame, history: DataFrame) -> DataFrame:
+    """r16: contexts (qid, context) followed by the known projections (qid, yr, value) and the turns so far (qid, turn, role,
+    text), each in order."""
+
+    def lines(df: DataFrame, order: str, line: Column, name: str) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda r: r["line"])
+        return df.groupBy("qid").agg(F.array_join(ordered, "\n").alias(name))
+
+    known = lines(projections, "yr", F.format_string("- Revenue for %s: %s", "yr", "value"), "known")
+    said = lines(history, "turn", F.concat(F.upper("role"), F.lit(": "), F.coalesce("text", F.lit(""))), "said")
+    parts = F.concat_ws("\n\n", F.col("context"), F.concat(F.lit("Known projections:\n"), F.col("known")), F.concat(F.lit("Conversation so far:\n"), F.col("said")))
+    return contexts.join(known, "qid", "left").join(said, "qid", "left").select("qid", parts.alias("context"))
+
+
 def compare_methods(hits: DataFrame) -> DataFrame:
     """a26: hits and best score per query and method (qid, method, score)."""
     return hits.groupBy("qid").pivot("method", ["bm25", "tfidf"]).agg(F.count("score").alias("hits"), F.max("score").alias("top"))

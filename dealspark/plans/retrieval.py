@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dealspark.functions import text as X
+from dealspark.functions import lexicons as L
 from dealspark.functions import vectors as V
+from dealspark.operators import aggregates as A
 from dealspark.operators import classify as C
 from dealspark.operators import relational as R
 from dealspark.operators import retrieve as S
@@ -206,14 +207,29 @@ register("a08_email_stats", email_stats, _email_sql(), ("vEmails",))
 register("a08_email_stats_of", lambda s, d: email_stats(s, d, "the founder"), _email_sql("contains(lower(body), 'the founder')"), ("vEmails",))
 
 
-def visual_summary(s, d):
-    """a25: documents as recognised pages: number lines as charts, distinct finance words, advice by thresholds."""
-    words = ["the", "tion", "ment", "ung", "cion"]
-    t = F.col("text")
-    charts = F.regexp_count(t, F.lit("[0-9]{2,}"))
-    n = F.size(X.keep([(F.lower(t).contains(w), w) for w in words]))
-    return documents(s, d).select("doc_id", charts.alias("charts"), n.alias("terms"), F.when((charts > 5) & (n > 2), "rich").when((charts > 0) | (n > 2), "partial").otherwise("plain").alias("advice"))
+_FT = L.FINANCE_TERMS
+register("a25_visual_summary", lambda s, d: A.visual_summary(documents(s, d).select("doc_id", F.posexplode(F.split("text", "\n+")).alias("pos", "page")), "doc_id", "pos", "page", _FT, L.VISUAL_ADVICE), f"""with p as (select doc_id, unnest(string_split_regex(text, '\n+')) as page, unnest(range(len(string_split_regex(text, '\n+')))) as pos from documents),
+    v as (select doc_id, cast(sum(len(regexp_extract_all(page, '[0-9]{{2,}}'))) as bigint) as charts, string_agg(page, chr(10) order by pos) as text from p group by 1), w as (select *, list_sort(list_filter([{', '.join(f"case when contains(lower(text), '{t}') then '{t}' end" for t in _FT)}], lambda x: x is not null)) as t from v)
+    select doc_id, charts, array_to_string(t, ',') as terms, text, array_to_string(list_filter([case when len(t) > 10 then '{L.VISUAL_ADVICE[0]}' when len(t) < 3 then '{L.VISUAL_ADVICE[1]}' end, case when charts > 5 then '{L.VISUAL_ADVICE[2]}' when charts = 0 then '{L.VISUAL_ADVICE[3]}' end], lambda x: x is not null), '; ') as advice from w""")
+
+
+def mails(s, d):
+    """Benchmark items as mails whose first word is the company."""
+    rows = table(s, d, "benchmark").select("item_id", "text", F.split("text", " ")[0].alias("company"))
+    return S.mail_queries(rows, "item_id", "text", "company", L.MAIL_TERMS)
+
+
+_MAILS = _BM.replace(f"select item_id as qid, {_WORDS} as w from benchmark", f"select qid, {_WORDS} as w from (select item_id * 3 as qid, text from benchmark union all select item_id * 3 + 1, string_split(text, ' ')[1] from benchmark) t")
+register("r05_mail_search", lambda s, d: S.search_for_mails(documents(s, d), "doc_id", "text", mails(s, d), 80, 6), f"with {_MAILS}, h as (select * from bm where score > 0 qualify {_RN} <= 6), a as (select qid // 3 as mail, substr(text, 1, 80) as head, round(sum(score), 4) as score, count(*) as hits from h join documents on doc_id = doc group by 1, 2) select *, cast(row_number() over (partition by mail order by score desc, head) as int) as rank from a qualify rank <= 6")
+
+
+def background(s, d):
+    """r16: items of the benchmark with the revenue of the company and the conversation of the same number."""
+    contexts = S.assemble_context(S.bm25(documents(s, d), "doc_id", "text", queries(s, d), 5), documents(s, d), "doc_id", "text", 4000)
+    known = view(s, d, "vRevenue").join(view(s, d, "vDecks").select(F.col("doc_id").alias("qid"), "company"), "company").select("qid", "yr", F.round(F.col("revenue") / 1e6, 1).cast("string").alias("value"))
+    return S.with_background(contexts, known, table(s, d, "conversations").withColumnRenamed("conv_id", "qid"))
 
 
-_VW = ["the", "tion", "ment", "ung", "cion"]
-register("a25_visual_summary", visual_summary, f"with v as (select doc_id, cast(len(regexp_extract_all(text, '[0-9]{{2,}}')) as int) as charts, {sql_hits('text', _VW)} as terms from documents) select *, case when charts > 5 and terms > 2 then 'rich' when charts > 0 or terms > 2 then 'partial' else 'plain' end as advice from v")
+register("r16_context_with_background", background, f""", {_BM}, h as (select qid, doc, {_RN} as r from bm where score > 0 qualify {_RN} <= 5), x as (select qid, substr(string_agg(text, chr(10) order by r), 1, 4000) as context from h join documents on doc_id = doc group by qid),
+    k as (select v.doc_id as qid, string_agg('- Revenue for ' || yr || ': ' || cast(round(revenue / 1e6, 1) as varchar), chr(10) order by yr) as known from vRevenue r join vDecks v on v.company = r.company group by 1), c as (select conv_id as qid, string_agg(upper(role) || ': ' || coalesce(text, ''), chr(10) order by turn) as said from conversations group by 1)
+    select x.qid, concat_ws(chr(10) || chr(10), context, 'Known projections:' || chr(10) || known, 'Conversation so far:' || chr(10) || said) as context from x left join k on k.qid = x.qid left join c on c.qid = x.qid""", ("vRevenue", "vDecks"))

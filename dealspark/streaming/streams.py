@@ -6,18 +6,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
+
+@cache
+def _own_folder(application: str) -> str:
+    """Only where spark.checkpoint.dir is unset, as on one machine."""
+    return tempfile.mkdtemp(prefix="dealspark-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="dealspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -64,6 +69,39 @@ def sessions(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
     return s.select("user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
 
 
+def capped_sessions(events: DataFrame, idle_minutes: int = 30, cap_hours: int = 8) -> DataFrame:
+    """st04 with the cap: a session ends at the first gap of the idle time, and no session takes in events later than the cap
+    after its start; what comes then begins another. The state of a user is the open session, three numbers. Every batch
+    returns the sessions it touched; of one user and start the row with the most events is the last word."""
+    idle, cap = idle_minutes * 60_000_000, cap_hours * 3_600_000_000
+
+    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        out = [list(state.get)] if state.exists else []
+        for at in sorted(int(t) for pdf in batches for t in pdf["at"]):
+            if out and at < out[-1][1] + idle and at < out[-1][0] + cap:
+                out[-1][1], out[-1][2] = max(at, out[-1][1]), out[-1][2] + 1
+            else:
+                out.append([at, at, 1])
+        state.update(tuple(out[-1]))
+        state.setTimeoutTimestamp(max((out[-1][1] + idle) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], a, min(b + idle, a + cap), n) for a, b, n in out], columns=["user_id", "started", "ended", "n"])
+
+    rows = events.withWatermark("ts", "1 hour").select("user_id", "ts", F.unix_micros("ts").alias("at"))
+    found = rows.groupBy("user_id").applyInPandasWithState(follow, "user_id long, started long, ended long, n long", "started long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("user_id", F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), "n")
+
+
+def concurrent_sessions(sessions: DataFrame, user: str, limit: int = 3) -> DataFrame:
+    """st04: the most sessions a user has open at once, and whether that is over the limit. One that ends when another
+    starts doesn't count with it."""
+    edges = sessions.select(user, F.explode(F.array(F.struct(F.col("started").alias("at"), F.lit(1).alias("step")), F.struct(F.col("ended").alias("at"), F.lit(-1).alias("step")))).alias("e")).groupBy(user, "e.at").agg(F.sum("e.step").alias("step"))
+    open_now = F.sum("step").over(Window.partitionBy(user).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return edges.select(user, open_now.alias("open")).groupBy(user).agg(F.max("open").alias("most")).withColumn("over_limit", F.col("most") > limit)
+
+
 def rate_windows(events: DataFrame) -> DataFrame:
     """st05, alerts: requests per user and action in windows of an hour that slide by five minutes."""
     c = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "60 minutes", "5 minutes"), "user_id", "event_type").agg(F.count("*").alias("n"))
@@ -125,6 +163,25 @@ def classify_emails(emails: DataFrame) -> DataFrame:
     return emails.select("id", email_intent(b)["intent"].alias("reply"), classify_email(b)["intent"].alias("intent"))
 
 
+def upsert_stream(df: DataFrame, key: str, version: str, late_after: str) -> tuple[DataFrame, DataFrame]:
+    """st08: every batch is written as it comes, split by whether a row is older than the newest of its batch by more than
+    `late_after`: rows in time are merged by key (the newest version wins), late ones are set aside. A batch that runs
+    again overwrites its own folder. Returns both."""
+    spark = df.sparkSession
+    base = shared_folder(spark)
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        newest = batch.agg(F.max(version)).first()[0]
+        late = F.coalesce(F.col(version) < F.lit(newest) - F.expr(f"interval {late_after}"), F.lit(True))
+        batch.withColumn("_late", late).write.mode("overwrite").partitionBy("_late").parquet(f"{base}/out/epoch={epoch}")
+
+    df.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*df.schema.fields, StructField("_late", BooleanType()), StructField("epoch", IntegerType())])
+    rows = spark.read.schema(schema).parquet(f"{base}/out")
+    one = F.max_by(F.struct(*df.columns), F.struct(version, "epoch")).alias("r")
+    return rows.where("not _late").groupBy(F.col(key).alias("_key")).agg(one).select("r.*"), rows.where("_late").select(*df.columns)
+
+
 def late_rows(df: DataFrame) -> tuple[DataFrame, int]:
     """st09: runs an aggregation with a watermark and returns its result and the rows dropped as late."""
     spark = df.sparkSession

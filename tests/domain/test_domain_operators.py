@@ -204,3 +204,99 @@ def test_late_rows_are_counted(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
     _, dropped = ST.late_rows(stream)
     assert dropped >= 1
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("Nimbus Labs - Pitch Deck\nmore", "Nimbus Labs"), ("All about Orchid.", "Orchid"), ("Acme Foods is a new platform for cooks", "Acme Foods"), ("x\nBlue River\nline", "Blue River"), ("welcome to Zephyr!", "Zephyr"),
+        ("see https://quill.io now", "quill"), ("about the market", None), ("CONFIDENTIAL\nDelta 4 Co.\n 12 and a longer line of words", "Delta 4 Co."), ("confidential page", None), ("", None), (None, None),
+    ],
+)
+def test_company_from_text(spark, given, want):
+    row = spark.createDataFrame([(given,)], "t string")
+    assert row.select(C.company_from_text(F.col("t")).alias("x")).first()["x"] == want
+
+
+def test_founders_in_order_of_patterns(spark):
+    assert one(spark, C.founders(F.col("t")), t="CEO: bo lund\nFounders: ada pike\nteam - cy orr") == ["Ada Pike", "Cy Orr", "Bo Lund"]
+
+
+def test_importance_with_metadata(spark):
+    plain, flagged = C.detect_context(F.col("t")), C.detect_context(F.col("t"), F.lit(True), F.lit(True))
+    assert one(spark, plain["importance"], t="x") == 0.5
+    assert one(spark, flagged["importance"], t="x") == 0.8
+    assert one(spark, C.detect_context(F.col("t"))["context"], t="acme inc. office") == "company"
+
+
+def test_insights(spark):
+    m = C.document_insights(F.col("t"))
+    text = "Users: 500, churn: 3%, burn rate high, TAM: 5b, Q3 plan, risk assessment"
+    assert one(spark, m["technical"], t=text) == "Users: 500;churn: 3%"
+    assert one(spark, m["risk"], t=text) == "risk assessment;burn rate"
+    assert one(spark, m["insights"], t="plain words") == ""
+
+
+def test_mail_queries(spark):
+    mails = spark.createDataFrame([(1, "Revenue and ARR, revenue", "Acme"), (2, "hello", None), (3, None, "")], "id long, text string, company string")
+    rows = S.mail_queries(mails, "id", "text", "company", ["revenue", "arr"]).collect()
+    assert sorted((r["qid"], r["mail"], r["text"]) for r in rows) == [(3, 1, "Revenue and ARR, revenue"), (4, 1, "Acme"), (5, 1, "revenue arr"), (6, 2, "hello")]
+
+
+def test_context_with_background(spark):
+    contexts = spark.createDataFrame([(1, "a"), (2, "b")], "qid long, context string")
+    known = spark.createDataFrame([(1, "2024", "5"), (1, "2023", "4")], "qid long, yr string, value string")
+    turns = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, "user", "hi")], "qid long, turn long, role string, text string")
+    found = {r["qid"]: r["context"] for r in S.with_background(contexts, known, turns).collect()}
+    assert found == {1: "a\n\nKnown projections:\n- Revenue for 2023: 4\n- Revenue for 2024: 5\n\nConversation so far:\nUSER: hi\nASSISTANT: ", 2: "b"}
+
+
+def test_market_comparison(spark):
+    rows = [(f"c{i}", "x", float(i)) for i in range(7)] + [("d", "y", 1.0), ("e", None, 1.0), ("f", "x", None)]
+    got = R.market_comparison(spark.createDataFrame(rows, "company string, industry string, market double"), "company", "industry", "market").collect()
+    of = lambda k: sorted(r["peer"] for r in got if r["company"] == k and not r["highlight"])
+    assert of("c0") == ["c3", "c4", "c5", "c6"] and of("c6") == ["c2", "c3", "c4", "c5"] and of("d") == []
+    assert {r["company"] for r in got if r["highlight"]} == {*(f"c{i}" for i in range(7)), "d"}
+
+
+def test_visual_summary(spark):
+    pages = spark.createDataFrame([(1, 1, "growth 10 20"), (1, 0, "Revenue"), (2, 0, None)], "doc long, pos int, page string")
+    got = {r["doc"]: r for r in A.visual_summary(pages, "doc", "pos", "page", ["growth", "revenue"], ["many", "few", "charts", "none"]).collect()}
+    assert (got[1]["charts"], got[1]["terms"], got[1]["text"], got[1]["advice"]) == (2, "growth,revenue", "Revenue\ngrowth 10 20", "few")
+
+
+def test_capped_sessions(spark, sf):
+    """Against a walk through every user's events."""
+    idle, cap = dt.timedelta(minutes=600), dt.timedelta(hours=12)
+    want, users = set(), {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts").orderBy("ts").collect():
+        users.setdefault(r["user_id"], []).append(r["ts"])
+    for user, times in users.items():
+        spans = []
+        for t in times:
+            if spans and t < spans[-1][1] + idle and t < spans[-1][0] + cap:
+                spans[-1][1:] = [t, spans[-1][2] + 1]
+            else:
+                spans.append([t, t, 1])
+        want |= {(user, a, min(b + idle, a + cap), n) for a, b, n in spans}
+    got = {(r["user_id"], r["started"].replace(tzinfo=None), r["ended"].replace(tzinfo=None), r["n"]) for r in composite.capped(spark, sf).collect()}
+    assert got == want
+
+
+def test_concurrent_sessions(spark):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [("a", t(0), t(5)), ("a", t(1), t(6)), ("a", t(2), t(7)), ("a", t(3), t(4)), ("b", t(0), t(1)), ("b", t(1), t(2))]
+    got = ST.concurrent_sessions(spark.createDataFrame(rows, "user string, started timestamp, ended timestamp"), "user").collect()
+    assert {r["user"]: (r["most"], r["over_limit"]) for r in got} == {"a": (4, True), "b": (1, False)}
+
+
+def test_sql_functions_equal_columns(spark):
+    from dealspark.functions import sql as SF
+
+    SF.create_functions(spark)
+    texts = ["$25K and 5 crore, 25M and 5M", "Strong growth, not a problem", "burn rate is high, stable", "We are not interested, let's talk", "series b of acme inc.", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = {"normal_numbers": X.normalise_numbers(F.col("t")), "sentiment_score": C.sentiment(F.col("t"))["score"], "risk_score": C.risk_score(F.col("t")), "email_intent": C.email_intent(F.col("t"))["intent"], "context_type": C.detect_context(F.col("t"))["context"], "money_value": X.money_value(F.col("t"))}
+    for name, column in both.items():
+        rows = df.select(F.expr(f"{name}(t)").alias("a"), column.alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows], name
