@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="dealspark-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="dealspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
 
 
 def materialise(df: DataFrame) -> DataFrame:
