@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,16 @@ def clean_placeholder(col: Column, default: str | None = None) -> Column:
     return F.when(col.isNull() | F.trim(col).isin(PLACEHOLDERS), F.lit(default)).otherwise(col)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once a row however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def present(text: Column, terms: list[str]) -> Column:
+    """Those of the terms that occur in a text, in their order; none for null. One expression, however many terms."""
+    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: text.contains(t))
+
+
 def hits(text: Column, terms: list[str]) -> Column:
     """How many of the terms occur in lower-cased text."""
     low = F.lower(text)

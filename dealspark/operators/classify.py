@@ -14,12 +14,6 @@ from dealspark.functions import text as X
 TITLE_LINE = "^[A-Z][A-Za-z0-9&.]*(?:[ \\t]+[A-Za-z0-9&.]+){0,3}$"
 
 
-def occurrences(text: Column, term: str) -> Column:
-    """How often a term occurs in lower-cased text, without overlap."""
-    low = F.lower(text)
-    return ((F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)).cast("int")
-
-
 def score_lexicon(df: DataFrame, text: str, key: str, lexicon: DataFrame) -> DataFrame:
     """c00 for long lexicons: words of the texts meet the terms (category, term, weight) in an equi-join. Returns key,
     category, hits (distinct terms), occurrences and weighted score."""
@@ -28,19 +22,21 @@ def score_lexicon(df: DataFrame, text: str, key: str, lexicon: DataFrame) -> Dat
 
 
 def sentiment(text: Column) -> dict[str, Column]:
-    """c01."""
-    terms = {**L.POSITIVE, **L.NEGATIVE}
+    """c01. Texts are lower-cased once; only the terms that occur in them are counted, without overlap."""
+    weighted = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("weight")) for t, w in {**L.POSITIVE, **L.NEGATIVE}.items()])
+    times = lambda low, x: ((F.length(low) - F.length(F.replace(low, x["term"], F.lit("")))) / F.length(x["term"])).cast("int")
+    found = X.let(F.lower(text), lambda low: F.transform(F.filter(weighted, lambda x: low.contains(x["term"])), lambda x: times(low, x) * x["weight"]))
     words = F.size(X.blank_split(F.coalesce(text, F.lit(""))))
-    net = reduce(lambda a, b: a + b, [occurrences(text, t) * w for t, w in terms.items()])
+    net = F.aggregate(found, F.lit(0.0), lambda total, x: total + x)
     score = F.when(words > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), net / (words * 0.1)))).otherwise(0.0)
     score = F.round(F.coalesce(score, F.lit(0.0)), 3)
-    found = F.coalesce(X.hits(text, list(terms)), F.lit(0))
+    terms = lambda lexicon: F.array_join(X.let(F.lower(text), lambda low: X.present(low, list(lexicon))), ",")
     return {
         "score": score,
-        "sentiment": F.when(score > 0.3, "positive").when(score < -0.3, "negative").otherwise("neutral"),
-        "confidence": F.round(F.least(F.lit(1.0), found / F.greatest(words * 0.05, F.lit(1.0))), 3),
-        "positive": F.array_join(X.keep([(F.lower(text).contains(t), t) for t in L.POSITIVE]), ","),
-        "negative": F.array_join(X.keep([(F.lower(text).contains(t), t) for t in L.NEGATIVE]), ","),
+        "sentiment": X.let(score, lambda s: F.when(s > 0.3, "positive").when(s < -0.3, "negative").otherwise("neutral")),
+        "confidence": F.round(F.least(F.lit(1.0), F.size(found) / F.greatest(words * 0.05, F.lit(1.0))), 3),
+        "positive": terms(L.POSITIVE),
+        "negative": terms(L.NEGATIVE),
         "words": words,
     }
 
@@ -48,10 +44,15 @@ def sentiment(text: Column) -> dict[str, Column]:
 def risk_score(text: Column) -> Column:
     """c02."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    n = [(F.regexp_count(low, F.lit(p)), s, L.RISK_WEIGHTS[level]) for level, p, s in L.RISKS]
-    total = reduce(lambda a, b: a + b, [c * (s * w) for c, s, w in n])
-    weight = reduce(lambda a, b: a + b, [c * w for c, _, w in n])
-    return F.round(F.when(weight > 0, F.least(F.lit(1.0), total / weight)).otherwise(0.0), 6)
+    counts = F.array(*[F.regexp_count(low, F.lit(p)) for _, p, _ in L.RISKS])
+    weights = [(s, L.RISK_WEIGHTS[level]) for level, _, s in L.RISKS]
+
+    def share(n: Column) -> Column:
+        total = reduce(lambda a, b: a + b, [n[i] * (s * w) for i, (s, w) in enumerate(weights)])
+        weight = reduce(lambda a, b: a + b, [n[i] * w for i, (_, w) in enumerate(weights)])
+        return F.round(F.when(weight > 0, F.least(F.lit(1.0), total / weight)).otherwise(0.0), 6)
+
+    return X.let(counts, share)
 
 
 def risk_indicators(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,20 +69,24 @@ def padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}']+", " ")), F.lit(" "))
 
 
-def word_hits(text: Column, terms: list[str]) -> Column:
-    t = padded(text)
-    return reduce(lambda a, b: a + b, [t.contains(f" {k} ").cast("int") for k in terms])
+def email_intent(text: Column) -> dict[str, Column]:
+    """c04. The text is brought to single words once for all terms."""
+    whole = lambda t, terms: F.transform(X.present(t, [f" {k} " for k in terms]), lambda k: F.trim(k))
+    found = X.let(padded(text), lambda t: F.struct(whole(t, L.INTERESTED).alias("yes"), whole(t, L.NOT_INTERESTED).alias("no"), whole(t, L.PENDING).alias("maybe")))
 
+    def pick(rejected, interested, open_) -> Column:
+        def one(f: Column) -> Column:
+            yes, no = F.size(f["yes"]) * 2, F.size(f["no"]) * 3
+            return F.when((no > yes) & (no > 0), rejected(f)).when(yes > 0, interested(f)).otherwise(open_(f))
 
-def email_intent(text: Column) -> dict[str, Column]:
-    """c04."""
-    yes, no, maybe = word_hits(text, L.INTERESTED) * 2, word_hits(text, L.NOT_INTERESTED) * 3, word_hits(text, L.PENDING)
-    rejects = (no > yes) & (no > 0)
-    status = F.when(rejects, "not_interested").when(yes > 0, "interested").otherwise("pending")
-    confidence = F.when(rejects, no / 3).when(yes > 0, yes / 4).otherwise(maybe / 2)
-    t = padded(text)
-    words = lambda terms: F.array_join(X.keep([(t.contains(f" {k} "), k) for k in terms]), ",")
-    return {"intent": F.coalesce(status, F.lit("pending")), "confidence": F.round(F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0))), 2), "keywords": F.when(rejects, words(L.NOT_INTERESTED)).when(yes > 0, words(L.INTERESTED)).otherwise(words(L.PENDING))}
+        return X.let(found, one)
+
+    confidence = pick(lambda f: F.size(f["no"]) * 3 / 3, lambda f: F.size(f["yes"]) * 2 / 4, lambda f: F.size(f["maybe"]) / 2)
+    return {
+        "intent": pick(lambda _: F.lit("not_interested"), lambda _: F.lit("interested"), lambda _: F.lit("pending")),
+        "confidence": F.round(F.least(F.lit(1.0), confidence), 2),
+        "keywords": F.array_join(pick(lambda f: f["no"], lambda f: f["yes"], lambda f: f["maybe"]), ","),
+    }
 
 
 def sender_type(text: Column) -> Column:

@@ -12,14 +12,14 @@ from dealspark.functions import text as X
 from dealspark.functions import vectors as V
 from dealspark.operators.relational import top_per_group
 
-#: Largest number of queries (or query terms) that is broadcast; beyond it Spark joins them by a shuffle.
-BROADCAST_QUERIES = 10_000
+#: Largest number of queries' terms that is broadcast (some 10 MB); beyond it Spark joins them by a shuffle.
+BROADCAST_TERMS = 200_000
 #: Rows of a block of vectors and of a block of queries: bounds on what one task multiplies.
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_QUERIES else df
+    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
 class TextIndex:
@@ -42,11 +42,11 @@ def _query_terms(queries: DataFrame, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """r02: queries: qid, text. Best k of each query with a score above 0; repeated query terms count once."""
     terms = _query_terms(queries, "text")
-    n = queries.count()
+    n = terms.count()
     index = TextIndex(docs, key, text, maybe_broadcast(terms.select("term").distinct(), n))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    scored = index.postings.join(index.df, "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
+    scored = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
     total = scored.groupBy("qid", "doc").agg(F.round(F.sum("w"), 4).alias("score")).where("score > 0")
     return top_per_group(total, ["qid"], [F.desc("score"), F.asc("doc")], k)
 
@@ -55,7 +55,7 @@ def bm25_within(docs: DataFrame, group: str, key: str, text: str, queries: DataF
     """r02 with an index of each group's own: numbers, mean lengths, document frequencies and ranks are those of the group.
     Keys need to be unique within their group only."""
     terms = _query_terms(queries, "text")
-    n = queries.count()
+    n = terms.count()
     words = docs.select(group, F.col(key).alias("doc"), X.letter_runs(F.col(text)).alias("w")).withColumn("length", F.size("w"))
     stats = words.groupBy(group).agg(F.count("*").alias("N"), F.avg("length").alias("avgdl"))
     sized = words.select(group, "doc", "length", F.explode("w").alias("term")).join(maybe_broadcast(terms.select("term").distinct(), n), "term", "left_semi")
@@ -71,10 +71,10 @@ def bm25_within(docs: DataFrame, group: str, key: str, text: str, queries: DataF
 def tfidf(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
     """r03: tf = count / length, idf = ln((N+1)/(df+1)) + 1; repeated query terms add."""
     terms = _query_terms(queries, "text")
-    n = queries.count()
+    n = terms.count()
     index = TextIndex(docs, key, text, maybe_broadcast(terms.select("term").distinct(), n))
     weight = F.col("tf") / F.col("length") * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1)
-    scored = index.postings.join(index.df, "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
+    scored = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
     total = scored.groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 4).alias("score")).where("score > 0")
     return top_per_group(total, ["qid"], [F.desc("score"), F.asc("doc")], k)
 

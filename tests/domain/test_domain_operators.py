@@ -118,7 +118,7 @@ def test_knn_forms_agree(spark, sf):
 
 
 def test_knn_of_many_queries(spark, sf, monkeypatch):
-    monkeypatch.setattr(S, "BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(S, "BROADCAST_TERMS", 3)
     monkeypatch.setattr(S, "BLOCK_ROWS", 60, raising=False)
     monkeypatch.setattr(S, "QUERY_ROWS", 7, raising=False)
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
