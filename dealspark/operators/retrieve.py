@@ -212,37 +212,12 @@ def hybrid_concat(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return top_per_group(once.select("qid", "id", F.col("m.method").alias("method"), F.col("m.r").alias("r")), ["qid"], [F.asc("method"), F.asc("r"), F.asc("id")], k).select("qid", "id", "method", "rank")
 
 
-def cell_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 32, sample_rows: int = 50_000, seed: int = 7) -> DataFrame:
-    """r12: vectors are filed under the nearest of `cells` k-means centres of unit vectors, fitted on a sample of about
-    `sample_rows`; every vector is filed. A query is compared exactly (cosine) with the vectors of its nearest `probes`
-    cells, a share of probes / cells of the table or less."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    ready = lambda df, key: df.where(F.col(key).isNotNull() & F.col("v").isNotNull()).select(F.col(key).cast("long").alias(key), V.normalise(F.col("v")).alias("v"))
-    a, b = ready(vectors, "id"), ready(queries, "qid")
-    n = a.count()
-    if not n:
-        return knn_blocks(vectors, queries, k)
-    sample = a.where(F.shiftrightunsigned(F.xxhash64("id"), 11) < F.lit(min(1.0, sample_rows / n) * float(1 << 53))) if n > sample_rows else a
-    centres = np.array(KMeans(k=min(cells, n), seed=seed, maxIter=10, featuresCol="f").fit(sample.select(array_to_vector("v").alias("f"))).clusterCenters())
-
-    def nearest(key: str, count: int):
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    far = (centres**2).sum(axis=1)[None] - 2 * (v @ centres.T)
-                    cell = np.argsort(far, axis=1, kind="stable")[:, :count].astype(np.int32)
-                    row = np.repeat(np.arange(batch.num_rows), cell.shape[1])
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(cell.reshape(-1))], names=[key, "v", "cell"])
-
-        return run
-
-    filed = a.mapInArrow(nearest("id", 1), "id long, v array<double>, cell int")
-    asked = b.mapInArrow(nearest("qid", probes), "qid long, v array<double>, cell int").withColumnRenamed("v", "qv")
-    scored = filed.join(asked, "cell").where("qid <> id").select("qid", "id", F.round(V.dot(F.col("v"), F.col("qv")), 6).alias("score"))
-    return top_per_group(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
+def cell_knn(vectors: DataFrame, queries: DataFrame, k: int, recall: float = 0.9) -> DataFrame:
+    """r12: builds an index of the vectors for this search alone; `annindex.VectorIndex` keeps one."""
+    from dealspark.operators.annindex import VectorIndex
+    from dealspark.streaming.streams import shared_folder
+
+    return VectorIndex.build(vectors, shared_folder(vectors.sparkSession), k, recall).search(queries, k)
 
 
 def mean_vector(vectors: DataFrame, key: list[str]) -> DataFrame:

@@ -11,9 +11,11 @@ from dealspark.operators import aggregates as A
 from dealspark.operators import classify as C
 from dealspark.operators import relational as R
 from dealspark.operators import retrieve as S
+from dealspark.operators.annindex import VectorIndex, recall_of
 from dealspark.plans.adapters import view
 from dealspark.plans.registry import register, table
 from dealspark.plans.text import sql_hits
+from dealspark.streaming.streams import shared_folder
 
 
 def documents(s, d):
@@ -60,7 +62,17 @@ register("r11_knn_cosine", lambda s, d: S.knn(embeddings(s, d), probes(s, d), 5)
 register("r11_knn_l2", lambda s, d: S.knn(embeddings(s, d), probes(s, d), 5, "l2"), f"with {_V}, c as (select q.id as qid, x.id as id, round(-list_distance(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0) select qid, id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 5")
 register("r11_knn_inner", lambda s, d: S.knn(embeddings(s, d), probes(s, d), 5, "inner", 0.1), f"with {_V}, c as (select q.id as qid, x.id as id, round(list_inner_product(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0) select qid, id, score, cast({_TOP} as int) as rank from c where score >= 0.1 qualify {_TOP} <= 5")
 register("r11_knn_blocks", lambda s, d: S.knn_blocks(embeddings(s, d), probes(s, d), 5), f"with {_V}, c as (select q.id as qid, x.id as id, round(list_cosine_similarity(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0) select qid, id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 5")
+
+
+def approximate_recall(s, d):
+    """r12: whether nine of ten true neighbours are found by comparing under a twentieth of the table exactly."""
+    index = VectorIndex.build(embeddings(s, d), shared_folder(s), 5)
+    r = recall_of(index.search(probes(s, d), 5), S.knn(embeddings(s, d), probes(s, d), 5), embeddings(s, d), index.compared)
+    return r.select("queries", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("share") < 0.05).alias("few_compared"))
+
+
 register("r12_ann", lambda s, d: S.cell_knn(embeddings(s, d), probes(s, d), 5))
+register("r12_ann_recall", approximate_recall, "select count(*) as queries, true as recall_reached, true as few_compared from embeddings where vec_id % 20 = 0")
 _MEAN = "u as (select label, i, avg(v[i]) as x from v, unnest(range(1, 65)) t(i) group by 1, 2), m as (select label, list(x order by i) as m from u group by 1)"
 register("r13_vector_arithmetic", lambda s, d: S.vector_arithmetic(embeddings(s, d), F.col("label") == 1, F.col("label") == 2, 10).select("id", "score", "rank"), f"with {_V}, {_MEAN}, t as (select list_transform(range(1, 65), lambda i: a.m[i] - b.m[i]) as t from m a, m b where a.label = 1 and b.label = 2), c as (select -1 as qid, id, round(list_cosine_similarity(v, t), 6) as score from v, t) select id, score, cast({_TOP} as int) as rank from c qualify {_TOP} <= 10")
 register("r14_vector_forms", lambda s, d: embeddings(s, d).select("id", F.round(V.norm(V.normalise(F.col("v"))), 6).alias("unit"), F.size(V.fit_dim(F.col("v"), 100)).alias("padded"), F.size(V.fit_dim(F.col("v"), 10)).alias("cut"), F.round(V.norm(V.parse_vector(F.to_json("v"))) / V.norm(F.col("v")), 6).alias("parsed")), f"with {_V} select id, 1.0::double as unit, 100 as padded, 10 as cut, 1.0::double as parsed from v")
