@@ -5,14 +5,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import cache
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 @cache
@@ -69,31 +67,6 @@ def sessions(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
     return s.select("user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
 
 
-def capped_sessions(events: DataFrame, idle_minutes: int = 30, cap_hours: int = 8) -> DataFrame:
-    """st04 with the cap: a session ends at the first gap of the idle time, and no session takes in events later than the cap
-    after its start; what comes then begins another. The state of a user is the open session, three numbers. Every batch
-    returns the sessions it touched; of one user and start the row with the most events is the last word."""
-    idle, cap = idle_minutes * 60_000_000, cap_hours * 3_600_000_000
-
-    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        out = [list(state.get)] if state.exists else []
-        for at in sorted(int(t) for pdf in batches for t in pdf["at"]):
-            if out and at < out[-1][1] + idle and at < out[-1][0] + cap:
-                out[-1][1], out[-1][2] = max(at, out[-1][1]), out[-1][2] + 1
-            else:
-                out.append([at, at, 1])
-        state.update(tuple(out[-1]))
-        state.setTimeoutTimestamp(max((out[-1][1] + idle) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], a, min(b + idle, a + cap), n) for a, b, n in out], columns=["user_id", "started", "ended", "n"])
-
-    rows = events.withWatermark("ts", "1 hour").select("user_id", "ts", F.unix_micros("ts").alias("at"))
-    found = rows.groupBy("user_id").applyInPandasWithState(follow, "user_id long, started long, ended long, n long", "started long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.select("user_id", F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), "n")
-
-
 def concurrent_sessions(sessions: DataFrame, user: str, limit: int = 3) -> DataFrame:
     """st04: the most sessions a user has open at once, and whether that is over the limit. One that ends when another
     starts doesn't count with it."""
@@ -108,47 +81,6 @@ def rate_windows(events: DataFrame) -> DataFrame:
     return c.select(F.col("window.start").alias("start"), "user_id", "event_type", "n")
 
 
-def rate_verdicts(events: DataFrame, limit: int = 100, minutes: int = 60) -> DataFrame:
-    """st05, exact: for every event whether it is allowed, what remains, and when the window frees up. The state of a
-    user holds the times of the trailing window and goes after it."""
-    span = minutes * 60_000
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, ts in zip(pdf["event_id"], pdf["ts"], strict=True):
-            now = int(ts.timestamp() * 1000)
-            times = [t for t in times if t > now - span]
-            allowed = len(times) < limit
-            if allowed:
-                times.append(now)
-            out.append((key[0], event_id, allowed, limit - len(times), pd.Timestamp(times[0] + span, unit="ms") if times else ts))
-        state.update((times,))
-        state.setTimeoutTimestamp(max(times[-1] + span, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "remaining", "reset_at"])
-
-    schema = "user_id long, event_id long, allowed boolean, remaining int, reset_at timestamp"
-    return events.select("user_id", "event_id", "ts").withWatermark("ts", "1 hour").groupBy("user_id").applyInPandasWithState(decide, schema, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def last_turns(turns: DataFrame, n: int = 20) -> DataFrame:
-    """st06: the last n turns of each conversation, kept as state; every update returns the ring's size and last turn."""
-
-    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            ring += pdf["turn"].tolist()
-        ring = sorted(ring)[-n:]
-        state.update((ring,))
-        yield pd.DataFrame({"conv_id": [key[0]], "kept": [len(ring)], "first_turn": [ring[0]], "last_turn": [ring[-1]]})
-
-    return turns.groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, kept int, first_turn long, last_turn long", "ring array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def dedupe_ttl(events: DataFrame, keys: list[str], minutes: int = 5) -> DataFrame:
     """st07: one event per key and bucket of some minutes."""
     bucket = F.window("ts", f"{minutes} minutes")["start"]
@@ -163,31 +95,100 @@ def classify_emails(emails: DataFrame) -> DataFrame:
     return emails.select("id", email_intent(b)["intent"].alias("reply"), classify_email(b)["intent"].alias("intent"))
 
 
-def upsert_stream(df: DataFrame, key: str, version: str, late_after: str) -> tuple[DataFrame, DataFrame]:
-    """st08: every batch is written as it comes, split by whether a row is older than the newest of its batch by more than
-    `late_after`: rows in time are merged by key (the newest version wins), late ones are set aside. A batch that runs
-    again overwrites its own folder. Returns both."""
-    spark = df.sparkSession
-    base = shared_folder(spark)
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        newest = batch.agg(F.max(version)).first()[0]
-        late = F.coalesce(F.col(version) < F.lit(newest) - F.expr(f"interval {late_after}"), F.lit(True))
-        batch.withColumn("_late", late).write.mode("overwrite").partitionBy("_late").parquet(f"{base}/out/epoch={epoch}")
-
-    df.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    schema = StructType([*df.schema.fields, StructField("_late", BooleanType()), StructField("epoch", IntegerType())])
-    rows = spark.read.schema(schema).parquet(f"{base}/out")
+class Epochs:
+    """A folder that foreachBatch writes: tables with a part for each epoch, and a manifest of each epoch, written last. What
+    an epoch does follows from its batch and the manifests before it, so one that runs again writes the same again; parts
+    without a manifest are not read. A manifest has the newest time so far (microseconds) and its batch's number of late rows."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base
+        self.write(spark.createDataFrame([], "newest long, late long"), "manifest", -1)
+
+    def write(self, df: DataFrame, table: str, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.base}/{table}/epoch={epoch}")
+
+    def manifests(self) -> DataFrame:
+        return self.spark.read.schema("newest long, late long, epoch int").parquet(f"{self.base}/manifest")
+
+    def newest(self, before: int | None = None) -> int | None:
+        """The newest time of all epochs, or of those before one: batches are numbered without gaps, so one manifest tells."""
+        if before is None:
+            return self.manifests().agg(F.max("newest")).first()[0]
+        row = self.spark.read.schema("newest long, late long").parquet(f"{self.base}/manifest/epoch={before - 1}").first()
+        return row["newest"] if row else None
+
+    def commit(self, epoch: int, newest: int | None, late: int) -> None:
+        self.write(self.spark.createDataFrame([(newest, late)], "newest long, late long").coalesce(1), "manifest", epoch)
+
+    def read(self, table: str, schema: StructType, before: int | None = None) -> DataFrame:
+        """Rows of committed epochs, or of those before one."""
+        done = self.manifests().select("epoch")
+        done = done if before is None else done.where(F.col("epoch") < before)
+        whole = StructType([*schema.fields, StructField("epoch", IntegerType())])
+        if done.isEmpty():
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).parquet(f"{self.base}/{table}").join(F.broadcast(done), "epoch", "left_semi")
+
+    def late(self) -> int:
+        return self.manifests().agg(F.coalesce(F.sum("late"), F.lit(0))).first()[0]
+
+    def run(self, df: DataFrame, sink: Callable[[DataFrame, int, int | None, int | None], DataFrame], version: str) -> None:
+        """Runs the stream over what is there. sink: batch, epoch, the newest time before and with it; it returns the late rows."""
+
+        def each(batch: DataFrame, epoch: int) -> None:
+            batch.persist()
+            try:
+                before, own = self.newest(epoch), batch.agg(F.max(F.unix_micros(version))).first()[0]
+                newest = max((t for t in (before, own) if t is not None), default=None)
+                late = sink(batch, epoch, before, newest)
+                self.write(late, "late", epoch)
+                self.commit(epoch, newest, self.spark.read.schema(late.schema).parquet(f"{self.base}/late/epoch={epoch}").count())
+            finally:
+                batch.unpersist()
+
+        df.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def _less(newest: int | None, delay: str) -> Column:
+    return F.timestamp_micros(F.lit(newest).cast("long")) - F.expr(f"interval {delay}")
+
+
+def upsert_stream(df: DataFrame, key: str, version: str, late_after: str, base: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """st08: upserts by key with a table of late rows. A row is late when it is older than the newest of all by more than
+    `late_after`. Every epoch logs its rows once and moves the watermark kept in the manifests; rows that are under it, of
+    this batch or of an earlier one that it has now passed, go to the late table, so the same rows give the same two tables
+    however they are split and ordered. Only the times between the old and the new watermark are read again. Rows without a
+    version are late. base: the folder to go on with. Returns (newest version of each key among the rows in time, late rows)."""
+    epochs = Epochs(df.sparkSession, base or shared_folder(df.sparkSession))
+
+    def sink(batch: DataFrame, epoch: int, before: int | None, newest: int | None) -> DataFrame:
+        epochs.write(batch, "rows", epoch)
+        passed = batch.where(F.coalesce(F.col(version) < _less(newest, late_after), F.lit(True)))
+        if before is None or newest == before:
+            return passed
+        between = (F.col(version) >= _less(before, late_after)) & (F.col(version) < _less(newest, late_after))
+        return passed.unionByName(epochs.read("rows", df.schema, epoch).where(between).select(*df.columns))
+
+    epochs.run(df, sink, version)
+    in_time = epochs.read("rows", df.schema).where(F.col(version) >= _less(epochs.newest(), late_after))
     one = F.max_by(F.struct(*df.columns), F.struct(version, "epoch")).alias("r")
-    return rows.where("not _late").groupBy(F.col(key).alias("_key")).agg(one).select("r.*"), rows.where("_late").select(*df.columns)
-
-
-def late_rows(df: DataFrame) -> tuple[DataFrame, int]:
-    """st09: runs an aggregation with a watermark and returns its result and the rows dropped as late."""
-    spark = df.sparkSession
-    base = shared_folder(spark)
-    agg = df.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
-    query = agg.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    dropped = sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
-    return spark.read.schema(agg.schema).parquet(f"{base}/out"), dropped
+    return in_time.groupBy(F.col(key).alias("_key")).agg(one).select("r.*"), epochs.read("late", df.schema).select(*df.columns)
+
+
+def late_rows(df: DataFrame, delay: str = "1 hour", window_minutes: int = 60, base: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """st09: counts per window, and the rows that came after their window was closed: the newest time of all batches before
+    theirs, less the delay, had reached the window's end. Every epoch adds its counts and keeps its late rows and their
+    number, so nothing is forgotten however many batches there are. Rows without a time are late. Returns counts (start, n), late
+    rows, and the number of late rows."""
+    epochs = Epochs(df.sparkSession, base or shared_folder(df.sparkSession))
+    size = window_minutes * 60
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / size) * size)
+
+    def sink(batch: DataFrame, epoch: int, before: int | None, newest: int | None) -> DataFrame:
+        open_ = F.col("ts").isNotNull() if before is None else F.coalesce(start + F.expr(f"interval {size} seconds") > _less(before, delay), F.lit(False))
+        epochs.write(batch.where(open_).groupBy(start.alias("start")).agg(F.count("*").alias("n")), "counts", epoch)
+        return batch.where(~open_)
+
+    epochs.run(df, sink, "ts")
+    total = epochs.read("counts", StructType.fromDDL("start timestamp, n long")).groupBy("start").agg(F.sum("n").alias("n"))
+    return total, epochs.read("late", df.schema).select(*df.columns), epochs.late()
