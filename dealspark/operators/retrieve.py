@@ -35,15 +35,12 @@ class TextIndex:
         self.df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _query_terms(queries: DataFrame, text: str) -> DataFrame:
+def query_terms(queries: DataFrame, text: str) -> DataFrame:
     return queries.select("qid", F.explode(X.letter_runs(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """r02: queries: qid, text. Best k of each query with a score above 0; repeated query terms count once."""
-    terms = _query_terms(queries, "text")
-    n = terms.count()
-    index = TextIndex(docs, key, text, maybe_broadcast(terms.select("term").distinct(), n))
+def score_bm25(index, terms: DataFrame, n: int, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """index: postings, df and stats; terms: qid, term, of n rows."""
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
     scored = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
@@ -51,10 +48,25 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: f
     return top_per_group(total, ["qid"], [F.desc("score"), F.asc("doc")], k)
 
 
+def score_tfidf(index, terms: DataFrame, n: int, k: int) -> DataFrame:
+    weight = F.col("tf") / F.col("length") * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1)
+    scored = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
+    total = scored.groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 4).alias("score")).where("score > 0")
+    return top_per_group(total, ["qid"], [F.desc("score"), F.asc("doc")], k)
+
+
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """r02: queries: qid, text. Best k of each query with a score above 0; repeated query terms count once. Indexes the documents for
+    this search alone; `textindex.InvertedIndex` keeps an index."""
+    terms = query_terms(queries, "text")
+    n = terms.count()
+    return score_bm25(TextIndex(docs, key, text, maybe_broadcast(terms.select("term").distinct(), n)), terms, n, k, k1, b)
+
+
 def bm25_within(docs: DataFrame, group: str, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """r02 with an index of each group's own: numbers, mean lengths, document frequencies and ranks are those of the group.
     Keys need to be unique within their group only."""
-    terms = _query_terms(queries, "text")
+    terms = query_terms(queries, "text")
     n = terms.count()
     words = docs.select(group, F.col(key).alias("doc"), X.letter_runs(F.col(text)).alias("w")).withColumn("length", F.size("w"))
     stats = words.groupBy(group).agg(F.count("*").alias("N"), F.avg("length").alias("avgdl"))
@@ -70,13 +82,9 @@ def bm25_within(docs: DataFrame, group: str, key: str, text: str, queries: DataF
 
 def tfidf(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
     """r03: tf = count / length, idf = ln((N+1)/(df+1)) + 1; repeated query terms add."""
-    terms = _query_terms(queries, "text")
+    terms = query_terms(queries, "text")
     n = terms.count()
-    index = TextIndex(docs, key, text, maybe_broadcast(terms.select("term").distinct(), n))
-    weight = F.col("tf") / F.col("length") * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1)
-    scored = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
-    total = scored.groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 4).alias("score")).where("score > 0")
-    return top_per_group(total, ["qid"], [F.desc("score"), F.asc("doc")], k)
+    return score_tfidf(TextIndex(docs, key, text, maybe_broadcast(terms.select("term").distinct(), n)), terms, n, k)
 
 
 def dedupe_hits(hits: DataFrame, docs: DataFrame, key: str, text: str, chars: int, n: int) -> DataFrame:

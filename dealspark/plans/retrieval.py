@@ -12,6 +12,7 @@ from dealspark.operators import classify as C
 from dealspark.operators import relational as R
 from dealspark.operators import retrieve as S
 from dealspark.operators.annindex import VectorIndex, recall_of
+from dealspark.operators.textindex import InvertedIndex
 from dealspark.plans.adapters import view
 from dealspark.plans.registry import register, table
 from dealspark.plans.text import sql_hits
@@ -26,6 +27,17 @@ def queries(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+_INDEXES: dict[tuple[str, str], InvertedIndex] = {}
+
+
+def indexed(s, d) -> InvertedIndex:
+    """The stored index of the documents: built at the first search of an application, opened by the others."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        _INDEXES[at] = InvertedIndex.create(s, shared_folder(s), documents(s, d))
+    return _INDEXES[at]
+
+
 _WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: x <> '')"
 _INDEX = f"""w as (select doc_id as doc, {_WORDS} as w from documents), q as (select item_id as qid, {_WORDS} as w from benchmark),
     qt as (select qid, term, count(*) as qtf from (select qid, unnest(w) as term from q) t group by 1, 2), st as (select count(*) as n, avg(len(w)) as avgdl from w),
@@ -33,12 +45,14 @@ _INDEX = f"""w as (select doc_id as doc, {_WORDS} as w from documents), q as (se
 _BM = f"""{_INDEX}, bm as (select qid, doc, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / avgdl))), 4) as score from p join df using (term) join qt using (term), st group by 1, 2)"""
 _TF = f"""{_INDEX}, tfi as (select qid, doc, round(sum(tf / cast(length as double) * (ln((n + 1) / cast(df + 1 as double)) + 1) * qtf), 4) as score from p join df using (term) join qt using (term), st group by 1, 2)"""
 _RN = "row_number() over (partition by qid order by score desc, doc)"
-register("r01_bm25_index", lambda s, d: S.TextIndex(documents(s, d), "doc_id", "text").df, f"with w as (select doc_id, list_distinct({_WORDS}) as w from documents) select term, count(*) as df from (select unnest(w) as term from w) t group by 1")
-register("r02_bm25", lambda s, d: S.bm25(documents(s, d), "doc_id", "text", queries(s, d), 5), f"with {_BM} select qid, doc, score, cast({_RN} as int) as rank from bm where score > 0 qualify {_RN} <= 5")
-register("r03_tfidf", lambda s, d: S.tfidf(documents(s, d), "doc_id", "text", queries(s, d), 5), f"with {_TF} select qid, doc, score, cast({_RN} as int) as rank from tfi where score > 0 qualify {_RN} <= 5")
+register("r01_bm25_index", lambda s, d: indexed(s, d).view().df, f"with w as (select doc_id, list_distinct({_WORDS}) as w from documents) select term, count(*) as df from (select unnest(w) as term from w) t group by 1")
+register("r01_postings", lambda s, d: (lambda v: v.postings.join(v.df, "term"))(indexed(s, d).view()), f"with w as (select doc_id as doc, {_WORDS} as w from documents), p as (select doc, term, count(*) as tf, any_value(length) as length from (select doc, cast(len(w) as int) as length, unnest(w) as term from w) t group by 1, 2), f as (select term, count(*) as df from p group by 1) select term, doc, tf, length, df from p join f using (term)")
+register("r01_lengths", lambda s, d: indexed(s, d).lengths(), f"select doc_id as doc, cast(len({_WORDS}) as bigint) as n from documents")
+register("r02_bm25", lambda s, d: indexed(s, d).bm25(queries(s, d), 5), f"with {_BM} select qid, doc, score, cast({_RN} as int) as rank from bm where score > 0 qualify {_RN} <= 5")
+register("r03_tfidf", lambda s, d: indexed(s, d).tfidf(queries(s, d), 5), f"with {_TF} select qid, doc, score, cast({_RN} as int) as rank from tfi where score > 0 qualify {_RN} <= 5")
 _DEDUP = f"h as (select * from bm where score > 0 qualify {_RN} <= 20), n as (select h.*, substr(text, 1, 100) as head from h join documents on doc_id = doc), o as (select * from n qualify row_number() over (partition by qid, head order by score desc, doc) = 1)"
-register("r04_dedupe_hits", lambda s, d: S.dedupe_hits(S.bm25(documents(s, d), "doc_id", "text", queries(s, d), 20), documents(s, d), "doc_id", "text", 100, 5), f"with {_BM}, {_DEDUP} select qid, doc, score, cast({_RN} as int) as rank from o qualify {_RN} <= 5")
-register("r05_accumulate", lambda s, d: S.accumulate(S.bm25(documents(s, d), "doc_id", "text", queries(s, d), 20), documents(s, d), "doc_id", "text", 80, 10), f"with {_BM}, h as (select * from bm where score > 0 qualify {_RN} <= 20) select substr(text, 1, 80) as head, round(sum(score), 4) as score, count(*) as hits from h join documents on doc_id = doc group by 1 order by score desc, head limit 10")
+register("r04_dedupe_hits", lambda s, d: S.dedupe_hits(indexed(s, d).bm25(queries(s, d), 20), documents(s, d), "doc_id", "text", 100, 5), f"with {_BM}, {_DEDUP} select qid, doc, score, cast({_RN} as int) as rank from o qualify {_RN} <= 5")
+register("r05_accumulate", lambda s, d: S.accumulate(indexed(s, d).bm25(queries(s, d), 20), documents(s, d), "doc_id", "text", 80, 10), f"with {_BM}, h as (select * from bm where score > 0 qualify {_RN} <= 20) select substr(text, 1, 80) as head, round(sum(score), 4) as score, count(*) as hits from h join documents on doc_id = doc group by 1 order by score desc, head limit 10")
 _SEG = r"s as (select doc_id, unnest(list_filter(string_split_regex(text, '\n+'), lambda x: trim(x) <> '')[1:8]) as segment from documents)"
 _DENS = "round((" + " + ".join(f"(length(lower(segment)) - length(replace(lower(segment), '{t}', ''))) / cast({len(t)} as double)" for t in ("the", "tion", "ment")) + r") / greatest(cast(len(list_filter(string_split_regex(segment, '[ \t\n\r\f]+'), lambda x: x <> '')) as double), 1.0) * 50, 3)"
 register("r06_segment_density", lambda s, d: documents(s, d).select("doc_id", F.explode(F.slice(F.filter(F.split("text", "\n+"), lambda x: F.trim(x) != ""), 1, 8)).alias("segment")).select("doc_id", S.density(F.col("segment"), ["the", "tion", "ment", "of"]).alias("density")).groupBy("doc_id").agg(F.max("density").alias("best"), F.count("*").alias("segments")), f"with {_SEG} select doc_id, max({_DENS}) as best, count(*) as segments from s group by 1")
@@ -115,14 +129,14 @@ def contextual(s, d):
 
 register("r15_contextual_rank", contextual, f"""with {_COS}, n as (select * from c qualify {_TOP} <= 15), k as (select n.qid, n.id, round(1 / (1 + (1 - n.score)) * case when a.label = b.label then 1.3 else 1.0 end::double * (1 + 0.2::double * (n.id % 3)) * (1 + 0.15::double * (n.id % 4)) * (0.5::double + (n.id % 10) / 10::double) * case when n.id % 5 = 0 then 0.5 else 1.0 end::double, 6) as score from n join v a on a.id = n.id join v b on b.id = n.qid)
     select qid, id, score, cast({_TOP} as int) as rank from k qualify {_TOP} <= 5""")
-register("r16_assemble_context", lambda s, d: S.assemble_context(S.bm25(documents(s, d), "doc_id", "text", queries(s, d), 5), documents(s, d), "doc_id", "text", 4000), f"with {_BM}, h as (select qid, doc, {_RN} as r from bm where score > 0 qualify {_RN} <= 5) select qid, substr(string_agg(text, chr(10) order by r), 1, 4000) as context from h join documents on doc_id = doc group by qid")
+register("r16_assemble_context", lambda s, d: S.assemble_context(indexed(s, d).bm25(queries(s, d), 5), documents(s, d), "doc_id", "text", 4000), f"with {_BM}, h as (select qid, doc, {_RN} as r from bm where score > 0 qualify {_RN} <= 5) select qid, substr(string_agg(text, chr(10) order by r), 1, 4000) as context from h join documents on doc_id = doc group by qid")
 register("r17_advanced_search", lambda s, d: R.apply_filters(view(s, d, "vDrafts"), "created_at", "1997-01-01", confidence="High").select("id", S.keyword_score(F.col("company"), "customer 000000012").alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(50), r"""
     , f as (select id, trim(regexp_replace(lower(company), '[^\p{L}\p{N}_ \t\n\r]', ' ', 'g')) as form from vDrafts where created_at >= timestamp '1997-01-01' and confidence = 'High'), w as (select id, form, list_distinct(string_split(form, ' ')) as w from f)
     select id, round(len(list_intersect(w, ['customer','000000012'])) / cast(len(list_distinct(list_concat(w, ['customer','000000012']))) as double) + case when contains(form, 'customer 000000012') then 0.5 else 0.0 end::double, 6) as score from w
     order by score desc, id limit 50""", ("vDrafts",))
 register("r18_hash_embed", lambda s, d: S.hash_embed(documents(s, d), "doc_id", "text").select("doc_id", F.size("v").alias("dims"), F.round(V.norm(F.col("v")), 3).alias("norm")))
 _HITS = f"{_BM}, tfi as (select qid, doc, round(sum(tf / cast(length as double) * (ln((n + 1) / cast(df + 1 as double)) + 1) * qtf), 4) as score from p join df using (term) join qt using (term), st group by 1, 2), a as (select qid, 'bm25' as method, score from bm where score > 0 qualify {_RN} <= 5), b as (select qid, 'tfidf' as method, score from tfi where score > 0 qualify {_RN} <= 5), h as (select * from a union all select * from b)"
-register("a26_compare_methods", lambda s, d: S.compare_methods(S.bm25(documents(s, d), "doc_id", "text", queries(s, d), 5).withColumn("method", F.lit("bm25")).unionByName(S.tfidf(documents(s, d), "doc_id", "text", queries(s, d), 5).withColumn("method", F.lit("tfidf")))), f"with {_HITS} select qid, count(*) filter (where method = 'bm25') as bm25_hits, max(score) filter (where method = 'bm25') as bm25_top, count(*) filter (where method = 'tfidf') as tfidf_hits, max(score) filter (where method = 'tfidf') as tfidf_top from h group by 1")
+register("a26_compare_methods", lambda s, d: S.compare_methods(indexed(s, d).bm25(queries(s, d), 5).withColumn("method", F.lit("bm25")).unionByName(indexed(s, d).tfidf(queries(s, d), 5).withColumn("method", F.lit("tfidf")))), f"with {_HITS} select qid, count(*) filter (where method = 'bm25') as bm25_hits, max(score) filter (where method = 'bm25') as bm25_top, count(*) filter (where method = 'tfidf') as tfidf_hits, max(score) filter (where method = 'tfidf') as tfidf_top from h group by 1")
 
 
 # summaries over classified text
@@ -237,7 +251,7 @@ register("r05_mail_search", lambda s, d: S.search_for_mails(documents(s, d), "do
 
 def background(s, d):
     """r16: items of the benchmark with the revenue of the company and the conversation of the same number."""
-    contexts = S.assemble_context(S.bm25(documents(s, d), "doc_id", "text", queries(s, d), 5), documents(s, d), "doc_id", "text", 4000)
+    contexts = S.assemble_context(indexed(s, d).bm25(queries(s, d), 5), documents(s, d), "doc_id", "text", 4000)
     known = view(s, d, "vRevenue").join(view(s, d, "vDecks").select(F.col("doc_id").alias("qid"), "company"), "company").select("qid", "yr", F.round(F.col("revenue") / 1e6, 1).cast("string").alias("value"))
     return S.with_background(contexts, known, table(s, d, "conversations").withColumnRenamed("conv_id", "qid"))
 
