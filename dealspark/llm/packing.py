@@ -58,23 +58,28 @@ def encode(text: str | None, path: str) -> np.ndarray:
     return np.array([*ids, END], "<u4")
 
 
-_PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash")])
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, text_hash long"
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
 
 
 def tokenise(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """A row for each full window of a document and for its remainder (length under the window, may be missing)."""
+    """A row for each full window of a document and for its remainder (length under the window, may be missing). The hash
+    of the text tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows: list[tuple[int, ...]] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, text, text_hash in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("text_hash").to_pylist(), strict=True):
                 ids = encode(text.as_py(), path)
                 raw, n = memoryview(ids.tobytes()), len(ids)
-                rows += [(doc_id, at, min(window, n - at), zlib.crc32(raw[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
+                rows += [(doc_id, at, min(window, n - at), zlib.crc32(raw[4 * at : 4 * (at + window)]), n, text_hash) for at in range(0, n, window)]
             yield record(_PIECES, *zip(*rows, strict=True))
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text", _text_hash()).mapInArrow(run, PIECES)
 
 
 def combinations(lengths: np.ndarray, window: int, seed: int = 7, triples: int = 4096) -> list[tuple[int, ...]]:
@@ -211,20 +216,25 @@ def _residue(docs: DataFrame, left: DataFrame, counts: np.ndarray, first_sequenc
             at += 1 << bit
     lowest = left.groupBy("length").agg(F.min("rank").alias("lowest"))
     laid = left.join(F.broadcast(lowest), "length").withColumn("at", used_before + (F.col("rank") - F.col("lowest")) * F.col("length"))
-    laid = laid.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at")
+    laid = laid.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash", "at")
+    texts = docs.select(F.col("doc_id").alias("text_id"), "text", _text_hash().alias("of_text"))
+    same = F.col("text_id").eqNullSafe(F.col("doc_id")) & (F.col("of_text") == F.col("text_hash"))
     if counts.sum() <= BROADCAST_ROWS:
         laid = F.broadcast(laid)
-    texts = docs.select(F.col("doc_id").alias("text_id"), "text")
-    wanted = texts.join(laid, F.col("text_id").eqNullSafe(F.col("doc_id"))).drop("text_id")
+    # one row of each text that is wanted, however often it is repeated: pieces meet their text once
+    known = texts.join(laid.select("doc_id", "text_hash"), same, "left_semi").dropDuplicates(["text_id", "of_text"])
+    wanted = known.join(laid, same).drop("text_id", "of_text")
     schema = pa.schema([(n, pa.int64()) for n in (*PIECES_NAMES, "sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids = None, encode(None, path)
         for batch in slices(batches, "text"):
             rows = []
             for doc_id, start, length, crc, tokens, at, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at", "text")), strict=True):
-                ids = encode(text, path)
+                if text != last:
+                    last, ids = text, encode(text, path)
                 if len(ids) != tokens or zlib.crc32(ids[start:].tobytes()) != crc:
-                    continue  # another row of the same id
+                    raise ValueError("two texts of one doc_id share a 64-bit hash")
                 done = 0
                 while done < length:
                     here = at + done
@@ -240,8 +250,7 @@ def _residue(docs: DataFrame, left: DataFrame, counts: np.ndarray, first_sequenc
             if rows:
                 yield record(schema, *zip(*rows, strict=True))
 
-    # repeated rows match each other's remainders, of which each is wanted once
-    return wanted.mapInArrow(run, OUT).dropDuplicates(["sequence_id", "offset"])
+    return wanted.mapInArrow(run, OUT)
 
 
 def op8(docs: DataFrame, window: int = WINDOW) -> DataFrame:
