@@ -2,7 +2,8 @@
 
 A file's lines, and all runs of words as long as a template (so across line ends and inside lines), are compared with the
 templates: notices, the usual headers, short licence texts in full and the openings of long ones. The best of them at or
-above `header_cosine` is its own licence. Templates of under `SHORT` words need `SHORT_COSINE`, that is all their words, and
+above `header_cosine` is its own licence, or that of its family (GNU, BSD, Creative Commons, Apache, Mozilla) which the text's first mention
+names by kind and version: their texts differ in a few words, which no cosine tells. Templates of under `SHORT` words need `SHORT_COSINE`, that is all their words, and
 count only where no longer template is found: BSD texts reserve all rights too. A file whose whole text is at or above `file_cosine`, or which is named like a licence file and has a header, licenses its
 directory. A file without a licence of its own inherits from the nearest ancestor directory that has one (by joins of
 directory paths). Document frequencies of the templates' terms are counted over all files and smoothed; terms rarer than
@@ -14,6 +15,7 @@ judged alike; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,9 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
@@ -50,7 +55,20 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "All rights reserved. Redistribution is prohibited"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
 ]
+#: Licences that differ in a few words only are told apart by these words, at their first mention in the text: fixed values.
+#: (family, pattern of the mention with what tells its members apart).
+FAMILIES = {
+    "GPL": r"gnu\s+(?:(affero|lesser|library)\s+)?(?:general\s+public\s+licen[cs]e|gpl)(?:[^.]{0,200}?\b(?:version|v)\.?\s*(\d(?:\.\d)?))?",
+    "CC": r"creative\s+commons\s+(attribution[a-z\s-]*?)(?:\s+(?:licen[cs]e\b|v(?:ersion)?)[,\s]*)?\s*(\d\.\d)|\bcc[\s-](by(?:[\s-](?:nc|sa|nd))*)(?:[\s-]+v?(\d\.\d))?",
+    "Apache": r"apache\s+(?:software\s+)?licen[cs]e[\s,(]*(?:version|v)\.?\s*(\d(?:\.\d)?)",
+    "MPL": r"mozilla\s+public\s+licen[cs]e[\s,]*(?:version|v)\.?\s*(\d(?:\.\d)?)",
+}
+#: Line ends with the marks of comments.
+_LINE_END = re.compile(r"\s*\n\s*(?:[#*;%>]+|//+|--+)?\s*")
+_ADVERTISING, _ENDORSE = r"advertising\s+materials\s+mentioning", r"neither\s+the\s+names?\b|endorse\s+or\s+promote"
 HEADER_COSINE, FILE_COSINE = 0.7, 0.7
 SHORT, SHORT_COSINE = 5, 0.95
 RAREST, SMOOTHING = 1e-3, 50
@@ -63,6 +81,32 @@ def _words(texts: pa.Array):
     return split_words(pc.utf8_lower(pc.fill_null(texts, "")), NOT_ALNUM)
 
 
+def _version(found: str | None, otherwise: str) -> str:
+    return otherwise if not found else found if "." in found else f"{found}.0"
+
+
+def member(licence: str | None, text: str | None) -> str | None:
+    """The licence of the found one's family that the text's first mention names; the found one where there is no mention."""
+    if licence is None or not text:
+        return licence
+    text = _LINE_END.sub(" ", text)
+    if licence.startswith("BSD-"):
+        return "BSD-4-Clause" if re.search(_ADVERTISING, text, re.I) else "BSD-3-Clause" if re.search(_ENDORSE, text, re.I) else "BSD-2-Clause" if re.search(r"binary\s+form\s+must", text, re.I) else licence
+    family = next((f for f in FAMILIES if licence.lstrip("AL").startswith(f) or licence.startswith(f)), None)
+    m = re.search(FAMILIES[family], text, re.I) if family else None
+    if m is None or licence.startswith("CC0"):
+        return licence
+    known = licence.rsplit("-", 1)[1]
+    if family == "GPL":
+        kind = {"affero": "AGPL", "lesser": "LGPL", "library": "LGPL"}.get((m[1] or "").lower(), "GPL")
+        return f"{kind}-{_version(m[2], known)}"
+    if family != "CC":
+        return f"{family}-{_version(m[1], known)}"
+    words = (m[1] or m[3]).lower()
+    parts = [p for p, form in (("NC", r"non-?\s*commercial|\bnc\b"), ("SA", r"share-?\s*alike|\bsa\b"), ("ND", r"no-?\s*deriv|\bnd\b")) if re.search(form, words)]
+    return "-".join(["CC", "BY", *parts, m[2] or m[4] or known])
+
+
 class Templates:
     def __init__(self, templates=TEMPLATES):
         self.names = np.array([n for n, _ in sorted(templates)], object)
@@ -192,7 +236,11 @@ def own_licences(files: DataFrame) -> DataFrame:
             by_text = _decided(templates, by_text, FILE_COSINE)
             h, w = best.argmax(axis=1), by_text.argmax(axis=1)
             hc, wc = best.max(axis=1), by_text.max(axis=1)
-            yield record(_OWN, batch.column("file_id"), batch.column("path").cast(pa.string()), np.where(hc >= HEADER_COSINE, templates.names[h], None), hc, wc, np.where(wc >= FILE_COSINE, templates.names[w], None))
+            header, whole = np.where(hc >= HEADER_COSINE, templates.names[h], None), np.where(wc >= FILE_COSINE, templates.names[w], None)
+            for i in np.flatnonzero((hc >= HEADER_COSINE) | (wc >= FILE_COSINE)):
+                text = batch.column("text")[i].as_py()
+                header[i], whole[i] = member(header[i], text), member(whole[i], text)
+            yield record(_OWN, batch.column("file_id"), batch.column("path").cast(pa.string()), header, hc, wc, whole)
 
     return files.select("file_id", "path", "text").mapInArrow(run, "file_id long, path string, header string, header_cosine double, file_cosine double, whole string")
 
