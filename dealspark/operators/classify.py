@@ -237,18 +237,32 @@ def company_from_text(text: Column) -> Column:
     return F.coalesce(*[name(p) for p in L.NAME_PATTERNS], F.get(titles, F.lit(0)))
 
 
+_UNIT = r" *(?:k|m|b|thousand|million|billion|crore|lakh)\b"
+_YEAR = r"(?:\b(?:20[0-9]{2}|2100)\b|\byear +[0-9]{1,2}\b|\b[0-9]{1,2}(?:st|nd|rd|th)? *year\b)"
+_NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+#: An amount that is told by its sign, its unit or its thousands; the same, or a plain number, right after a year.
+_MONEY = rf"(?:[$₹] *{_NUMBER}(?:{_UNIT})?|\b{_NUMBER}{_UNIT}|\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b)"
+_AFTER = rf"(?:[$₹]? *{_NUMBER}(?:{_UNIT})?)"
+_LINK = r" *[,(]? *(?:in|for|during|by|as of|at the end of|of|fy|[:=-])? *(?:fy|the)? *"
+#: Read from the left, every year and amount goes to its next partner: a year with the amount that follows it, else an amount
+#: with the year that follows it.
+_PAIR = rf"(?i)({_YEAR} *[:=-]? *{_AFTER}(?!\w)|{_MONEY}{_LINK}{_YEAR})"
+
+
 def year_revenues(df: DataFrame, key: str, text: str) -> DataFrame:
-    """e11, e12: (year, amount) pairs in either order with K/M/B, crore and lakh; the first of each year stays."""
-    unit = r" *(k|m|b|thousand|million|billion|crore|lakh)?\b"
-    ahead = rf"(?i)\b((?:20[0-9]{{2}}|year [0-9]{{1,2}}) *[:=-]? *[$₹]? *[0-9][0-9,]*(?:\.[0-9]+)?{unit})"
-    each = F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ahead), 1))
-    rows = df.select(key, each.alias("pos", "found"))
-    year = F.lower(F.regexp_extract("found", r"(?i)^(20[0-9]{2}|year [0-9]{1,2})", 1))
-    amount = F.regexp_replace(F.regexp_extract("found", r"(?i)^(?:20[0-9]{2}|year [0-9]{1,2}) *[:=-]? *[$₹]? *([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "").try_cast("double")
-    value = amount * X.scale_of(F.regexp_extract("found", r"(?i)([a-z]+)$", 1))
+    """e11, e12: (year, amount) pairs with K/M/B, crore and lakh, the year before its amount or after it, both in one text
+    too; years from 2000 to 2100 or numbered 1 to 20. The first of each year stays."""
+    rows = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_PAIR), 1)).alias("pos", "found"))
+    spelled = F.lower(F.regexp_extract("found", rf"(?i)^({_YEAR})|({_YEAR})$", 0))
+    number = F.regexp_extract(spelled, "([0-9]+)", 1)
+    year = F.when(spelled.contains("year"), F.concat(F.lit("year "), number)).otherwise(number)
+    money = F.regexp_replace("found", rf"(?i)^{_YEAR}|{_YEAR}$", "")
+    amount = F.regexp_replace(F.regexp_extract(money, rf"({_NUMBER})", 1), ",", "").try_cast("double")
+    value = amount * X.scale_of(F.regexp_extract(money, rf"(?i){_NUMBER} *(k|m|b|thousand|million|billion|crore|lakh)\b", 1))
     from dealspark.operators.relational import first_by
 
-    return first_by(rows.select(key, "pos", year.alias("yr"), value.alias("revenue")).where("revenue > 0"), [key, "yr"], [F.asc("pos")]).select(key, "yr", "revenue")
+    pairs = rows.select(key, "pos", spelled.contains("year").alias("numbered"), number.cast("int").alias("n"), year.alias("yr"), value.alias("revenue"))
+    return first_by(pairs.where("revenue > 0 and (not numbered or n between 1 and 20)"), [key, "yr"], [F.asc("pos")]).select(key, "yr", "revenue")
 
 
 def pipe_tables(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -51,16 +51,34 @@ def enrich(hits: DataFrame, dim: DataFrame, on: Column) -> DataFrame:
     return hits.join(dim, on, "left")
 
 
-def first_token(name: Column) -> Column:
-    return F.element_at(F.split(F.lower(name), "[^a-z0-9]+"), 1)
+#: Length of the grams that names are looked up by; shorter names are their own grams.
+GRAM = 4
+#: Up to so many names are broadcast (some 10 MB); more are joined by a shuffle.
+BROADCAST_NAMES = 100_000
+
+
+def grams(text: Column, size: int) -> Column:
+    """All distinct runs of `size` characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
 def mention_join(names: DataFrame, name: str, texts: DataFrame, text: str) -> DataFrame:
-    """j04: texts that contain a name, without regard to case: tokens of the texts meet the names' first tokens, and the
-    pairs are verified, so no name is held against every text. Names begin at a token of the text."""
-    keyed = names.withColumn("_token", first_token(F.col(name)))
-    tokens = texts.withColumn("_token", F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))))
-    return keyed.join(tokens, "_token").where(F.lower(text).contains(F.lower(name))).drop("_token")
+    """j04: texts that contain a name, anywhere and without regard to case. Every name is filed under the gram of it that the
+    fewest texts have; only the texts with that gram are verified, so no name is held against every text. Empty and null
+    names are in no text; repeated names and texts pair each."""
+    keyed = names.where(F.length(name) > 0).withColumn("_name", F.lower(name))
+    size = F.least(F.length("_name"), F.lit(GRAM))
+    n = keyed.count()
+    share = F.broadcast if n <= BROADCAST_NAMES else lambda df: df
+    parts = keyed.select("_name").distinct().select("_name", F.explode(F.when(size == GRAM, grams(F.col("_name"), GRAM)).otherwise(F.array("_name"))).alias("_gram"))
+    sizes = [r[0] for r in keyed.select(size).distinct().collect()]  # at most GRAM numbers
+    low = texts.withColumn("_low", F.lower(text)).where("_low is not null")
+    cut = low.withColumn("_gram", F.explode(F.flatten(F.array(*[grams(F.col("_low"), s) for s in sorted(sizes)])))) if sizes else low.withColumn("_gram", F.lit("")).limit(0)
+    wanted = share(parts.select("_gram").distinct())
+    uses = cut.select("_gram").join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_uses"))
+    rarest = parts.join(share(uses), "_gram", "left").groupBy("_name").agg(F.min_by("_gram", F.struct(F.coalesce("_uses", F.lit(0)), "_gram")).alias("_gram"))
+    filed = keyed.join(share(rarest), "_name")
+    return cut.join(share(filed), "_gram").where(F.contains("_low", "_name")).select(*names.columns, *texts.columns)
 
 
 def visible_to(resources: DataFrame, members: DataFrame, user: int, key: str) -> DataFrame:

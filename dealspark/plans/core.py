@@ -87,9 +87,17 @@ register("f05_recent", lambda s, d: R.recent(table(s, d, "events"), "ts", "7 day
 # joins
 register("j01_search_by_context", lambda s, d: R.newest_matches(table(s, d, "orders"), table(s, d, "customer"), F.expr("o_custkey = c_custkey"), F.col("c_mktsegment") == "BUILDING", "o_orderdate", "o_orderkey", 20).select("o_orderkey", "o_orderdate", "c_name"), "select o_orderkey, o_orderdate, c_name from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' order by o_orderdate desc, o_orderkey limit 20")
 register("j03_enrich", lambda s, d: R.enrich(table(s, d, "lineitem"), table(s, d, "part").select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey")).groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")), "select p_brand, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem left join part on l_partkey = p_partkey group by 1")
-_MENTIONS = "select word, max(length(word)) as size from (select unnest(string_split_regex(lower(query), '[^a-z0-9]+')) as word from vConversations where conv_id % 3 = 0) t where length(word) >= 9 group by word having count(*) >= 2"
-register("j04_mention_join", lambda s, d: R.mention_join(view(s, d, "vConversations").where("conv_id % 3 = 0").select(F.explode(F.split(F.lower("query"), "[^a-z0-9]+")).alias("word")).where("length(word) >= 9").groupBy("word").agg(F.count("*").alias("uses")).where("uses >= 2").select("word"), "word", view(s, d, "vConversations").select("id", "query"), "query").groupBy("word").agg(F.count("*").alias("mentions")),
-    f", w as ({_MENTIONS}), t as (select id, query, list_distinct(string_split_regex(lower(query), '[^a-z0-9]+')) as tokens from vConversations) select word, count(*) as mentions from w join t on list_contains(tokens, word) group by word", ("vConversations",))
+_MENTIONS = "select unnest(string_split_regex(lower(query), '[^a-z0-9]+')) as word from vConversations"
+
+
+def mentions(s, d):
+    """j04: words of three letters and more that are used twice or more, wherever they stand in a query, inside words too."""
+    talks = view(s, d, "vConversations").select("id", "query")
+    words = talks.select(F.explode(F.split(F.lower("query"), "[^a-z0-9]+")).alias("word")).where("length(word) >= 3").groupBy("word").agg(F.count("*").alias("uses")).where("uses >= 2").select("word")
+    return R.mention_join(words, "word", talks, "query").groupBy("word").agg(F.count("*").alias("mentions"))
+
+
+register("j04_mention_join", mentions, f", w as (select word from ({_MENTIONS}) t where length(word) >= 3 group by word having count(*) >= 2) select word, count(*) as mentions from w join vConversations on contains(lower(query), word) group by word", ("vConversations",))
 register("j05_visible_to", lambda s, d: R.visible_to(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("user_id")), 7, "o_custkey"), "select o_orderkey, o_custkey, o_totalprice from orders where o_custkey in (select c_custkey from customer where c_nationkey = 7)")
 
 

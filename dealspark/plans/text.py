@@ -133,6 +133,17 @@ register("e10_company_from_text", lambda s, d: decks(s, d).withColumn("text", F.
 register("e10_company_from_page", lambda s, d: table(s, d, "pages").select("page_id", C.company_from_text(F.col("url")).alias("name")), f"select page_id, {sql_name('url')} as name from pages")
 _YEARS = "'In 2023: $' || cast(doc_id % 50 + 1 as varchar(3)) || 'M and Year 2 - ' || cast(doc_id % 7 + 1 as varchar(3)) || ' crore, 2024 was quiet, 2023 = $9K'"
 register("e11_year_revenues", lambda s, d: C.year_revenues(decks(s, d).select("doc_id", F.expr(_YEARS).alias("text")), "doc_id", "text"), "select doc_id, '2023' as yr, (doc_id % 50 + 1) * 1e6 as revenue from vDecks union all select doc_id, 'year 2', (doc_id % 7 + 1) * 1e7 from vDecks", ("vDecks",))
+
+
+def revenue_statements(s, d):
+    """e11: companies' yearly revenues as prose, odd years after their amount and even years before it, read back."""
+    said = F.when(F.col("yr") % 2 == 0, F.format_string("%d: $%s", F.col("yr") + 20, "amount")).otherwise(F.format_string("$%s in %d", "amount", F.col("yr") + 20))
+    rows = view(s, d, "vRevenue").select("company", F.col("yr").cast("int").alias("yr"), F.col("revenue").cast("decimal(18,2)").cast("string").alias("amount"))
+    lines = rows.groupBy("company").agg(F.array_sort(F.collect_list(F.struct("yr", said.alias("said")))).alias("l"))
+    return C.year_revenues(lines.select("company", F.concat(F.lit("Revenue was "), F.array_join(F.transform("l", lambda x: x["said"]), " and ")).alias("text")), "company", "text").withColumn("revenue", F.round("revenue", 2))
+
+
+register("e11_revenue_statements", revenue_statements, "select company, cast(cast(yr as int) + 20 as varchar) as yr, round(cast(cast(revenue as decimal(18,2)) as double), 2) as revenue from vRevenue", ("vRevenue",))
 _LAKHS = "'2022: ₹' || cast(doc_id % 30 + 1 as varchar(3)) || ' lakh, 2021: 3 crore'"
 register("e12_year_revenues_rupees", lambda s, d: C.year_revenues(decks(s, d).select("doc_id", F.expr(_LAKHS).alias("text")), "doc_id", "text"), "select doc_id, '2022' as yr, (doc_id % 30 + 1) * 1e5 as revenue from vDecks union all select doc_id, '2021', 3e7 from vDecks", ("vDecks",))
 _PIPE = "'| Year | Revenue |\n| 2022 | $' || cast(doc_id % 9 + 1 as varchar(2)) || case when doc_id % 4 = 0 then '' else 'M' end || ' |\n| 2023 | $20M |\nnote | x'"
