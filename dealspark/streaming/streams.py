@@ -175,7 +175,7 @@ def upsert_stream(df: DataFrame, key: str, version: str, late_after: str, base:
     return in_time.groupBy(F.col(key).alias("_key")).agg(one).select("r.*"), epochs.read("late", df.schema).select(*df.columns)
 
 
-def late_rows(df: DataFrame, delay: str = "1 hour", window_minutes: int = 60, base: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+def windows_and_late(df: DataFrame, delay: str = "1 hour", window_minutes: int = 60, base: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """st09: counts per window, and the rows that came after their window was closed: the newest time of all batches before
     theirs, less the delay, had reached the window's end. Every epoch adds its counts and keeps its late rows and their
     number, so nothing is forgotten however many batches there are. Rows without a time are late. Returns counts (start, n), late
@@ -192,3 +192,9 @@ def late_rows(df: DataFrame, delay: str = "1 hour", window_minutes: int = 60, ba
     epochs.run(df, sink, "ts")
     total = epochs.read("counts", StructType.fromDDL("start timestamp, n long")).groupBy("start").agg(F.sum("n").alias("n"))
     return total, epochs.read("late", df.schema).select(*df.columns), epochs.late()
+
+
+def late_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """st09: counts per hour, and the number of rows that came too late for theirs."""
+    counts, _, late = windows_and_late(df)
+    return counts, late

@@ -17,6 +17,7 @@ from dealspark.operators import relational as R
 from dealspark.operators import retrieve as S
 from dealspark.plans import composite, registry, retrieval  # noqa: F401  they register their queries
 from dealspark.sources import io as IO
+from dealspark.streaming import stateful as SO
 from dealspark.streaming import streams as ST
 
 
@@ -192,7 +193,8 @@ def test_rate_verdicts(spark, tmp_path):
     t = dt.datetime(2024, 1, 1, 12)
     rows = [(1, 7, t), (2, 7, t + dt.timedelta(minutes=1)), (3, 7, t + dt.timedelta(minutes=2)), (4, 7, t + dt.timedelta(minutes=62)), (5, 8, t)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.event_id: (r.allowed, r.remaining) for r in ST.run_once(ST.rate_verdicts(ST.read_events(spark, str(tmp_path)), 2, 60)).collect()}
+    events = ST.read_events(spark, str(tmp_path))
+    got = {r.event_id: (r.allowed, r.remaining) for r in SO.run_to_end(events, lambda e: SO.rate_verdicts(e, 2, 60), ST.shared_folder(spark)).collect()}
     assert got == {1: (True, 1), 2: (True, 0), 3: (False, 0), 4: (True, 1), 5: (True, 1)}
 
 

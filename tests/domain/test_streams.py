@@ -181,7 +181,7 @@ def test_late_rows_over_many_batches(spark, tmp_path):
             else:
                 kept[start] = kept.get(start, 0) + 1
         newest = max([t for t in [newest, *(r[1] for r in batch)] if t])
-    counts, rows, n = ST.late_rows(stream(spark, tmp_path, batches), base=f"file://{tmp_path}/run")
+    counts, rows, n = ST.windows_and_late(stream(spark, tmp_path, batches), base=f"file://{tmp_path}/run")
     assert n == len(late) > 10 and naive(rows.collect()) == late
     assert {r.start.replace(tzinfo=None): r.n for r in counts.collect()} == kept
 
@@ -191,5 +191,5 @@ def test_streams_of_nothing(spark, tmp_path):
     assert SO.run_to_end(events, lambda e: SO.capped_sessions(e), f"file://{tmp_path}/a").count() == 0
     merged, late = ST.upsert_stream(events, "user_id", "ts", "20 days", f"file://{tmp_path}/b")
     assert merged.count() == late.count() == 0
-    counts, rows, n = ST.late_rows(events, base=f"file://{tmp_path}/c")
+    counts, rows, n = ST.windows_and_late(events, base=f"file://{tmp_path}/c")
     assert counts.count() == rows.count() == n == 0
