@@ -1,5 +1,5 @@
-"""Chunkers (k01-k04): rows of chunk_id, pos, text, start. Written per document in Arrow batches, since the place of a
-chunk depends on where the one before it ended."""
+"""Chunkers (k01-k04): rows of chunk_id, pos, text, start. The place of a chunk depends on where the one before it ended:
+k01 is a fold in expressions, the others are written per document in Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,14 +7,22 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from dealspark.functions import text as X
 
 CHUNKS = "doc_id long, chunk_id string, pos int, start long, text string"
+#: Characters of a text that the fold of k01 holds in hand at a time.
+BLOCK = 4_096
+#: The white space that is taken off a chunk's ends.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def sliding(text: str, size: int = 500, overlap: int = 100, least: int = 51) -> list[tuple[int, str]]:
-    """k01: windows that end at a sentence end where there is one in the second half; short ones are dropped. The next
-    window starts `overlap` before the end, or at the end if that would not get ahead."""
+    """k01 for one text (what `sliding_chunks` is held against): windows that end at a sentence end where there is one in the
+    second half; short ones are dropped. The next window starts `overlap` before the end, or at the end if that would not
+    get ahead."""
     out, start, n = [], 0, len(text)
     while start < n:
         end = min(start + size, n)
@@ -31,6 +39,53 @@ def sliding(text: str, size: int = 500, overlap: int = 100, least: int = 51) ->
     return out
 
 
+def sliding_spans(text: Column, size: int = 500, overlap: int = 100, least: int = 51, block: int = BLOCK) -> Column:
+    """k01 as a column: array<struct<start, text>>. The text is cut into blocks once; a fold over the blocks carries the next
+    window's start, and a fold within a block cuts the windows that start in it, so that a window costs a block's length at
+    most, however long the text is."""
+    block = max(block, 4 * size)
+    first, last = size // 2 + 1, size - 1
+    shortest = size // 2 + 2 if first <= last else size
+    ahead = shortest - overlap if shortest > overlap else 1 if size > overlap else shortest
+    text = F.coalesce(text, F.lit(""))
+    span = "array<struct<start:bigint,text:string>>"
+    state = lambda start, out: F.struct(start.cast("long").alias("start"), out.alias("out"))
+
+    def window(at: Column, w: Column, n: Column) -> Column:
+        snapped = F.length(F.regexp_extract(w, f"(?s)^(.{{{first},{last}}}[.!?])[ \n]", 1)) if first <= last else F.lit(0)
+        long = F.when(n - at["start"] <= size, n - at["start"]).otherwise(X.let(snapped, lambda x: F.when(x > 0, x).otherwise(size))).cast("int")
+
+        def cut(x: Column) -> Column:
+            end = at["start"] + x
+            after = F.when(end >= n, n).when(x > overlap, end - overlap).otherwise(end)
+            body = F.btrim(F.substring(w, F.lit(1), x), F.lit(BLANKS))
+            return X.let(body, lambda b: state(after, F.when(F.length(b) >= least, F.concat(at["out"], F.array(F.struct(at["start"].alias("start"), b.alias("text"))))).otherwise(at["out"])))
+
+        return X.let(long, cut)
+
+    def of_block(held: Column, base: Column, here: Column, n: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            inside = (at["start"] < n) & (at["start"] < base + block)
+            return F.when(inside, window(at, F.substring(here, (at["start"] - base + 1).cast("int"), F.lit(size + 1)), n)).otherwise(at)
+
+        windows = F.aggregate(F.sequence(F.lit(1), F.floor(F.length(here) / ahead).cast("int") + 1), state(held["start"], F.array().cast(span)), step)
+        return X.let(windows, lambda w: state(w["start"], F.concat(held["out"], F.array(w["out"]))))
+
+    def fold(blocks: Column, n: Column) -> Column:
+        joined = F.transform(blocks, lambda b, i: F.struct(i.alias("i"), F.concat(b, F.coalesce(F.substring(F.get(blocks, i + 1), 1, size + 1), F.lit(""))).alias("t")))
+        return F.aggregate(joined, state(F.lit(0), F.array().cast(f"array<{span}>")), lambda held, b: of_block(held, b["i"].cast("long") * block, b["t"], n), lambda held: F.flatten(held["out"]))
+
+    return X.let(F.length(text).cast("long"), lambda n: X.let(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{block}}})"), 1), lambda blocks: fold(blocks, n)))
+
+
+def sliding_chunks(df: DataFrame, size: int = 500, overlap: int = 100, least: int = 51, pages: Column | None = None) -> DataFrame:
+    """k01: df: doc_id, text. Null and empty texts have no chunk. With the number of pages of a document a chunk tells the page
+    it starts on, taking pages to be of equal length; without pages (null, 0) that is page 1."""
+    spans = df.select("doc_id", F.length("text").alias("_n"), (F.lit(None) if pages is None else pages).cast("long").alias("_pages"), F.posexplode(sliding_spans(F.col("text"), size, overlap, least)).alias("pos", "_c"))
+    page = F.when(F.col("_pages") > 0, F.least(F.floor(F.col("_c.start") / (F.col("_n") / F.col("_pages"))) + 1, F.col("_pages"))).otherwise(1)
+    return spans.select("doc_id", F.format_string("chunk_%04d", "pos").alias("chunk_id"), "pos", F.col("_c.start").alias("start"), F.col("_c.text").alias("text"), *([] if pages is None else [page.cast("long").alias("page")]))
+
+
 def paragraphs(text: str, size: int = 1500, least: int = 21) -> list[tuple[int, str]]:
     """k02: blank-line blocks packed while they fit; larger ones are sliced; tiny chunks are dropped."""
     out: list[tuple[int, str]] = []
@@ -104,6 +159,8 @@ KINDS = {"sliding": sliding, "paragraphs": paragraphs, "sentences": sentences, "
 
 def chunk(df: DataFrame, kind: str = "sliding", **options) -> DataFrame:
     """df: doc_id, text. Null and empty texts have no chunk."""
+    if kind == "sliding":
+        return sliding_chunks(df, **options)
     cut = KINDS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +175,24 @@ def chunk(df: DataFrame, kind: str = "sliding", **options) -> DataFrame:
 
 
 def register_table_function(spark, name: str = "chunk_text") -> None:
-    """g03: chunk_text(text) for LATERAL joins in SQL."""
+    """g03: chunk_text(text [, kind]) for LATERAL joins in SQL. The kind is a constant, k01 where it isn't given; with
+    token_budget the rows tell their tokens too. Null and empty texts have no row."""
     from pyspark.sql.functions import udtf
+    from pyspark.sql.types import IntegerType, StringType, StructType
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-    @udtf(returnType="pos int, start int, chunk string")
+    @udtf(useArrow=True)
     class ChunkText:
-        def eval(self, text: str):
-            for i, (s, t) in enumerate(sliding(text or "")):
-                yield i, s, t
+        @staticmethod
+        def analyze(text: AnalyzeArgument, kind: AnalyzeArgument | None = None) -> AnalyzeResult:
+            chosen = "sliding" if kind is None else kind.value
+            if chosen not in KINDS or (kind is not None and not kind.isConstantExpression):
+                raise ValueError(f"the kind is one of {', '.join(KINDS)}, as a constant")
+            rows = StructType().add("pos", IntegerType()).add("start", IntegerType()).add("chunk", StringType())
+            return AnalyzeResult(rows.add("tokens", IntegerType()) if chosen == "token_budget" else rows)
+
+        def eval(self, text: str, kind: str = "sliding"):
+            for i, (s, t) in enumerate(KINDS[kind](text or "")):
+                yield (i, s, t, len(t.split())) if kind == "token_budget" else (i, s, t)
 
     spark.udtf.register(name, ChunkText)

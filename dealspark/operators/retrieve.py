@@ -229,9 +229,14 @@ def cell_knn(vectors: DataFrame, queries: DataFrame, k: int, recall: float = 0.9
 
 
 def mean_vector(vectors: DataFrame, key: list[str]) -> DataFrame:
-    """Component means per key, in order (r13)."""
-    parts = vectors.select(*key, F.posexplode("v").alias("pos", "x")).groupBy(*key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    """g04, r13: component means per key, by a mergeable aggregate: a task gives on one row for a key. Vectors that are null or hold a
+    null take no part; of several lengths under one key that of most vectors counts (ties: the shortest)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    whole = vectors.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).select(*key, F.size("v").alias("_size"), array_to_vector(F.col("v").cast("array<double>")).alias("_v"))
+    means = whole.groupBy(*key, "_size").agg(Summarizer.mean(F.col("_v")).alias("_mean"), F.count("*").alias("_n"))
+    return means.groupBy(*key).agg(F.max_by("_mean", F.struct("_n", -F.col("_size"))).alias("_mean")).select(*key, vector_to_array("_mean").alias("v"))
 
 
 def vector_arithmetic(vectors: DataFrame, positive: Column, negative: Column, k: int) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealspark.functions import lexicons as L
 from dealspark.functions import text as X
 from dealspark.operators import classify as C
+from dealspark.operators import lexicon as LX
 from dealspark.operators import relational as R
 from dealspark.plans.adapters import view
 from dealspark.plans.registry import register, table
@@ -214,6 +215,47 @@ _SENDER = f"case when {sql_hits('body', L.INVESTOR)} > {sql_hits('body', L.CLIEN
 register("c05_sender_type", lambda s, d: view(s, d, "vEmails").select("id", C.sender_type(B()).alias("sender")), f"select id, {_SENDER} as sender from vEmails", ("vEmails",))
 
 
+def by_table(s, rows) -> DataFrame:
+    return s.createDataFrame(rows, LX.LEXICON)
+
+
+_MOODS = [("up", 0, t, w, "substring") for t, w in _POS.items()] + [("down", 1, t, w, "substring") for t, w in _NEG.items()]
+_ANSWERS = [("not_interested", L.NOT_INTERESTED), ("interested", L.INTERESTED), ("pending", L.PENDING)]
+_LEVELS = [(level, 9, p, score, "regex") for level, p, score in L.RISKS]
+
+
+def sentiment_by_table(s, d):
+    """c01 from a lexicon table."""
+    net = LX.score(decks(s, d), "doc_id", "text", by_table(s, _MOODS)).groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("net"))
+    words = LX.words_of(T())
+    score = F.when(words > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("net", F.lit(0.0)) / (words * 0.1)))).otherwise(0.0)
+    return decks(s, d).join(net, "doc_id", "left").select("doc_id", F.round(score, 3).alias("score"))
+
+
+register("c00_sentiment_by_table", sentiment_by_table, f", {sql_sentiment('vDecks')} select doc_id, score from s", ("vDecks",))
+register("c00_sender_by_table", lambda s, d: LX.score(view(s, d, "vEmails"), "id", "body", by_table(s, LX.table_of([("investor", L.INVESTOR), ("client", L.CLIENT)])), "argmax", none="unknown", tie="unknown").withColumnRenamed("category", "sender"), f"select id, {_SENDER} as sender from vEmails", ("vEmails",))
+register("c00_industry_by_table", lambda s, d: LX.score(decks(s, d), "doc_id", "text", by_table(s, LX.table_of(L.INDUSTRIES[13])), "first_class").withColumnRenamed("category", "industry"), f"select doc_id, {sql_first('text', L.INDUSTRIES[13])} as industry from vDecks", ("vDecks",))
+register("c00_chunk_type_by_table", lambda s, d: LX.score(table(s, d, "documents"), "doc_id", "text", by_table(s, LX.table_of(L.CHUNK_TYPES)), "argmax", none="general").withColumnRenamed("category", "chunk_type"), f"select doc_id, {sql_argmax('text', L.CHUNK_TYPES, 'general')} as chunk_type from documents")
+register("c00_risks_by_table", lambda s, d: LX.score(docs(s, d), "doc_id", "text", by_table(s, LX.table_of(L.RISK_CATEGORIES)), "any"), " union all ".join(f"select doc_id, {q(n)} as category from documents where {sql_hits('text', t)} > 0" for n, t in L.RISK_CATEGORIES))
+register("c00_answers_by_table", lambda s, d: LX.score(view(s, d, "vEmails"), "id", "body", by_table(s, LX.table_of(_ANSWERS, "word"))).select("id", "category", "hits"), f", p as (select *, {_PAD} as p from vEmails) " + " union all ".join(f"select id, {q(n)} as category, cast({sql_words(t)} as bigint) as hits from p where {sql_words(t)} > 0" for n, t in _ANSWERS), ("vEmails",))
+
+
+def sql_times(rows) -> str:
+    """Occurrences of the rows of a lexicon in documents, kind by kind."""
+    values = lambda kind: ", ".join(f"({q(c)}, {q(t)}, {w}::decimal(18,6))" for c, _, t, w, k in rows if k == kind)
+    sizes = sorted({len(t.split(" ")) for *_, t, _, k in rows if k == "word"})
+    grams = " union all ".join(f"select doc_id, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) as term from w" for n in sizes)
+    return f"""with t as (select doc_id, lower(text) as low from documents), w as (select doc_id, list_filter(string_split_regex(low, '[^\\p{{L}}\\p{{N}}'']+'), lambda x: x <> '') as w from t), g as ({grams}),
+        f as (select doc_id, category, weight, (length(low) - length(replace(low, term, ''))) // length(term) as n from t, (values {values('substring')}) v(category, term, weight)
+            union all select doc_id, category, weight, len(regexp_extract_all(low, term)) from t, (values {values('regex')}) v(category, term, weight)
+            union all select doc_id, category, any_value(weight), count(*) from g join (select row_number() over () as r, * from (values {values('word')}) v(category, term, weight)) using (term) group by doc_id, category, r)
+        select doc_id, category, count(*) as hits, cast(sum(n) as bigint) as occurrences, cast(sum(n * weight) as double) as score from f where n > 0 group by 1, 2"""
+
+
+_EVERY_KIND = [*_MOODS, *LX.table_of([(f"answer_{n}", t) for n, t in _ANSWERS], "word"), *_LEVELS]
+register("c00_every_kind", lambda s, d: LX.score(docs(s, d), "doc_id", "text", by_table(s, _EVERY_KIND)), sql_times(_EVERY_KIND))
+
+
 def blended(s, d):
     """c06: keyword verdicts beside a table of model verdicts."""
     words = pick(view(s, d, "vEmails"), ["id"], C.email_intent(B()))
