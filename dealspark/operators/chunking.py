@@ -81,7 +81,8 @@ def sliding_spans(text: Column, size: int = 500, overlap: int = 100, least: int
 def sliding_chunks(df: DataFrame, size: int = 500, overlap: int = 100, least: int = 51, pages: Column | None = None) -> DataFrame:
     """k01: df: doc_id, text. Null and empty texts have no chunk. With the number of pages of a document a chunk tells the page
     it starts on, taking pages to be of equal length; without pages (null, 0) that is page 1."""
-    spans = df.select("doc_id", F.length("text").alias("_n"), (F.lit(None) if pages is None else pages).cast("long").alias("_pages"), F.posexplode(sliding_spans(F.col("text"), size, overlap, least)).alias("pos", "_c"))
+    # the outer form, since Spark works out the argument of the other one again in a filter that it puts before it
+    spans = df.select("doc_id", F.length("text").alias("_n"), (F.lit(None) if pages is None else pages).cast("long").alias("_pages"), F.posexplode_outer(sliding_spans(F.col("text"), size, overlap, least)).alias("pos", "_c")).where("pos is not null")
     page = F.when(F.col("_pages") > 0, F.least(F.floor(F.col("_c.start") / (F.col("_n") / F.col("_pages"))) + 1, F.col("_pages"))).otherwise(1)
     return spans.select("doc_id", F.format_string("chunk_%04d", "pos").alias("chunk_id"), "pos", F.col("_c.start").alias("start"), F.col("_c.text").alias("text"), *([] if pages is None else [page.cast("long").alias("page")]))
 

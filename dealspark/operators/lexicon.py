@@ -85,12 +85,13 @@ def _by_words(low: DataFrame, terms: DataFrame, sizes: list[int]) -> DataFrame:
     words = F.filter(F.split(padded(F.col("low")), " "), lambda w: w != "")
     runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
     every = X.let(words, lambda w: F.flatten(F.array(*[w if n == 1 else runs(w, n) for n in sizes])))
-    return low.select("k", F.explode(every).alias("term")).join(terms.select("term"), "term").groupBy("k", "term").agg(F.count("*").alias("n"))
+    # explode_outer here and below: Spark works out the argument of explode again in a filter that it puts before it
+    return low.select("k", F.explode_outer(every).alias("term")).join(terms.select("term"), "term").groupBy("k", "term").agg(F.count("*").alias("n"))
 
 
 def _by_patterns(low: DataFrame, patterns: list[str]) -> DataFrame:
     each = F.array(*[F.struct(F.lit(p).alias("term"), F.regexp_count("low", F.lit(p)).cast("long").alias("n")) for p in patterns])
-    return low.select("k", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x")).select("k", "x.term", "x.n")
+    return low.select("k", F.explode_outer(F.filter(each, lambda x: x["n"] > 0)).alias("x")).where("x is not null").select("k", "x.term", "x.n")
 
 
 def occurrences(df: DataFrame, key: str, text: str, lexicon: DataFrame, limit: int = LIMIT) -> DataFrame:
