@@ -4,8 +4,9 @@ A word's input is its own embedding (words of the training sample; others share
 hashed character n-grams. The network reads overlapping windows of words; attention pools its states into a window's
 logit, the highest logit of a document is calibrated to its score. All weights start at random. The labels are of
 documents, so training picks the windows itself: in each phase those that the network so far finds strongest, from a falling
-share of each toxic document's, against random and the strongest ones of the others. A fifth of the rows is set aside: the
-phase that ranks it best is kept, and the scores are calibrated on it (on all rows where it holds few toxic ones).
+share of each toxic document's, against random and the strongest ones of the others. The rows are dealt to folds by their text.
+Each fold's rows are judged by a network that learnt from the others alone: the phase that ranks them best on average is the
+one kept of the network that learnt from all rows, and its scores are calibrated on all these judgements.
 
 Training reads at most about `train_rows` labelled rows of each class, chosen by a hash of doc_id; training, calibration and
 scoring read every window of every whole text. Null and empty texts and texts without a word get the calibrated score of no
@@ -32,9 +33,9 @@ from dealspark.llm.langid import is_held_out
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 CHAR_ORDERS, CHAR_BUCKETS = (3, 5), 1 << 14
-#: Training: phases of so many steps; share of words hidden in a step; weight decay of embeddings; toxic rows set aside that
-#: suffice for calibration.
-PHASES, STEPS, HIDE, DECAY, ENOUGH = 6, 80, 0.3, 2.0, 20
+#: Training: phases of so many steps; share of words hidden in a step; weight decay of embeddings.
+PHASES, STEPS, HIDE, DECAY = 6, 80, 0.3, 2.0
+FOLDS = 3
 THRESHOLD = 0.3
 
 
@@ -236,8 +237,30 @@ def _projected(m: Model, v: Vocabulary) -> np.ndarray:
     return np.concatenate([m.params["words"][v.ids], _char_means(m.params, v)], axis=1) @ m.params["wx"] + m.params["bx"]
 
 
-def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = STEPS, batch: int = 128, seed: int = 17) -> Model:
-    """base: the share of toxic rows among all labelled ones; steps: of each phase."""
+@dataclass
+class Trained:
+    """A network after each phase. `fold`: the fold it hasn't read (FOLDS: none); `rows`: rows judged, by number: those of the
+    fold or all; `tops`: their highest logits."""
+
+    fold: int
+    words: np.ndarray
+    rows: np.ndarray
+    params: list[dict[str, np.ndarray]] = field(default_factory=list, repr=False)
+    tops: list[np.ndarray] = field(default_factory=list, repr=False)
+
+
+def _folds(texts: list[str], y: np.ndarray, seed: int) -> np.ndarray:
+    """Each row's fold; equal texts share one, and each label's texts are dealt out evenly."""
+    _, first, same = np.unique(np.array(texts, object), return_index=True, return_inverse=True)
+    order = np.random.default_rng(seed).permutation(len(first))
+    order = order[np.argsort(-y[first[order]], kind="stable")]
+    fold = np.empty(len(first), np.int64)
+    fold[order] = np.arange(len(first)) % FOLDS
+    return fold[same]
+
+
+def learn(texts: list[str], labels: np.ndarray, fold: int = FOLDS, steps: int = STEPS, batch: int = 128, seed: int = 17) -> Trained:
+    """Trains on the rows outside the fold; steps: of each phase."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape, by=1.0: (rng.standard_normal(shape) * by).astype(np.float32)
     words = split_words(pc.utf8_lower(pa.array(texts, pa.large_string())), NOT_ALNUM)
@@ -245,8 +268,9 @@ def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = STEPS, b
     y = labels.astype(np.float32)
     row, start, length = _windows(np.diff(words.first), words.first[:-1])
     n_windows = np.bincount(row, minlength=len(y))
-    # words of three documents or more have an embedding
-    doc_word = np.unique(words.row * len(uniq) + inverse) if len(uniq) else np.zeros(0, np.int64)
+    aside = _folds(texts, y, seed) == fold
+    # words of three of the documents to learn from or more have an embedding
+    doc_word = np.unique((words.row * len(uniq) + inverse)[~aside[words.row]]) if len(uniq) else np.zeros(0, np.int64)
     pick = np.flatnonzero(np.bincount(doc_word % max(1, len(uniq)), minlength=len(uniq)) >= 3)
     dims = WORD_DIM + CHAR_DIM
     params = {
@@ -255,14 +279,14 @@ def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = STEPS, b
         "wa": normal(2 * HIDDEN, ATTENTION, by=0.35), "ba": np.zeros(ATTENTION, np.float32), "va": normal(ATTENTION, by=0.35), "wo": normal(2 * HIDDEN, by=0.35), "bo": np.zeros(1, np.float32),
     }
     params["words"][0] = 0
-    m = Model(uniq[pick], params, base)
-    aside = rng.random(len(y)) < 0.2
+    m = Model(uniq[pick], params, 0.0)
+    done = Trained(fold, m.words, np.flatnonzero(aside if fold < FOLDS else ~aside))
     toxic, clean = (np.flatnonzero((y == label) & (n_windows > 0) & ~aside) for label in (1, 0))
     if not (len(toxic) and len(clean)):
-        return m
+        return done
     vocab = _vocabulary(words, uniq, at, m.words)
     lo = np.cumsum(n_windows) - n_windows
-    score, best = rng.random(len(start)), None
+    score = rng.random(len(start))
     for phase in range(PHASES):
         order = np.lexsort((-score, row))  # each document's windows, the strongest first
         reach = np.ceil(n_windows * (0.5**phase if phase < PHASES - 1 else 0)).clip(1)
@@ -278,18 +302,42 @@ def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = STEPS, b
         score = _logits(m, _projected(m, vocab), inverse, start, length).astype(np.float64)
         top = np.full(len(y), -np.inf)
         np.maximum.at(top, row, score)
-        p, n = top[(y > 0) & aside & np.isfinite(top)], top[(y == 0) & aside & np.isfinite(top)]
-        rank = float((p[:, None] > n).mean()) if len(p) and len(n) else 0.0
-        if best is None or rank >= best[0]:
-            best = rank, {k: v.copy() for k, v in m.params.items()}, top
-    m.params, top = best[1], best[2]
-    use = np.isfinite(top) & (aside if y[aside].sum() >= ENOUGH else True)
-    m.slope, m.shift = _calibrate(top[use], y[use], base)
-    m.trained = True
-    m.moments = {}
+        done.params.append({k: v.copy() for k, v in m.params.items()})
+        done.tops.append(top[done.rows])
+    return done
+
+
+def _rank(top: np.ndarray, y: np.ndarray) -> float:
+    """How often a toxic row's logit is above a clean one's; NaN without rows of both."""
+    p, n = (np.sort(top[(y == label) & np.isfinite(top)]) for label in (1, 0))
+    if not (len(p) and len(n)):
+        return np.nan
+    return float((np.searchsorted(n, p, "left") + np.searchsorted(n, p, "right")).mean() / 2 / len(n))
+
+
+def combine(parts: list[Trained], labels: np.ndarray, base: float) -> Model:
+    """The network of all rows, with the phase and the calibration that the folds' judgements give. Without such judgements of
+    toxic and of clean rows its own judgements take their place. base: the share of toxic rows among all labelled ones."""
+    y = labels.astype(np.float64)
+    whole = next(p for p in parts if p.fold == FOLDS)
+    m = Model(whole.words, {}, base)
+    if not whole.params:
+        return m
+    judged = [p for p in parts if p.fold < FOLDS and p.params and np.isfinite(_rank(p.tops[0], y[p.rows]))] or [whole]
+    ranks = np.array([np.mean([_rank(p.tops[k], y[p.rows]) for p in judged]) for k in range(len(whole.params))])
+    phase = len(ranks) - 1 - int(np.argmax(ranks[::-1])) if np.isfinite(ranks).all() else len(ranks) - 1
+    top, known = np.concatenate([p.tops[phase] for p in judged]), np.concatenate([y[p.rows] for p in judged])
+    use = np.isfinite(top)
+    m.params, m.trained = whole.params[phase], True
+    m.slope, m.shift = _calibrate(top[use], known[use], base)
     return m
 
 
+def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = STEPS, batch: int = 128, seed: int = 17) -> Model:
+    """All of the training in one process."""
+    return combine([learn(texts, labels, fold, steps, batch, seed) for fold in range(FOLDS + 1)], labels, base)
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray, base: float) -> tuple[float, float]:
     """Logistic regression of the label on the highest logit, weighted to the share of toxic rows."""
     weight = np.where(y > 0, base / max(y.mean(), 1e-9), (1 - base) / max(1 - y.mean(), 1e-9))
@@ -332,15 +380,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 2000) -> Model:
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
-        if held:
-            pdf = pd.concat(held).sort_values(["doc_id", "text"], kind="stable")
-            yield pd.DataFrame({"model": [pickle.dumps(fit(pdf["text"].tolist(), pdf["toxic"].to_numpy(), base))]})
-
-    # one task trains on the bounded sample, about train_rows rows of each class; the driver gets the model alone
-    found = rows.repartition(1).mapInPandas(learn, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else Model(np.zeros(0, np.uint64), {}, base)
+        for fold, pdf in pd.concat(held).groupby("fold") if held else ():
+            pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
+            y = pdf["toxic"].to_numpy()
+            yield pd.DataFrame({"part": [pickle.dumps((learn(pdf["text"].tolist(), y, int(fold)), y))]})
+
+    # one task a fold trains on the bounded sample, about train_rows rows of each class; the driver gets the networks alone
+    dealt = rows.withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS + 1))))).repartitionById(FOLDS + 1, "fold")
+    found = [pickle.loads(r["part"]) for r in dealt.mapInPandas(run, "part binary").collect()]
+    return combine([p for p, _ in found], found[0][1], base) if found else Model(np.zeros(0, np.uint64), {}, base)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
