@@ -147,15 +147,49 @@ def expiry(kind: Column, created: Column) -> Column:
     return out
 
 
-def outreach_intent(revenue_conf: Column, growth_conf: Column, users_conf: Column, high: Column, medium: Column, contradictions: Column, confidence: Column) -> dict[str, Column]:
-    """c09: signal strength over 10, risk score, intent, tone and priority. A metric counts in full above .7 of
-    confidence, in part above 0."""
-    part = lambda c, full, some: F.when(c > 0.7, full).when(c > 0, some).otherwise(0.0)
-    signal = F.round((part(revenue_conf, 2.5, 1.0) + part(growth_conf, 2.0, 0.5) + part(users_conf, 2.0, 0.5)) / 10, 4)
-    risk = F.round(F.least(F.lit(1.0), (high * 3 + medium * 1.5 + contradictions * 2 + F.when(confidence < 0.3, 2.0).otherwise(0.0)) / 10), 4)
-    intent = F.when((signal >= 0.5) & (risk < 0.4), "interested").when(risk >= 0.7, "pass").when(signal >= 0.2, "clarify").otherwise("watch")
-    tone = F.when(intent == "interested", "warm").when(intent == "pass", "polite").otherwise("neutral")
-    return {"signal": signal, "risk": risk, "intent": intent, "tone": tone, "priority": F.when((intent == "interested") & (confidence >= 0.5), "high").when(intent.isin("interested", "clarify"), "medium").otherwise("low")}
+#: What a metric of over .7 confidence and any other one adds to the signal; levels of risk; tones.
+SIGNALS = {"revenue": (2.5, 1.0), "growth_rate": (2.0, 0.5), "users": (2.0, 0.5), "market_size": (1.5, 0.5)}
+TONES = {"strong_interest": "enthusiastic", "moderate_interest": "professional", "needs_clarification": "curious", "soft_decline": "cautious", "initial_outreach": "professional"}
+
+
+def outreach_intent(metrics: dict[str, tuple[Column, Column]], claims: Column, high: Column, medium: Column, contradictions: Column, confidence: Column) -> Column:
+    """c09: a struct of signal strength, level of risk, intent, tone, priority and reasoning of a first mail. metrics: value and confidence by the
+    names of `SIGNALS`; claims, high, medium (risks) and contradictions are counts, confidence that of the whole extraction.
+    Null or empty values are no metric, null confidences and counts 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    signal = F.when(zero(claims) >= 3, 1.0).when(zero(claims) >= 1, 0.5).otherwise(0.0)
+    for name, (full, some) in SIGNALS.items():
+        if name in metrics:
+            value, sure = metrics[name]
+            signal = signal + F.when(F.coalesce(value.cast("string"), F.lit("")) == "", 0.0).when(zero(sure) > 0.7, full).otherwise(some)
+    sure = zero(confidence)
+    risk = zero(high) * 3 + zero(medium) * 1.5 + zero(contradictions) * 2 + F.when(sure < 0.5, 2).when(sure < 0.7, 1).otherwise(0)
+
+    def level(v: Column) -> Column:
+        return F.struct(F.least(F.lit(1.0), F.round(v["signal"] / 10, 4)).alias("signal"), F.when(v["risk"] >= 5, "high").when(v["risk"] >= 2, "medium").otherwise("low").alias("risk"))
+
+    def judge(v: Column) -> Column:
+        intent = (
+            F.when((v["signal"] >= 0.7) & (v["risk"] == "low") & (sure >= 0.7), "strong_interest").when((v["signal"] >= 0.5) & (v["risk"] != "high"), "moderate_interest")
+            .when((sure < 0.5) | (v["risk"] == "high"), "needs_clarification").when(v["signal"] < 0.3, "soft_decline").otherwise("initial_outreach")
+        )
+        return F.struct(v["signal"].alias("signal"), v["risk"].alias("risk"), intent.alias("intent"))
+
+    def word(v: Column) -> Column:
+        intent = v["intent"]
+        tone = F.create_map(*[F.lit(x) for kv in TONES.items() for x in kv])[intent]
+        priority = F.when(intent == "strong_interest", "high").when((intent == "needs_clarification") | (intent == "moderate_interest") & (sure >= 0.6), "medium").otherwise("low")
+        reasoning = F.format_string("Intent: %s, Tone: %s. Signal strength: %.2f, Risk level: %s", intent, tone, v["signal"], v["risk"])
+        return F.struct(v["signal"].alias("signal"), v["risk"].alias("risk"), intent.alias("intent"), tone.alias("tone"), priority.alias("priority"), reasoning.alias("reasoning"))
+
+    return X.let(X.let(X.let(F.struct(signal.alias("signal"), risk.alias("risk")), level), judge), word)
+
+
+def contradictions(revenue: Column, arr: Column, growth: Column, market_growth: Column) -> Column:
+    """x33: what contradicts: revenue and recurring revenue that differ by over half of the greater, growth below the market's. Numbers;
+    null and 0 are not known."""
+    known = lambda *c: F.coalesce(F.greatest(F.lit(0.0), *[F.when(x.isNull() | (x == 0), 1.0).otherwise(0.0) for x in c]) == 0, F.lit(False))
+    return X.keep([(known(revenue, arr) & (F.abs(revenue - arr) / F.greatest(revenue, arr) > 0.5), "revenue and ARR differ"), (known(growth, market_growth) & (growth < market_growth), "growth below market")])
 
 
 def pitch_fallback(text: Column) -> dict[str, Column]:

@@ -65,17 +65,19 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: f
 
 def bm25_within(docs: DataFrame, group: str, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """r02 with an index of each group's own: numbers, mean lengths, document frequencies and ranks are those of the group.
-    Keys need to be unique within their group only."""
-    terms = query_terms(queries, "text")
+    Keys need to be unique within their group only. Queries that have the group's column are put to that group alone."""
+    terms, on = query_terms(queries, "text"), ["term"]
+    if group in queries.columns:
+        terms, on = terms.join(queries.select("qid", group), "qid"), [group, "term"]
     n = terms.count()
     words = docs.select(group, F.col(key).alias("doc"), X.letter_runs(F.col(text)).alias("w")).withColumn("length", F.size("w"))
     stats = words.groupBy(group).agg(F.count("*").alias("N"), F.avg("length").alias("avgdl"))
-    sized = words.select(group, "doc", "length", F.explode("w").alias("term")).join(maybe_broadcast(terms.select("term").distinct(), n), "term", "left_semi")
+    sized = words.select(group, "doc", "length", F.explode("w").alias("term")).join(maybe_broadcast(terms.select(*on).distinct(), n), on, "left_semi")
     postings = sized.groupBy(group, "doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = postings.groupBy(group, "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    scored = postings.join(df, [group, "term"]).join(stats, group).select(group, "doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
+    scored = postings.join(df, [group, "term"]).join(stats, group).select(group, "doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), on)
     total = scored.groupBy(group, "qid", "doc").agg(F.round(F.sum("w"), 4).alias("score")).where("score > 0")
     return top_per_group(total, [group, "qid"], [F.desc("score"), F.asc("doc")], k)
 

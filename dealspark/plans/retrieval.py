@@ -110,13 +110,15 @@ register("r09_hybrid_merge", lambda s, d: S.hybrid_merge(label_keywords(s, d), s
 
 
 def concatenated(s, d):
+    """r10: the three best documents of each item by BM25, then the six nearest vectors; a document's and an item's vector is that of its number."""
     e = embeddings(s, d)
-    near = S.knn(e, probes(s, d), 6).select("qid", "id", "rank")
-    bm = R.top_per_group(S.knn(e, probes(s, d), 3, "inner").select("qid", "id", "score"), ["qid"], [F.desc("score"), F.asc("id")], 3).select("qid", "id", "rank")
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("qid"))
+    near = S.knn(e, e.select(F.col("id").alias("qid"), "v").join(asked, "qid", "left_semi"), 6).select("qid", "id", "rank")
+    bm = indexed(s, d).bm25(queries(s, d), 3).select("qid", F.col("doc").alias("id"), "rank")
     return S.hybrid_concat(bm, near, 6)
 
 
-register("r10_hybrid_concat", concatenated, f"""with {_COS}, n as (select qid, id, {_TOP} as r from c qualify {_TOP} <= 6), i as (select q.id as qid, x.id as id, round(list_inner_product(q.v, x.v), 6) as score from v q join v x on q.id <> x.id where q.id % 20 = 0), b as (select qid, id, {_TOP} as r from i qualify {_TOP} <= 3),
+register("r10_hybrid_concat", concatenated, f"""with {_BM}, b as (select qid, doc as id, {_RN} as r from bm where score > 0 qualify {_RN} <= 3), {_COS.replace("q.id % 20 = 0", "q.id in (select item_id from benchmark)")}, n as (select qid, id, {_TOP} as r from c qualify {_TOP} <= 6),
     u as (select qid, id, 0 as method, r from b union all select qid, id, 1, r from n), o as (select * from u qualify row_number() over (partition by qid, id order by method, r) = 1)
     select qid, id, method, cast(row_number() over (partition by qid order by method, r, id) as int) as rank from o qualify row_number() over (partition by qid order by method, r, id) <= 6""")
 
@@ -210,23 +212,22 @@ register("a16_sentiment_summary", lambda s, d: scored_texts(s, d).groupBy(_mood(
 
 
 def email_stats(s, d, company: str | None = None):
-    """a08: counts and response times in total and by status, intent and sender, in one pass; company: only mails that name
-    it. The event's type stands for the status."""
+    """a08 over mails that the next event of the log has processed, unless it is an error; company: only mails that name it."""
     b = F.col("body")
-    mails = view(s, d, "vEmails").join(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status")), "id")
+    done = table(s, d, "events").where("event_type <> 'error'").select((F.col("event_id") - 1).alias("id"), F.col("ts").alias("processed_at"))
+    mails = view(s, d, "vEmails").join(done, "id", "left")
     if company:
         mails = mails.where(F.lower(b).contains(company.lower()))
-    rows = mails.select("status", C.email_intent(b)["intent"].alias("intent"), C.sender_type(b).alias("sender"), (F.col("id") % 90).alias("minutes"))
-    dim = F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), (F.col(n) if n != "total" else F.lit("")).alias("value")) for n in ("total", "status", "intent", "sender")]))
-    return rows.select(dim.alias("g"), "minutes").groupBy("g.dim", "g.value").agg(F.count("*").alias("n"), F.round(F.avg("minutes"), 4).alias("mean_minutes"), F.percentile("minutes", 0.5).alias("median_minutes"))
+    rows = mails.select("received_at", "processed_at", F.when(F.col("processed_at").isNull(), "pending").otherwise("processed").alias("status"), C.email_intent(b)["intent"].alias("intent"), C.sender_type(b).alias("sender"))
+    return A.reply_stats(rows, ["status", "intent", "sender"], "received_at", "processed_at")
 
 
 def _email_sql(where: str = "true"):
     from dealspark.plans.text import _INTENT, _SENDER
 
-    agg = "count(*) as n, round(avg(minutes), 4) as mean_minutes, quantile_cont(minutes::double, 0.5) as median_minutes"
+    agg = "count(*) as n, count(seconds) as processed, round(sum(seconds) / 60.0::double / count(seconds), 4) as mean_minutes, quantile_cont(seconds::double, 0.5) / 60 as median_minutes"
     dims = " ".join(f"union all select '{n}', {n}, {agg} from e group by 2" for n in ("status", "intent", "sender"))
-    return f", {_INTENT}, e as (select intent, {_SENDER} as sender, event_type as status, id % 90 as minutes from i join events on event_id = id where {where}) select 'total' as dim, '' as value, {agg} from e {dims}"
+    return f", {_INTENT}, e as (select intent, {_SENDER} as sender, case when p.ts is null then 'pending' else 'processed' end as status, cast(floor(epoch(p.ts)) as bigint) - cast(floor(epoch(o.ts)) as bigint) as seconds from i join events o on o.event_id = id left join events p on p.event_id = id + 1 and p.event_type <> 'error' where {where}) select 'total' as dim, '' as value, {agg} from e {dims}"
 
 
 register("a08_email_stats", email_stats, _email_sql(), ("vEmails",))

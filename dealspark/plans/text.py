@@ -279,10 +279,6 @@ _IMP = f"round(least(1.0, 0.5 + case when regexp_matches(lower(text), '\\$[0-9]|
 _CSENT = f"case when {sql_hits('text', L.CONTEXT_POSITIVE)} > {sql_hits('text', L.CONTEXT_NEGATIVE)} then 'positive' when {sql_hits('text', L.CONTEXT_NEGATIVE)} > {sql_hits('text', L.CONTEXT_POSITIVE)} then 'negative' else 'neutral' end"
 register("c08_detect_context", lambda s, d: pick(decks(s, d), ["doc_id"], C.detect_context(T(), F.col("doc_id") % 11 == 0, F.col("doc_id") % 13 == 0)), f", {_CTX} select doc_id, context, {sql_join([(f"{sql_hits('text', t)} > 0", n) for n, t in L.TOPICS])} as topics, {_CSENT} as sentiment, {_IMP.replace(')::double', _FLAGS + ')::double')} as importance from k", ("vDecks",))
 register("x26_expiry", lambda s, d: decks(s, d).select("doc_id", C.detect_context(T())["context"].alias("context")).select("doc_id", "context", C.expiry(F.col("context"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 100).cast("int"))).alias("expires")).withColumn("expired", F.coalesce(F.col("expires") < F.lit("2024-06-01").cast("date"), F.lit(False))), f", {_CTX}, e as (select doc_id, context, cast(case context when 'market' then date '2024-01-01' + cast(doc_id % 100 + 30 as int) when 'financial' then date '2024-01-01' + cast(doc_id % 100 + 90 as int) when 'deal' then date '2024-01-01' + cast(doc_id % 100 + 180 as int) when 'company' then date '2024-01-01' + cast(doc_id % 100 + 365 as int) end as date) as expires from k) select *, coalesce(expires < date '2024-06-01', false) as expired from e", ("vDecks",))
-register("c09_outreach_intent", lambda s, d: pick(decks(s, d).withColumns({k: F.expr(e) for k, e in {"rc": "doc_id % 11 / 10D", "gc": "doc_id % 7 / 7D", "uc": "doc_id % 3 / 2D", "hi": "doc_id % 3", "me": "doc_id % 4", "co": "doc_id % 2", "cf": "doc_id % 9 / 8D"}.items()}), ["doc_id"], C.outreach_intent(*[F.col(k) for k in ("rc", "gc", "uc", "hi", "me", "co", "cf")])), """, v as (select doc_id, doc_id % 11 / 10.0::double as rc, doc_id % 7 / 7.0::double as gc, doc_id % 3 / 2.0::double as uc, doc_id % 3 as hi, doc_id % 4 as me, doc_id % 2 as co, doc_id % 9 / 8.0::double as cf from vDecks),
-    w as (select *, round((case when rc > 0.7 then 2.5 when rc > 0 then 1.0 else 0.0 end + case when gc > 0.7 then 2.0 when gc > 0 then 0.5 else 0.0 end + case when uc > 0.7 then 2.0 when uc > 0 then 0.5 else 0.0 end)::double / 10, 4) as signal, round(least(1.0, (hi * 3 + me * 1.5 + co * 2 + case when cf < 0.3 then 2.0 else 0.0 end)::double / 10), 4) as risk from v),
-    x as (select *, case when signal >= 0.5 and risk < 0.4 then 'interested' when risk >= 0.7 then 'pass' when signal >= 0.2 then 'clarify' else 'watch' end as intent from w)
-    select doc_id, signal, risk, intent, case intent when 'interested' then 'warm' when 'pass' then 'polite' else 'neutral' end as tone, case when intent = 'interested' and cf >= 0.5 then 'high' when intent in ('interested','clarify') then 'medium' else 'low' end as priority from x""", ("vDecks",))
 _NICE = {"interested": "Interested", "not_interested": "Not Interested", "pending": "Pending"}
 register("c10_intent_summary", lambda s, d: pick(view(s, d, "vEmails"), ["id"], C.email_intent(B())).select("id", F.create_map(*[F.lit(x) for kv in _NICE.items() for x in kv])[F.col("intent")].alias("label"), F.format_string("%.0f%%", F.col("confidence") * 100).alias("confidence")), f", {_INTENT} select id, case intent when 'interested' then 'Interested' when 'not_interested' then 'Not Interested' else 'Pending' end as label, printf('%.0f%%', confidence * 100) as confidence from i", ("vEmails",))
 register("c11_pitch_fallback", lambda s, d: pick(decks(s, d), ["doc_id"], C.pitch_fallback(T())), f""", m as (select doc_id, text, {sql_match('text', [r'([$][0-9][0-9,.]*[MBK]?)'])} as revenue, {sql_match('text', ['(?i)([0-9]+%) +(?:growth|yoy|cagr)'])} as growth_rate, {sql_match('text', ['(?i)([0-9]+) +months? +runway'])} || ' months' as runway from vDecks)
