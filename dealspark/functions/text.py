@@ -130,9 +130,31 @@ def percent_value(col: Column) -> Column:
     return F.regexp_extract(col, "([0-9]+(?:\\.[0-9]+)?)\\s*%", 1).try_cast("double")
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """v with 0 or 1 decimals, rounded as C's printf does: by the exact value of the double, ties to even (Java's formatter rounds the
+    shortest decimal form up). From 2^53 on a double is whole and Java's form is taken."""
+    if digits not in (0, 1):
+        raise ValueError("digits is 0 or 1")
+
+    def tenths(x: Column) -> Column:
+        # the fraction in units of 2^-58, exact wherever it can reach the next tenth
+        t = ((x - F.floor(x)) * 2.0**58).cast("long") * 10
+        q, r = F.shiftright(t, 58), t.bitwiseAND((1 << 58) - 1)
+        up = (r > 1 << 57) | ((r == 1 << 57) & (q % 2 == 1))
+        return F.floor(x) * 10 + q + up.cast("long")
+
+    def spelled(x: Column) -> Column:
+        if digits == 0:
+            return F.rint(x).cast("long").cast("string")
+        return let(tenths(x), lambda n: F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string")))
+
+    return F.when(F.abs(v) < 2.0**53, F.concat(F.when(v < 0, "-").otherwise(""), spelled(F.abs(v)))).otherwise(F.format_string(f"%.{digits}f", v))
+
+
 def money_display(v: Column) -> Column:
     """x21."""
-    return F.when(v >= 1e9, F.format_string("$%.1fB", v / 1e9)).when(v >= 1e6, F.format_string("$%.1fM", v / 1e6)).when(v >= 1e3, F.format_string("$%.0fK", v / 1e3)).when(v.isNotNull(), F.format_string("$%.0f", v))
+    shown = lambda sign, by, digits: F.concat(F.lit("$"), fixed(v / by, digits), F.lit(sign))
+    return F.when(v >= 1e9, shown("B", 1e9, 1)).when(v >= 1e6, shown("M", 1e6, 1)).when(v >= 1e3, shown("K", 1e3, 0)).when(v.isNotNull(), F.concat(F.lit("$"), F.floor(v + 0.5).cast("long").cast("string")))
 
 
 def normal_year(yr: Column, base: Column | int = 2024) -> Column:

@@ -167,7 +167,7 @@ register("x20_money_value", lambda s, d: table(s, d, "orders").select("o_orderke
 register("x21_money_display", lambda s, d: table(s, d, "orders").select("o_orderkey", X.money_display(F.col("o_totalprice") * F.when(F.col("o_orderkey") % 2 == 0, 1000).otherwise(1)).alias("display")), f"select o_orderkey, {sql_display('(o_totalprice * case when o_orderkey % 2 = 0 then 1000 else 1 end)')} as display from orders")
 _YR = "case when length(company) % 2 = 0 and cast(yr as int) % 3 = 0 then 'Year ' || cast(cast(yr as int) % 10 + 1 as varchar(2)) when cast(yr as int) % 3 = 1 then cast(cast(yr as int) % 20 + 1 as varchar(2)) else yr end"
 register("x22_normal_year", lambda s, d: view(s, d, "vRevenue").select("company", "yr", X.normal_year(F.expr(_YR)).alias("year")), f"select company, yr, cast(case when regexp_matches(y, '^[0-9]{{4}}$') then cast(y as int) else 2024 + cast(regexp_extract(y, '^(?:Year )?([0-9]{{1,2}})$', 1) as int) - 1 end as int) as year from (select company, yr, {_YR} as y from vRevenue) t", ("vRevenue",))
-register("x23_scenarios", lambda s, d: view(s, d, "vRevenue").select("company", "yr", F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(m).alias("by")) for n, m in (("best", 1.2), ("base", 1.0), ("worst", 0.7))])).alias("x"), "revenue").select("company", "yr", "x.scenario", F.format_string("$%.1fM", F.col("revenue") * F.col("x.by") / 1e6).alias("value")), "select company, yr, scenario, printf('$%.1fM', revenue * m / 1e6) as value from vRevenue, (values ('best', 1.2), ('base', 1.0), ('worst', 0.7)) s(scenario, m)", ("vRevenue",))
+register("x23_scenarios", lambda s, d: view(s, d, "vRevenue").select("company", "yr", F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(m).alias("by")) for n, m in (("best", 1.2), ("base", 1.0), ("worst", 0.7))])).alias("x"), "revenue").select("company", "yr", "x.scenario", F.concat(F.lit("$"), X.fixed(F.col("revenue") * F.col("x.by") / 1e6, 1), F.lit("M")).alias("value")), "select company, yr, scenario, printf('$%.1fM', revenue * m / 1e6) as value from vRevenue, (values ('best', 1.2), ('base', 1.0), ('worst', 0.7)) s(scenario, m)", ("vRevenue",))
 register("x24_compound_projection", lambda s, d: pick(decks(s, d), ["doc_id"], {"projected": F.round(F.coalesce(X.money_value(X.first_match(T(), L.DECK_PATTERNS["revenue"])), F.lit(1e6)) * F.pow(1 + F.coalesce(X.percent_value(X.first_match(T(), L.DECK_PATTERNS["growth_rate"])), F.lit(50.0)) / 100, 5), 0)}), f", m as (select doc_id, {_E2} from vDecks) select doc_id, round(coalesce({sql_money('revenue')}, 1e6) * pow(1 + coalesce(try_cast(nullif(regexp_extract(growth_rate, '([0-9]+(?:\\.[0-9]+)?)\\s*%', 1), '') as double), 50.0) / 100, 5), 0) as projected from m", ("vDecks",))
 register("x25_growth_rate", lambda s, d: view(s, d, "vRevenue").groupBy("company").agg(F.round((F.max_by("revenue", "yr") - F.min_by("revenue", "yr")) / F.min_by("revenue", "yr") * 100, 4).alias("growth")), "select company, round((max_by(revenue, yr) - min_by(revenue, yr)) / min_by(revenue, yr) * 100, 4) as growth from vRevenue group by 1", ("vRevenue",))
 
