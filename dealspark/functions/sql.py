@@ -52,6 +52,22 @@ def _numbers() -> str:
     return f"aggregate({found}, t, (text, m) -> replace(text, m, {spelled}))"
 
 
+def fixed(v: str, digits: int) -> str:
+    """`functions.text.fixed` in SQL, for v of 0 and more."""
+    if digits == 0:
+        return f"case when {v} < {2**53}D then cast(cast(rint({v}) as bigint) as string) else format_string('%.0f', {v}) end"
+    t = f"(cast(({v} - floor({v})) * {2**58}D as bigint) * 10)"
+    q, r = f"shiftright({t}, 58)", f"({t} & {2**58 - 1})"
+    n = f"(cast(floor({v}) as bigint) * 10 + {q} + cast({r} > {2**57} or {r} = {2**57} and {q} % 2 = 1 as bigint))"
+    return f"case when {v} < {2**53}D then concat({n} div 10, '.', {n} % 10) else format_string('%.1f', {v}) end"
+
+
+def money_text() -> str:
+    """x21 as the body of a function of v."""
+    shown = lambda sign, by, digits: f"concat('$', {fixed(f'(v / {by}D)', digits)}, '{sign}')"
+    return f"case when v >= 1e9 then {shown('B', '1e9', 1)} when v >= 1e6 then {shown('M', '1e6', 1)} when v >= 1e3 then {shown('K', '1e3', 0)} else concat('$', cast(floor(v + 0.5D) as bigint)) end"
+
+
 def create_functions(spark: SparkSession) -> None:
     """sentiment_score (c01), risk_score (c02), email_intent (c04), context_type (c08), normal_numbers (x06), money_value (x20)
     for the session."""

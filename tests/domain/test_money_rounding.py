@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from dealspark.functions import sql as SF
 from dealspark.functions import text as X
 from dealspark.plans import registry
 from dealspark.plans import text as T
@@ -29,6 +30,12 @@ def test_display(spark, duck):
     assert want[198500.0] == "$198K"
 
 
+def test_display_function(spark, duck):
+    spark.sql(f"create or replace temporary function money_text(v double) returns string return {SF.money_text()}")
+    rows = spark.createDataFrame([(v,) for v in AMOUNTS], "v double").select("v", F.expr("money_text(v)").alias("display")).collect()
+    assert {r.v: r.display for r in rows} == dict(duck.sql(f"select v, {T.sql_display('v')} from a").fetchall())
+
+
 def test_fixed(spark, duck):
     values = [0.05, 0.15, 0.25, 0.35, 0.75, 0.95, 0.949999999, 1.05, 9.95, -0.25, -2.5, 2.0**52 + 0.5, 2.0**53, 1e-9, *[a / 1e3 for a in AMOUNTS]]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.fixed(F.col("v"), 0).alias("whole"), X.fixed(F.col("v"), 1).alias("tenths")).collect()
