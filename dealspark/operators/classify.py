@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 from dealspark.functions import lexicons as L
 from dealspark.functions import text as X
 
-
+#: Rows of a lexicon up to which it is broadcast (some 20 MB).
+LEXICON_ROWS = 200_000
 TITLE_LINE = "^[A-Z][A-Za-z0-9&.]*(?:[ \\t]+[A-Za-z0-9&.]+){0,3}$"
 
 
 def score_lexicon(df: DataFrame, text: str, key: str, lexicon: DataFrame) -> DataFrame:
     """c00 for long lexicons: words of the texts meet the terms (category, term, weight) in an equi-join. Returns key,
-    category, hits (distinct terms), occurrences and weighted score."""
-    words = df.select(key, F.explode(X.letter_runs(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    return words.join(lexicon, "term").groupBy(key, "category").agg(F.count("*").alias("hits"), F.sum("n").alias("occurrences"), F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("score"))
+    category, hits (distinct terms), occurrences and weighted score. A lexicon of up to LEXICON_ROWS is broadcast before the words are
+    counted; a longer one meets them in a shuffle. The words are never broadcast, however small their file lets Spark guess them."""
+    words = df.select(key, F.explode_outer(X.letter_runs(F.col(text))).alias("term")).where("term is not null")
+    if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS:
+        lexicon = F.broadcast(lexicon)
+        words = words.join(F.broadcast(lexicon.select("term").distinct()), "term", "left_semi")
+    else:
+        lexicon = lexicon.hint("merge")
+    counted = words.groupBy(key, "term").agg(F.count("*").alias("n"))
+    return counted.join(lexicon, "term").groupBy(key, "category").agg(F.count("*").alias("hits"), F.sum("n").alias("occurrences"), F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("score"))
 
 
 def sentiment(text: Column) -> dict[str, Column]:
