@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from dealspark.functions import text as X
 from dealspark.functions import vectors as V
@@ -16,6 +20,8 @@ from dealspark.operators.relational import top_per_group
 BROADCAST_TERMS = 200_000
 #: Rows of a block of vectors and of a block of queries: bounds on what one task multiplies.
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+#: Documents whose postings make one task, and pairs of posting and query (or of document and query) that are added up at once.
+DOCS, PAIRS = 8192, 1 << 21
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -33,26 +39,88 @@ class TextIndex:
             sized = sized.join(terms, "term", "left_semi")
         self.postings = sized.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
         self.df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        self.size = docs.count
 
 
 def query_terms(queries: DataFrame, text: str) -> DataFrame:
     return queries.select("qid", F.explode(X.letter_runs(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
+def parts_of(spark: SparkSession, docs: int) -> int:
+    """Tasks for a number of documents: at most DOCS each, and down to a sixteenth of that to keep all tasks of a shuffle busy."""
+    return max(1, -(-docs // DOCS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs * 16 // DOCS)))
+
+
+def _best(weights: DataFrame, terms: DataFrame, n: int, k: int, docs: int, by_times: bool) -> DataFrame:
+    """The best k documents of each query by the sum of the weights (doc, term, w) of its terms, rounded to four digits.
+
+    Weights are dealt by document, so that no pair of query and document is shuffled but the best k of each task. Every task adds up
+    blocks of documents by queries in arrays of bounded size. More than BROADCAST_TERMS terms of queries meet the weights in a join."""
+    best = [F.desc("score"), F.asc("doc")]
+    if n > BROADCAST_TERMS:
+        of = weights.join(terms, "term")
+        total = of.groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("qtf") if by_times else F.col("w")), 4).alias("score")).where("score > 0")
+        return top_per_group(total, ["qid"], best, k)
+    spark, asked = weights.sparkSession, sorted(terms.collect(), key=lambda r: r["term"])
+    words, tid = np.unique(np.array([r["term"] for r in asked], object), return_inverse=True)
+    qids = list(dict.fromkeys(r["qid"] for r in asked))
+    number = {q: i for i, q in enumerate(qids)}
+    first = np.searchsorted(tid, np.arange(len(words) + 1))
+    held = spark.sparkContext.broadcast((qids, first, np.array([number[r["qid"]] for r in asked], np.int64), np.array([r["qtf"] if by_times else 1 for r in asked], np.float64)))
+    ids = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, tid int")
+    schema = StructType([StructField("qid", terms.schema["qid"].dataType), StructField("doc", weights.schema["doc"].dataType), StructField("score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_batches = [b for b in batches if b.num_rows]
+        if not held_batches:
+            return
+        names, first, query, times = held.value
+        rows = pa.Table.from_batches(held_batches)
+        docs = pc.unique(rows["doc"])
+        docs = docs.take(pc.array_sort_indices(docs, null_placement="at_start"))
+        code, term = pc.index_in(rows["doc"], docs).to_numpy().astype(np.int64), rows["tid"].to_numpy()
+        order = np.lexsort((term, code))  # sums don't depend on the order of arrival
+        code, term, w = code[order], term[order], rows["w"].to_numpy()[order]
+        wide = np.diff(first)[term]
+        starts = np.searchsorted(code, np.arange(len(docs) + 1))
+        pairs = np.concatenate([[0], np.cumsum(wide)])[starts]
+        none = np.zeros(0, np.int64)
+        top, least, at = (none, none, np.zeros(0)), np.zeros(len(names)), 0
+        while at < len(docs):
+            end = int(min(np.searchsorted(pairs, pairs[at] + PAIRS, "right") - 1, at + max(1, PAIRS // len(names)), len(docs)))
+            end = max(at + 1, end)
+            a, b = starts[at], starts[end]
+            size = wide[a:b]
+            nth = np.repeat(first[term[a:b]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cell = np.repeat((code[a:b] - at) * len(names), size) + query[nth]
+            score = np.bincount(cell, np.repeat(w[a:b], size) * times[nth], (end - at) * len(names)).reshape(-1, len(names))
+            score = np.floor(score * 1e4 + 0.5) / 1e4
+            d, q = np.nonzero((score > 0) & (score >= least))
+            q, d, s = (np.concatenate(x) for x in zip(top, (q, d + at, score[d, q]), strict=True))
+            order = np.lexsort((d, -s, q))
+            q, d, s = q[order], d[order], s[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            least[q[rank == k - 1]] = s[rank == k - 1]
+            top, at = (q[rank < k], d[rank < k], s[rank < k]), end
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in top[0]], target.field("qid").type), docs.take(pa.array(top[1])).cast(target.field("doc").type), pa.array(top[2])], schema=target)
+
+    target = to_arrow_schema(schema)
+    dealt = weights.join(F.broadcast(ids), "term").select("doc", "tid", "w").repartition(parts_of(spark, docs), "doc")
+    return top_per_group(dealt.mapInArrow(run, schema), ["qid"], best, k)
+
+
 def score_bm25(index, terms: DataFrame, n: int, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """index: postings, df and stats; terms: qid, term, of n rows."""
+    """index: postings, df, stats and size; terms: qid, term, of n rows."""
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    scored = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
-    total = scored.groupBy("qid", "doc").agg(F.round(F.sum("w"), 4).alias("score")).where("score > 0")
-    return top_per_group(total, ["qid"], [F.desc("score"), F.asc("doc")], k)
+    weights = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w"))
+    return _best(weights, terms, n, k, index.size(), False)
 
 
 def score_tfidf(index, terms: DataFrame, n: int, k: int) -> DataFrame:
     weight = F.col("tf") / F.col("length") * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1)
-    scored = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w")).join(maybe_broadcast(terms, n), "term")
-    total = scored.groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 4).alias("score")).where("score > 0")
-    return top_per_group(total, ["qid"], [F.desc("score"), F.asc("doc")], k)
+    weights = index.postings.join(maybe_broadcast(index.df, n), "term").join(F.broadcast(index.stats)).select("doc", "term", weight.alias("w"))
+    return _best(weights, terms, n, k, index.size(), True)
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

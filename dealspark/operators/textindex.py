@@ -9,7 +9,7 @@ Under one folder lie, by epoch (one for each change) and, where it says so, by b
     gone               doc: documents whose postings of earlier epochs no longer count
     manifest           written last; an epoch without it is not read
 
-Files of a bucket are dealt by document too, so a term of very many documents is no single task. Texts are cut into runs of letters.
+Files of a bucket are written by document, about S.DOCS each, so a term of very many documents is no single task. Texts are cut into runs of letters.
 Null and empty texts are documents without words (a null text counts in N, not in the mean length); documents without a key are left out. Rows that repeat a key in one change are
 one document whose words add up. A document that is added again replaces the earlier one."""
 
@@ -30,6 +30,13 @@ def bucket(term: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counts(w: F.Column) -> F.Column:
+    """Each word of sorted words with the number of its occurrences."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).cast("long").alias("tf")))
+    return X.let(w, lambda s: X.let(starts(s), lambda at: runs(s, at)))
+
+
 @dataclass
 class View:
     """What the scoring of a search needs: of the index's tables the rows of some terms, or all."""
@@ -38,6 +45,10 @@ class View:
     df: DataFrame
     stats: DataFrame
 
+    def size(self) -> int:
+        """Number of documents."""
+        return self.stats.first()["N"] or 0
+
 
 class InvertedIndex:
     def __init__(self, spark: SparkSession, path: str):
@@ -79,21 +90,22 @@ class InvertedIndex:
         """Adds documents, replacing those of the same key."""
         epochs = self._epochs()
         epoch = max(epochs, default=-1) + 1
-        words = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), X.letter_runs(F.col(text)).alias("w"))
-        lengths = words.groupBy("doc").agg(F.sum(F.size("w")).alias("n"))
+        keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+        lengths = keyed.select("doc", F.size(X.letter_runs(F.col("text"))).alias("n")).groupBy("doc").agg(F.sum("n").alias("n"))
         if epochs:
             self._drop(lengths.select("doc"), epoch)
             epoch += 1
-        counted = words.select("doc", F.explode("w").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
         self._write(lengths, "lengths", epoch)
         lengths = self.spark.read.schema(self._SCHEMAS["lengths"]).parquet(f"{self.path}/lengths/epoch={epoch}")
-        sized = counted.join(lengths.select("doc", F.col("n").cast("int").alias("length")), "doc").withColumn("bucket", bucket(F.col("term")))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # a bucket's postings are dealt by document, to as many tasks as there are for each bucket
-        salt = F.pmod(F.xxhash64("doc"), F.lit(max(1, parts // BUCKETS)))
-        self._write(sized.repartition(parts, "bucket", salt).sortWithinPartitions("bucket", "term"), "postings", epoch, "bucket")
+        # texts alone are shuffled: a document's postings are counted where its text is, and written to their buckets from there
+        parts = S.parts_of(self.spark, keyed.count())
+        whole = keyed.repartition(parts, "doc").groupBy("doc").agg(F.collect_list("text").alias("texts"))
+        words = whole.select("doc", F.sort_array(F.flatten(F.transform("texts", X.letter_runs))).alias("w"))
+        counted = words.where(F.size("w") > 0).select("doc", F.size("w").alias("length"), F.explode_outer(_counts(F.col("w"))).alias("x"))
+        rows = counted.select("x.term", "doc", "x.tf", "length", bucket(F.col("x.term")).alias("bucket"))
+        self._write(rows.sortWithinPartitions("bucket", "term"), "postings", epoch, "bucket")
         written = self.spark.read.schema(self._SCHEMAS["postings"]).parquet(f"{self.path}/postings/epoch={epoch}")
-        self._write(written.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition(parts, "bucket"), "df", epoch, "bucket")
+        self._write(written.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket"), "df", epoch, "bucket")
         self._write(self._sums(lengths, 1), "stats", epoch)
         self._write(self.spark.createDataFrame([], "doc long"), "gone", epoch)
         self._commit(epoch)

@@ -46,7 +46,7 @@ _BM = f"""{_INDEX}, bm as (select qid, doc, round(sum(ln(1 + (n - df + 0.5::doub
 _TF = f"""{_INDEX}, tfi as (select qid, doc, round(sum(tf / cast(length as double) * (ln((n + 1) / cast(df + 1 as double)) + 1) * qtf), 4) as score from p join df using (term) join qt using (term), st group by 1, 2)"""
 _RN = "row_number() over (partition by qid order by score desc, doc)"
 register("r01_bm25_index", lambda s, d: indexed(s, d).view().df, f"with w as (select doc_id, list_distinct({_WORDS}) as w from documents) select term, count(*) as df from (select unnest(w) as term from w) t group by 1")
-register("r01_postings", lambda s, d: (lambda v: v.postings.join(v.df, "term"))(indexed(s, d).view()), f"with w as (select doc_id as doc, {_WORDS} as w from documents), p as (select doc, term, count(*) as tf, any_value(length) as length from (select doc, cast(len(w) as int) as length, unnest(w) as term from w) t group by 1, 2), f as (select term, count(*) as df from p group by 1) select term, doc, tf, length, df from p join f using (term)")
+register("r01_postings", lambda s, d: (lambda v: v.postings.join(S.maybe_broadcast(v.df, v.df.count()), "term"))(indexed(s, d).view()), f"with w as (select doc_id as doc, {_WORDS} as w from documents), p as (select doc, term, count(*) as tf, any_value(length) as length from (select doc, cast(len(w) as int) as length, unnest(w) as term from w) t group by 1, 2), f as (select term, count(*) as df from p group by 1) select term, doc, tf, length, df from p join f using (term)")
 register("r01_lengths", lambda s, d: indexed(s, d).lengths(), f"select doc_id as doc, cast(len({_WORDS}) as bigint) as n from documents")
 register("r02_bm25", lambda s, d: indexed(s, d).bm25(queries(s, d), 5), f"with {_BM} select qid, doc, score, cast({_RN} as int) as rank from bm where score > 0 qualify {_RN} <= 5")
 register("r03_tfidf", lambda s, d: indexed(s, d).tfidf(queries(s, d), 5), f"with {_TF} select qid, doc, score, cast({_RN} as int) as rank from tfi where score > 0 qualify {_RN} <= 5")
