@@ -116,7 +116,7 @@ def drop_chart_noise(col: Column) -> Column:
 
 def first_match(text: Column, patterns: list[str], group: int = 1) -> Column:
     """The group of the first pattern that matches, trimmed; null if none does."""
-    return F.coalesce(*[F.when(F.regexp_extract(text, p, group) != "", F.trim(F.regexp_extract(text, p, group))) for p in patterns])
+    return F.coalesce(*[let(F.regexp_extract(text, p, group), lambda found: F.when(found != "", F.trim(found))) for p in patterns])
 
 
 def money_value(col: Column) -> Column:

@@ -226,6 +226,13 @@ def deck_metrics(text: Column) -> dict[str, Column]:
     return found | {f"{k}_confidence": F.when(found[k].isNotNull(), c).otherwise(0.0) for k, c in L.DECK_CONFIDENCE.items()}
 
 
+def with_deck_metrics(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Column]]:
+    """df with e02's columns in a projection of their own, so that every pattern runs once a row however often a metric is named."""
+    rows = df.select("*", *[X.first_match(F.col(text), p).alias(f"_m_{k}") for k, p in L.DECK_PATTERNS.items()])
+    found = {k: F.col(f"_m_{k}") for k in L.DECK_PATTERNS}
+    return rows, found | {f"{k}_confidence": F.when(found[k].isNotNull(), c).otherwise(0.0) for k, c in L.DECK_CONFIDENCE.items()}
+
+
 def numeric_metrics(text: Column) -> dict[str, Column]:
     """e03: values in units, range checks, display forms, share of the five metrics found (team size is the fifth)."""
     m = {k: X.first_match(text, L.DECK_PATTERNS[k]) for k in ("revenue", "growth_rate", "users", "market_size")}
@@ -324,12 +331,28 @@ def best_text_revenue(text: Column) -> Column:
 
 def document_insights(text: Column) -> dict[str, Column]:
     """e20: type, business models, the first figures, what is found on growth, technology, market and risk, and insights."""
-    low = F.lower(text)
+    return _insights(X.first_class(text, L.DOC_TYPES), _insight_parts(text))
+
+
+def insights_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """e20 for whole tables: what is found is a projection of its own, so that every pattern runs once a row."""
+    parts = _insight_parts(F.col(text))
+    found = df.select(key, X.first_class(F.col(text), L.DOC_TYPES).alias("_type"), *[c.alias(f"_{k}") for k, c in parts.items()])
+    return found.select(key, *[c.alias(k) for k, c in _insights(F.col("_type"), {k: F.col(f"_{k}") for k in parts}).items()])
+
+
+def _insight_parts(text: Column) -> dict[str, Column]:
+    """Matches of the figures and of each insight's patterns, and whether a business model is named."""
     every = lambda patterns: F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), 1) for p in patterns])
-    amounts, found = every(L.FIGURES), {n: every(p) for n, _, p in L.INSIGHTS}
-    growth, *others = [(F.size(found[n]) > 0, t) for n, t, _ in L.INSIGHTS]
-    said = [(F.size(amounts) > 0, F.concat(F.lit("Financial figures detected: "), F.array_join(F.slice(amounts, 1, 5), ", "))), growth, *[(low.rlike(p), f"Business model: {n}") for n, p in L.BUSINESS_MODELS], *others]
-    return {"doc_type": F.coalesce(X.first_class(text, L.DOC_TYPES), F.lit("unknown")), "models": F.array_join(X.keep([(low.rlike(p), n) for n, p in L.BUSINESS_MODELS]), ","), "figures": F.array_join(F.slice(amounts, 1, 5), ", "), **{n: F.array_join(found[n], ";") for n in found}, "insights": F.array_join(X.keep(said), " | ")}
+    return {"amounts": every(L.FIGURES), **{n: every(p) for n, _, p in L.INSIGHTS}, **{f"is_{n}": F.lower(text).rlike(p) for n, p in L.BUSINESS_MODELS}}
+
+
+def _insights(doc_type: Column, parts: dict[str, Column]) -> dict[str, Column]:
+    amounts = parts["amounts"]
+    growth, *others = [(F.size(parts[n]) > 0, t) for n, t, _ in L.INSIGHTS]
+    models = [(parts[f"is_{n}"], n) for n, _ in L.BUSINESS_MODELS]
+    said = [(F.size(amounts) > 0, F.concat(F.lit("Financial figures detected: "), F.array_join(F.slice(amounts, 1, 5), ", "))), growth, *[(c, f"Business model: {n}") for c, n in models], *others]
+    return {"doc_type": F.coalesce(doc_type, F.lit("unknown")), "models": F.array_join(X.keep(models), ","), "figures": F.array_join(F.slice(amounts, 1, 5), ", "), **{n: F.array_join(parts[n], ";") for n, _, _ in L.INSIGHTS}, "insights": F.array_join(X.keep(said), " | ")}
 
 
 def entities(text: Column, n: int = 10) -> Column:

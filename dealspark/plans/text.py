@@ -159,7 +159,7 @@ register("e18_operational_metrics", lambda s, d: pick(decks(s, d).select("doc_id
 _FOUND = ", ".join(f"{sql_all('text', [f'(?i){x}' for x in p])} as {n}" for n, p in [("amounts", L.FIGURES), *[(n, p) for n, _, p in L.INSIGHTS]])
 _KINDS = [f"case when len({n}) > 0 then {q(t)} end" for n, t, _ in L.INSIGHTS]
 _SAID = ["case when len(amounts) > 0 then 'Financial figures detected: ' || array_to_string(amounts[1:5], ', ') end", _KINDS[0], *[f"case when regexp_matches(lower(text), {q(p)}) then {q(f'Business model: {n}')} end" for n, p in L.BUSINESS_MODELS], *_KINDS[1:]]
-register("e20_document_insights", lambda s, d: pick(decks(s, d), ["doc_id"], C.document_insights(T())), f", i as (select doc_id, text, {_FOUND} from vDecks) select doc_id, coalesce({sql_first('text', L.DOC_TYPES)}, 'unknown') as doc_type, {sql_join([(f'regexp_matches(lower(text), {q(p)})', n) for n, p in L.BUSINESS_MODELS])} as models, array_to_string(amounts[1:5], ', ') as figures, {', '.join(f"array_to_string({n}, ';') as {n}" for n, _, _ in L.INSIGHTS)}, array_to_string(list_filter([{', '.join(_SAID)}], lambda x: x is not null), ' | ') as insights from i", ("vDecks",))
+register("e20_document_insights", lambda s, d: C.insights_of(decks(s, d), "doc_id"), f", i as (select doc_id, text, {_FOUND} from vDecks) select doc_id, coalesce({sql_first('text', L.DOC_TYPES)}, 'unknown') as doc_type, {sql_join([(f'regexp_matches(lower(text), {q(p)})', n) for n, p in L.BUSINESS_MODELS])} as models, array_to_string(amounts[1:5], ', ') as figures, {', '.join(f"array_to_string({n}, ';') as {n}" for n, _, _ in L.INSIGHTS)}, array_to_string(list_filter([{', '.join(_SAID)}], lambda x: x is not null), ' | ') as insights from i", ("vDecks",))
 register("e21_entities", lambda s, d: decks(s, d).select("doc_id", F.array_join(C.entities(T()), ";").alias("entities")), r"""select doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(text, '\b([A-Z][a-zA-Z]*(?:[ \t\n]+[A-Z][a-zA-Z]*)*)', 1), lambda e: length(e) > 2), regexp_extract_all(text, '"([^"]+)"', 1))))[1:10], ';') as entities from vDecks""", ("vDecks",))
 
 # money and years
