@@ -20,16 +20,23 @@ def _scale(unit: str) -> str:
     return f"case lower({unit}) " + " ".join(f"when '{k}' then {v}D" for k, v in _SCALES.items()) + " else 1D end"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with the value worked out once a row (functions.text.let)."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _net() -> str:
-    count = lambda t: f"((length(lower(t)) - length(replace(lower(t), '{t}', ''))) div {len(t)})"
-    return " + ".join(f"{count(t)} * ({w}D)" for t, w in {**L.POSITIVE, **L.NEGATIVE}.items())
+    weighted = "array(" + ", ".join(f"named_struct('term', {text(t)}, 'weight', {w}D)" for t, w in {**L.POSITIVE, **L.NEGATIVE}.items()) + ")"
+    times = "((length(low) - length(replace(low, x.term, ''))) div length(x.term))"
+    return _let("low", "lower(t)", f"aggregate(filter({weighted}, x -> contains(low, x.term)), 0D, (total, x) -> total + {times} * x.weight)")
 
 
 def _risk() -> str:
-    found = [(f"regexp_count(lower(t), {text(p)})", score, L.RISK_WEIGHTS[level]) for level, p, score in L.RISKS]
-    weight = " + ".join(f"{n} * {w}" for n, _, w in found)
-    total = " + ".join(f"{n} * {score}D * {w}" for n, score, w in found)
-    return f"round(case when {weight} > 0 then least(1D, ({total}) / ({weight})) else 0D end, 6)"
+    counts = _let("low", "lower(t)", "array(" + ", ".join(f"regexp_count(low, {text(p)})" for _, p, _ in L.RISKS) + ")")
+    weights = [(s, L.RISK_WEIGHTS[level]) for level, _, s in L.RISKS]
+    weight = " + ".join(f"n[{i}] * {w}" for i, (_, w) in enumerate(weights))
+    total = " + ".join(f"n[{i}] * {s}D * {w}" for i, (s, w) in enumerate(weights))
+    return _let("n", counts, f"round(case when {weight} > 0 then least(1D, ({total}) / ({weight})) else 0D end, 6)")
 
 
 def _intent() -> str:
@@ -39,9 +46,9 @@ def _intent() -> str:
 
 
 def _context() -> str:
-    counts = [(n, "(" + " + ".join(f"cast(lower(t) rlike {text(chr(92) + 'b(' + p + ')' + chr(92) + 'b')} as int)" for p in ps) + ")") for n, ps in L.CONTEXTS]
-    most = f"greatest({', '.join(c for _, c in counts)})"
-    return f"case when {most} = 0 then 'general' " + " ".join(f"when {c} = {most} then '{n}'" for n, c in counts) + " end"
+    counts = _let("low", "lower(t)", "array(" + ", ".join("(" + " + ".join(f"cast(low rlike {text(chr(92) + 'b(' + p + ')' + chr(92) + 'b')} as int)" for p in ps) + ")" for _, ps in L.CONTEXTS) + ")")
+    first = " ".join(f"when n[{i}] = array_max(n) then '{name}'" for i, (name, _) in enumerate(L.CONTEXTS))
+    return _let("n", counts, f"case when array_max(n) = 0 then 'general' {first} end")
 
 
 def _numbers() -> str:
@@ -73,7 +80,7 @@ def create_functions(spark: SparkSession) -> None:
     for the session."""
     bare = "lower(regexp_replace(t, '[$₹, ]', ''))"
     bodies = {
-        "sentiment_score": ("double", f"coalesce(case when {_WORDS} > 0 then round(greatest(-1D, least(1D, ({_net()}) / ({_WORDS} * 0.1D))), 3) end, 0D)"),
+        "sentiment_score": ("double", f"coalesce({_let('words', _WORDS, f'case when words > 0 then round(greatest(-1D, least(1D, ({_net()}) / (words * 0.1D))), 3) end')}, 0D)"),
         "risk_score": ("double", _risk()),
         "email_intent": ("string", _intent()),
         "context_type": ("string", _context()),
