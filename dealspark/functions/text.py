@@ -77,7 +77,7 @@ def words_and_money(col: Column) -> Column:
 
 def letter_runs(col: Column) -> Column:
     """x04."""
-    return F.filter(F.split(F.lower(col), "[^\\p{L}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(col), "[^\\p{L}]+"), "")
 
 
 def blank_split(col: Column) -> Column:

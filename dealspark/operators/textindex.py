@@ -2,7 +2,7 @@
 
 Under one folder lie, by epoch (one for each change) and, where it says so, by bucket of the term's hash:
 
-    postings (bucket)  term, doc, tf, length
+    postings (bucket)  term, doc, tf, length; in bucket -1 every document once with a null term, and its number of words (null for a null text) as length
     df (bucket)        term, df: how much the epoch adds to the number of documents with the term (less than 0: takes away)
     lengths            doc, n: words of a document, null for a null text
     stats              N, sized, total: the same for the number of documents, of those with a text, and of words
@@ -30,13 +30,6 @@ def bucket(term: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _counts(w: F.Column) -> F.Column:
-    """Each word of sorted words with the number of its occurrences."""
-    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    runs = lambda s, at: F.transform(at, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).cast("long").alias("tf")))
-    return X.let(w, lambda s: X.let(starts(s), lambda at: runs(s, at)))
-
-
 @dataclass
 class View:
     """What the scoring of a search needs: of the index's tables the rows of some terms, or all."""
@@ -76,7 +69,9 @@ class InvertedIndex:
     def _read(self, table: str, epochs: dict[int, int], buckets: list[int] | None = None) -> DataFrame:
         """Rows of the committed epochs; of some buckets alone their folders are listed and read."""
         df = self.spark.read.schema(f"{self._SCHEMAS[table]}, epoch int").parquet(f"{self.path}/{table}").where(F.col("epoch").isin(list(epochs)))
-        return df if buckets is None else df.where(F.col("bucket").isin(buckets))
+        if buckets is not None:
+            return df.where(F.col("bucket").isin(buckets))
+        return df.where("bucket >= 0") if table == "postings" else df
 
     def _live(self, rows: DataFrame, epochs: dict[int, int]) -> DataFrame:
         """Rows of documents that have not gone since."""
@@ -91,21 +86,21 @@ class InvertedIndex:
         epochs = self._epochs()
         epoch = max(epochs, default=-1) + 1
         keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-        lengths = keyed.select("doc", F.size(X.letter_runs(F.col("text"))).alias("n")).groupBy("doc").agg(F.sum("n").alias("n"))
         if epochs:
-            self._drop(lengths.select("doc"), epoch)
+            self._drop(keyed.select("doc").distinct(), epoch)
             epoch += 1
-        self._write(lengths, "lengths", epoch)
-        lengths = self.spark.read.schema(self._SCHEMAS["lengths"]).parquet(f"{self.path}/lengths/epoch={epoch}")
-        # texts alone are shuffled: a document's postings are counted where its text is, and written to their buckets from there
+        # texts alone are shuffled, and cut into words once: a document's postings are counted where its text is, and written to their buckets from there
         parts = S.parts_of(self.spark, keyed.count())
         whole = keyed.repartition(parts, "doc").groupBy("doc").agg(F.collect_list("text").alias("texts"))
-        words = whole.select("doc", F.sort_array(F.flatten(F.transform("texts", X.letter_runs))).alias("w"))
-        counted = words.where(F.size("w") > 0).select("doc", F.size("w").alias("length"), F.explode_outer(_counts(F.col("w"))).alias("x"))
-        rows = counted.select("x.term", "doc", "x.tf", "length", bucket(F.col("x.term")).alias("bucket"))
+        words = whole.select("doc", F.when(F.size("texts") > 0, F.flatten(F.transform("texts", X.letter_runs))).alias("w"))
+        each = words.select("doc", F.size("w").alias("length"), F.explode(F.array_append(F.coalesce("w", F.array().cast("array<string>")), F.lit(None).cast("string"))).alias("term"))
+        counted = each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+        rows = counted.select("term", "doc", "tf", "length", F.when(F.col("term").isNull(), -1).otherwise(bucket(F.col("term"))).alias("bucket"))
         self._write(rows.sortWithinPartitions("bucket", "term"), "postings", epoch, "bucket")
-        written = self.spark.read.schema(self._SCHEMAS["postings"]).parquet(f"{self.path}/postings/epoch={epoch}")
-        self._write(written.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket"), "df", epoch, "bucket")
+        every = self.spark.read.schema(self._SCHEMAS["postings"]).parquet(f"{self.path}/postings/epoch={epoch}")
+        self._write(every.where("bucket = -1").select("doc", F.col("length").cast("long").alias("n")), "lengths", epoch)
+        lengths = self.spark.read.schema(self._SCHEMAS["lengths"]).parquet(f"{self.path}/lengths/epoch={epoch}")
+        self._write(every.where("bucket >= 0").groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket"), "df", epoch, "bucket")
         self._write(self._sums(lengths, 1), "stats", epoch)
         self._write(self.spark.createDataFrame([], "doc long"), "gone", epoch)
         self._commit(epoch)
