@@ -323,9 +323,10 @@ def contextual_rank(cands: DataFrame, k: int) -> DataFrame:
     return top_per_group(cands.select("qid", "id", F.round(score, 6).alias("score")), ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
-def assemble_context(hits: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """r16: the hits' texts of each query joined in the order of rank, at most n characters."""
-    named = hits.join(docs.select(F.col(key).alias("doc"), F.col(text).alias("_t")), "doc")
+def assemble_context(hits: DataFrame, docs: DataFrame, key: str, text: str, n: int, rows: int | None = None) -> DataFrame:
+    """r16: the hits' texts of each query joined in the order of rank, at most n characters. rows: how many hits there are at most, if that is
+    known; few go to the texts, which then aren't shuffled."""
+    named = (hits if rows is None else maybe_broadcast(hits, rows)).join(docs.select(F.col(key).alias("doc"), F.col(text).alias("_t")), "doc")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_t"))), lambda s: s["_t"]), "\n")
     return named.groupBy("qid").agg(F.substring(joined, 1, n).alias("context"))
 
