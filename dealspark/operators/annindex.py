@@ -28,8 +28,8 @@ from dealspark.operators.retrieve import knn_blocks
 SAMPLE_ROWS, ROWS_PER_CELL, CALIBRATION = 8192, 64, 128
 #: Components that share a byte, values of that byte, rows of a block, queries of a block.
 PART, BOOK, BLOCK_ROWS, QUERY_ROWS = 2, 256, 4096, 512
-#: Candidates that a scanning task holds before it keeps the best of each query alone.
-HELD = 1 << 20
+#: Candidates that a scanning task holds before it keeps the best of each query alone; distances or cells of queries that a task holds at once.
+HELD, FAR = 1 << 20, 1 << 20
 #: Share of the table that may be compared exactly, and a bound on that number at any size.
 SHARE, MOST = 0.04, 512
 
@@ -236,8 +236,10 @@ class VectorIndex:
         model, probes, lower = self.model, min(probes, len(self.model.lower)), self.model.lower
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
+            size = max(1, FAR // len(lower))
+            for whole in batches:
+                for at in range(0, whole.num_rows, size):
+                    batch = whole.slice(at, size)
                     far = (lower**2).sum(1) - 2 * (_rows(batch.column("v")) @ lower.T)
                     cells = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
                     row = pa.array(np.repeat(np.arange(batch.num_rows), probes))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from dealspark.functions import text as X
 from dealspark.functions import vectors as V
@@ -18,8 +18,8 @@ from dealspark.operators.relational import top_per_group
 
 #: Largest number of queries' terms that is broadcast (some 10 MB); beyond it Spark joins them by a shuffle.
 BROADCAST_TERMS = 200_000
-#: Rows of a block of vectors and of a block of queries: bounds on what one task multiplies.
-BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+#: Vectors of a block, and the fewest of one where more blocks keep more tasks busy; scores that a task holds at once.
+BLOCK_ROWS, LEAST_ROWS, SCORES = 32768, 4096, 1 << 22
 #: Documents whose postings make one task, and pairs of posting and query (or of document and query) that are added up at once.
 DOCS, PAIRS = 8192, 1 << 21
 
@@ -215,23 +215,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     return knn_blocks(vectors, queries, k, metric, least)
 
 
-def _blocks(rows: DataFrame, key: str, size: int, block: str) -> tuple[DataFrame, int]:
-    """Rows dealt to blocks of about `size` by a hash of their key, and the number of blocks."""
-    usable = rows.where(F.col(key).isNotNull() & F.col("v").isNotNull())
-    n = max(1, -(-usable.count() // size))
-    return usable.groupBy(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n)).alias(block)).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))).alias(f"{block}_rows")), n
-
-
-def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and the vectors as one matrix."""
-    flat = rows.flatten()
-    v = flat.field("v")
-    if pc.count_distinct(pc.list_value_length(v)).as_py() > 1:
-        raise ValueError("vectors differ in length")
-    m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-    return flat.field("id").to_numpy(), m
-
-
 def _products(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     """Scores of all pairs; a vector of no length has the cosine 0."""
     if metric == "l2":
@@ -242,32 +225,59 @@ def _products(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
-    """r11: one matrix product of every block of queries with every block of vectors, dealt by the
-    latter's number. Every product returns its best k of each query, and the best of those stay. Rows without id or vector
-    take no part."""
-    of_queries, _ = _blocks(queries.select("qid", "v"), "qid", QUERY_ROWS, "q")
-    of_vectors, n = _blocks(vectors.select("id", "v"), "id", BLOCK_ROWS, "b")
-    dealt = of_queries.select("q_rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("b"))
+    """r11: a task holds one block of vectors, and all queries stream past it row by row; a bounded number of them is multiplied with it
+    at once. Every block returns its best k of each query, and the best of those stay. Rows without id or vector take no part."""
+    kept = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    rows = kept.count()
+    n = max(1, -(-rows // BLOCK_ROWS), min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // LEAST_ROWS)))
+    kind = vectors.schema["v"].dataType if vectors.schema["v"].dataType == queries.schema["v"].dataType == ArrayType(FloatType(), True) else ArrayType(DoubleType(), True)
+    of = lambda df, key, asks, block: df.select(block.alias("b"), F.lit(asks).alias("asks"), F.col(key).cast("long").alias("id"), F.col("v").cast(kind).alias("v"))
+    held = of(kept, "id", False, F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(n)).cast("int"))
+    asked = of(queries.where(F.col("qid").isNotNull() & F.col("v").isNotNull()), "qid", True, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
-    def run(batches):
+    def matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and the vectors as one matrix."""
+        v = batch.column("v")
+        if pc.count_distinct(pc.list_value_length(v)).as_py() > 1:
+            raise ValueError("vectors differ in length")
+        return batch.column("id").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+
+    def best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        # rounded, with ties to the smaller id
+        scores = np.round(_products(q, v, metric), 6)
+        scores[(qid[:, None] == ids[None, :]) | np.isnan(scores) | (scores < (-np.inf if least is None else least))] = -np.inf
+        cut = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+        row, at = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
+        order = np.lexsort((ids[at], -scores[row, at], row))
+        row, at = row[order], at[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, at = row[top], at[top]
+        return pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[at]), pa.array(scores[row, at])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = -1, []  # a block's vectors come before its queries
         for batch in batches:
-            for i in range(batch.num_rows):
-                qid, q = _matrix(batch.column("q_rows").slice(i, 1))
-                ids, v = _matrix(batch.column("b_rows").slice(i, 1))
-                # rounded, with ties to the smaller id
-                scores = np.round(_products(q, v, metric), 6)
-                scores[(qid[:, None] == ids[None, :]) | np.isnan(scores) | (scores < (-np.inf if least is None else least))] = -np.inf
-                cut = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
-                row, at = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
-                order = np.lexsort((ids[at], -scores[row, at], row))
-                row, at = row[order], at[order]
-                best = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, at = row[best], at[best]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[at]), pa.array(scores[row, at])], schema=schema)
-
-    hits = dealt.join(of_vectors, "b").select("q_rows", "b_rows").mapInArrow(run, "qid long, id long, score double")
-    return top_per_group(hits, ["qid"], [F.desc("score"), F.asc("id")], k)
+            at, b, asks = 0, batch.column("b").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            while at < len(b):
+                same = (b[at:] == b[at]) & (asks[at:] == asks[at])
+                end = at + (len(same) if same.all() else int(same.argmin()))
+                if b[at] != block:
+                    block, parts = b[at], []
+                if not asks[at]:
+                    parts.append(matrix(batch.slice(at, end - at)))
+                elif parts:
+                    if len(parts) > 1:
+                        if len({v.shape[1] for _, v in parts}) > 1:
+                            raise ValueError("vectors differ in length")
+                        parts = [tuple(np.concatenate(x) for x in zip(*parts, strict=True))]
+                    qid, q = matrix(batch.slice(at, end - at))
+                    for i in range(0, len(qid), size := max(1, SCORES // len(parts[0][0]))):
+                        yield best(qid[i : i + size], q[i : i + size], *parts[0])
+                at = end
+
+    dealt = held.unionByName(asked).repartitionById(n, "b").sortWithinPartitions("b", "asks", "id")
+    return top_per_group(dealt.mapInArrow(run, "qid long, id long, score double"), ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
 def hybrid_gated(keyword: DataFrame, vector: DataFrame, k: int) -> DataFrame:
