@@ -62,23 +62,49 @@ def grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
-def mention_join(names: DataFrame, name: str, texts: DataFrame, text: str) -> DataFrame:
-    """j04: texts that contain a name, anywhere and without regard to case. Every name is filed under the gram of it that the
-    fewest texts have; only the texts with that gram are verified, so no name is held against every text. Empty and null
-    names are in no text; repeated names and texts pair each."""
-    keyed = names.where(F.length(name) > 0).withColumn("_name", F.lower(name))
+#: Up to so many different characters of names, texts are cut at all others.
+LETTERS = 4096
+
+
+def _mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of every different text (_low) with a mention: _key, its hash, and _names, all names (_name) in it, each once. Texts are cut at the characters
+    that no name has, as no mention crosses them. Every name is filed under the gram of it that the fewest of the different pieces have; only
+    the pieces with that gram are verified, so no name is held against every piece, and no text is copied by its grams."""
     size = F.least(F.length("_name"), F.lit(GRAM))
-    n = keyed.count()
+    n = names.count()
     share = F.broadcast if n <= BROADCAST_NAMES else lambda df: df
-    parts = keyed.select("_name").distinct().select("_name", F.explode(F.when(size == GRAM, grams(F.col("_name"), GRAM)).otherwise(F.array("_name"))).alias("_gram"))
-    sizes = [r[0] for r in keyed.select(size).distinct().collect()]  # at most GRAM numbers
-    low = texts.withColumn("_low", F.lower(text)).where("_low is not null")
-    cut = low.withColumn("_gram", F.explode(F.flatten(F.array(*[grams(F.col("_low"), s) for s in sorted(sizes)])))) if sizes else low.withColumn("_gram", F.lit("")).limit(0)
+    parts = names.select("_name").distinct().select("_name", F.explode(F.when(size == GRAM, grams(F.col("_name"), GRAM)).otherwise(F.array("_name"))).alias("_gram"))
+    sizes = [r[0] for r in names.select(size).distinct().collect()]  # at most GRAM numbers
+    letters = [r[0] for r in names.select(F.explode(F.array_distinct(F.split("_name", "")))).distinct().limit(LETTERS + 1).collect()]
+    if not letters:
+        return texts.select(F.lit(None).cast("binary").alias("_key"), F.lit(None).cast("array<string>").alias("_names")).limit(0)
+    cut = F.split("_low", "[^" + "".join(rf"\x{{{ord(c):x}}}" for c in letters if c) + "]+") if len(letters) <= LETTERS else F.array("_low")
+    pieces = texts.select(F.unhex(F.md5("_low")).alias("_key"), F.explode(F.array_distinct(F.array_remove(cut, ""))).alias("_piece"))
+    by_gram = pieces.select("_piece").distinct().withColumn("_gram", F.explode(F.flatten(F.array(*[grams(F.col("_piece"), s) for s in sorted(sizes)]))))
     wanted = share(parts.select("_gram").distinct())
-    uses = cut.select("_gram").join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_uses"))
-    rarest = parts.join(share(uses), "_gram", "left").groupBy("_name").agg(F.min_by("_gram", F.struct(F.coalesce("_uses", F.lit(0)), "_gram")).alias("_gram"))
-    filed = keyed.join(share(rarest), "_name")
-    return cut.join(share(filed), "_gram").where(F.contains("_low", "_name")).select(*names.columns, *texts.columns)
+    uses = by_gram.select("_gram").join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_uses"))
+    filed = parts.join(share(uses), "_gram", "left").groupBy("_name").agg(F.min_by("_gram", F.struct(F.coalesce("_uses", F.lit(0)), "_gram")).alias("_gram"))
+    found = by_gram.join(share(filed), "_gram").where(F.contains("_piece", "_name")).groupBy("_piece").agg(F.collect_set("_name").alias("_names"))
+    return pieces.join(found, "_piece").groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("_names"))).alias("_names"))
+
+
+def _keyed_texts(names: DataFrame, name: str, texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    return names.where(F.length(name) > 0).withColumn("_name", F.lower(name)), texts.withColumn("_low", F.lower(text)).where("_low is not null")
+
+
+def mention_join(names: DataFrame, name: str, texts: DataFrame, text: str) -> DataFrame:
+    """j04: texts that contain a name, anywhere and without regard to case. Empty and null names are in no text; repeated names and texts pair each."""
+    keyed, low = _keyed_texts(names, name, texts, text)
+    pairs = low.withColumn("_key", F.unhex(F.md5("_low"))).join(_mentions(keyed, low), "_key").withColumn("_name", F.explode("_names"))
+    return pairs.join(keyed, "_name").select(*names.columns, *texts.columns)
+
+
+def mention_counts(names: DataFrame, name: str, texts: DataFrame, text: str) -> DataFrame:
+    """j04: of each row of names the number of texts that contain it, where there are any; texts are counted where their names are found."""
+    keyed, low = _keyed_texts(names, name, texts, text)
+    times = low.groupBy(F.unhex(F.md5("_low")).alias("_key")).agg(F.count("*").alias("_times"))
+    counts = _mentions(keyed, low).join(times, "_key").select("_times", F.explode("_names").alias("_name")).groupBy("_name").agg(F.sum("_times").alias("mentions"))
+    return keyed.join(counts, "_name").select(*names.columns, "mentions")
 
 
 def visible_to(resources: DataFrame, members: DataFrame, user: int, key: str) -> DataFrame:

@@ -94,7 +94,7 @@ def mentions(s, d):
     """j04: words of three letters and more that are used twice or more, wherever they stand in a query, inside words too."""
     talks = view(s, d, "vConversations").select("id", "query")
     words = talks.select(F.explode(F.split(F.lower("query"), "[^a-z0-9]+")).alias("word")).where("length(word) >= 3").groupBy("word").agg(F.count("*").alias("uses")).where("uses >= 2").select("word")
-    return R.mention_join(words, "word", talks, "query").groupBy("word").agg(F.count("*").alias("mentions"))
+    return R.mention_counts(words, "word", talks, "query")
 
 
 register("j04_mention_join", mentions, f", w as (select word from ({_MENTIONS}) t where length(word) >= 3 group by word having count(*) >= 2) select word, count(*) as mentions from w join vConversations on contains(lower(query), word) group by word", ("vConversations",))
