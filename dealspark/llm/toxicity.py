@@ -17,7 +17,7 @@ Repeated rows are scored alike; other columns are ignored.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealspark.llm.common import NOT_ALNUM, Words, mix, sampled, slices, split_words
+from dealspark.llm.common import NOT_ALNUM, Words, discard, materialise, mix, sampled, slices, split_words
 from dealspark.llm.langid import is_held_out
 
 WINDOW, STRIDE = 32, 24
@@ -315,20 +315,21 @@ def _rank(top: np.ndarray, y: np.ndarray) -> float:
     return float((np.searchsorted(n, p, "left") + np.searchsorted(n, p, "right")).mean() / 2 / len(n))
 
 
-def combine(parts: list[Trained], labels: np.ndarray, base: float) -> Model:
+def combine(parts: list[Trained], labels: np.ndarray, base: float, after: Callable[[int], dict[str, np.ndarray]] | None = None) -> Model:
     """The network of all rows, with the phase and the calibration that the folds' judgements give. Without such judgements of
-    toxic and of clean rows its own judgements take their place. base: the share of toxic rows among all labelled ones."""
+    toxic and of clean rows its own judgements take their place. base: the share of toxic rows among all labelled ones; after:
+    gives that network's weights after a phase, where the parts don't hold them."""
     y = labels.astype(np.float64)
     whole = next(p for p in parts if p.fold == FOLDS)
     m = Model(whole.words, {}, base)
-    if not whole.params:
+    if not whole.tops:
         return m
-    judged = [p for p in parts if p.fold < FOLDS and p.params and np.isfinite(_rank(p.tops[0], y[p.rows]))] or [whole]
-    ranks = np.array([np.mean([_rank(p.tops[k], y[p.rows]) for p in judged]) for k in range(len(whole.params))])
+    judged = [p for p in parts if p.fold < FOLDS and p.tops and np.isfinite(_rank(p.tops[0], y[p.rows]))] or [whole]
+    ranks = np.array([np.mean([_rank(p.tops[k], y[p.rows]) for p in judged]) for k in range(len(whole.tops))])
     phase = len(ranks) - 1 - int(np.argmax(ranks[::-1])) if np.isfinite(ranks).all() else len(ranks) - 1
     top, known = np.concatenate([p.tops[phase] for p in judged]), np.concatenate([y[p.rows] for p in judged])
     use = np.isfinite(top)
-    m.params, m.trained = whole.params[phase], True
+    m.params, m.trained = after(phase) if after else whole.params[phase], True
     m.slope, m.shift = _calibrate(top[use], known[use], base)
     return m
 
@@ -385,12 +386,22 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 2000) -> Model:
         for fold, pdf in pd.concat(held).groupby("fold") if held else ():
             pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
             y = pdf["toxic"].to_numpy()
-            yield pd.DataFrame({"part": [pickle.dumps((learn(pdf["text"].tolist(), y, int(fold)), y))]})
-
-    # one task a fold trains on the bounded sample, about train_rows rows of each class; the driver gets the networks alone
+            done = learn(pdf["text"].tolist(), y, int(fold))
+            nets, done.params = done.params, []
+            if fold < FOLDS:  # of a fold's network only the judgements count
+                nets, done.words = [], done.words[:0]
+            parts = [pickle.dumps((done, y)), *map(pickle.dumps, nets)]
+            yield pd.DataFrame({"phase": range(-1, len(nets)), "part": parts})
+
+    # one task a fold trains on the bounded sample, about train_rows rows of each class; the networks stay in the shared folder, and the
+    # driver gets the judgements and then the weights of the one phase that they choose
     dealt = rows.withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS + 1))))).repartitionById(FOLDS + 1, "fold")
-    found = [pickle.loads(r["part"]) for r in dealt.mapInPandas(run, "part binary").collect()]
-    return combine([p for p, _ in found], found[0][1], base) if found else Model(np.zeros(0, np.uint64), {}, base)
+    trained = materialise(dealt.mapInPandas(run, "phase int, part binary"))
+    found = [pickle.loads(r["part"]) for r in trained.where("phase < 0").collect()]
+    after = lambda phase: pickle.loads(trained.where(F.col("phase") == phase).first()["part"])
+    model = combine([p for p, _ in found], found[0][1], base, after) if found else Model(np.zeros(0, np.uint64), {}, base)
+    discard(trained)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -56,6 +56,16 @@ def test_tasks_of_spark_learn_from_the_rows_of_one_process(spark):
     assert {k: v.shape for k, v in got.params.items()} == {k: v.shape for k, v in want.params.items()}
 
 
+def test_the_driver_gets_one_phase_of_one_network(spark, monkeypatch):
+    """pipeline: the other phases and the folds' networks stay in the shared folder."""
+    sent, loads = [], toxicity.pickle.loads
+    monkeypatch.setattr(toxicity.pickle, "loads", lambda raw: sent.append(len(raw)) or loads(raw))
+    texts, y = _rows(45)
+    m = toxicity.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    size = sum(v.nbytes for v in m.params.values())
+    assert m.trained and len(sent) == toxicity.FOLDS + 2 and size < sum(sent) < 1.5 * size
+
+
 def test_few_and_missing_labels():
     for y in ([0] * 6, [1] * 6, [1, 0, 0, 0, 0, 0], [1, 0]):
         texts = _rows(len(y))[0]
