@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Bytes or values that are hashed at once; one longer word is hashed on its own.
+PIECE = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -82,7 +84,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = int(inverse)
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = 1 << max(16, (int(n) - 1).bit_length())
         steps = np.full(size, _BASE_INV if inverse else _BASE, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
@@ -93,12 +95,14 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` values: a polynomial modulo 2**64, finalised; shorter input gives none."""
-    n = len(values)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(n), dtype=np.uint64, out=total[1:])
-    return mix((total[width:] - total[: n - width + 1]) * powers(n - width + 1, inverse=True))
+    out = np.empty(max(0, len(values) - width + 1), np.uint64)
+    for at in range(0, len(out), PIECE):
+        some = values[at : at + PIECE + width - 1]
+        total = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(some * powers(len(some)), dtype=np.uint64, out=total[1:])
+        runs = len(some) - width + 1
+        out[at : at + runs] = mix((total[width:] - total[:runs]) * powers(runs, inverse=True))
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -145,12 +149,18 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(n), dtype=np.uint64, out=total[1:])
-        inverse = powers(n, inverse=True)
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        """A 64-bit hash of each word's bytes, wherever it stands."""
+        out, at = np.empty(len(self.starts), np.uint64), 0
+        while at < len(out):
+            low = int(self.starts[at])
+            end = max(at + 1, int(np.searchsorted(self.ends, low + PIECE, "right")))
+            starts, ends = self.starts[at:end] - low, self.ends[at:end] - low
+            data = self.data[low : low + int(ends[-1])]
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), dtype=np.uint64, out=total[1:])
+            out[at:end] = mix((total[ends] - total[starts]) * powers(len(data), inverse=True)[starts] + (ends - starts).astype(np.uint64))
+            at = end
+        return out
 
 
 def split_words(texts: pa.Array, between: np.ndarray = _SPACE) -> Words:

@@ -27,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealspark.llm.common import NOT_ALNUM, Words, discard, materialise, mix, sampled, slices, split_words
+from dealspark.llm.common import NOT_ALNUM, PIECE, Words, discard, materialise, mix, sampled, slices, split_words
 from dealspark.llm.langid import is_held_out
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 CHAR_ORDERS, CHAR_BUCKETS = (3, 5), 1 << 14
+#: N-grams that are hashed or added up at once.
+GRAMS = 1 << 18
 #: Training: phases of so many steps; share of words hidden in a step; weight decay of embeddings.
 PHASES, STEPS, HIDE, DECAY = 6, 80, 0.3, 2.0
 FOLDS = 3
@@ -70,19 +72,68 @@ class Vocabulary:
 def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = words.hashes()
     uniq, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    return uniq, at, inverse
+    return uniq, at, inverse.astype(np.int32)
+
+
+def _read(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts texts into words, some texts at once: the different words' bytes, the number of words of each text, and as `_distinct`
+    of all words: hashes, places among those bytes, and numbers of all words in turn."""
+    sizes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    counts, hashes, seen, size = [np.zeros(0, np.int64)], [], np.zeros(0, np.uint64), 0
+    kept, data, starts, ends = [seen], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _runs(sizes, PIECE):
+        words = split_words(pc.utf8_lower(pa.array(texts[a:b], pa.large_string())), NOT_ALNUM)
+        counts.append(np.diff(words.first))
+        hashes.append(words.hashes())
+        uniq, at = np.unique(hashes[-1], return_index=True)
+        new = ~np.isin(uniq, seen)
+        at, lengths = at[new], (words.ends - words.starts)[at[new]]
+        last = np.cumsum(lengths)
+        data.append(words.data[np.repeat(words.starts[at] - last + lengths, lengths) + np.arange(lengths.sum())])
+        starts.append(size + last - lengths)
+        ends.append(size + last)
+        size += int(lengths.sum())
+        kept.append(uniq[new])
+        seen = np.union1d(seen, uniq[new])
+    at = np.argsort(np.concatenate(kept))
+    inverse = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(seen, h).astype(np.int32) for h in hashes)])
+    distinct = Words(np.concatenate(data), np.concatenate(starts), np.concatenate(ends), np.arange(len(seen) + 1))
+    return distinct, np.concatenate(counts), seen, at, inverse
 
 
 def _vocabulary(words: Words, uniq: np.ndarray, at: np.ndarray, known: np.ndarray) -> Vocabulary:
     starts, lengths = words.starts[at], words.ends[at] - words.starts[at]
+    ends, grams, counts = np.cumsum(lengths + 2), [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)]
+    for a, b in _runs(ends, GRAMS):
+        found, n = _grams(words.data, starts[a:b], lengths[a:b])
+        grams.append(found)
+        counts.append(n)
+    ids = np.zeros(len(uniq), np.int64)
+    if len(known):
+        slot = np.minimum(np.searchsorted(known, uniq), len(known) - 1)
+        ids = np.where(known[slot] == uniq, slot + 1, 0)
+    return Vocabulary(ids, np.concatenate(grams), np.cumsum(np.concatenate(counts)))
+
+
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours, by the places where they end, no longer than `most` in all; one that is longer is a run of its own."""
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def _grams(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram buckets of words one after another, and how many each has."""
     size = lengths + 2
     first = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(lengths)), size)
     inside = np.arange(size.sum()) - first[owner]
-    # bytes of every distinct word between two zero bytes
+    # bytes of every word between two zero bytes
     letter = (inside > 0) & (inside < size[owner] - 1)
     chars = np.zeros(len(owner), np.uint64)
-    chars[letter] = words.data[starts[owner[letter]] + inside[letter] - 1].astype(np.uint64) + np.uint64(1)
+    chars[letter] = data[starts[owner[letter]] + inside[letter] - 1].astype(np.uint64) + np.uint64(1)
     grams, of = [], []
     for order in CHAR_ORDERS:
         # a word shorter than the order is one n-gram
@@ -90,14 +141,10 @@ def _vocabulary(words: Words, uniq: np.ndarray, at: np.ndarray, known: np.ndarra
         h = np.full(len(at), order, np.uint64)
         for j in range(order):
             h = h * np.uint64(0x100000001B3) + np.where(inside[at] + j < size[owner[at]], chars[np.minimum(at + j, len(chars) - 1)], 0).astype(np.uint64)
-        grams.append((mix(h) >> np.uint64(40)).astype(np.int64) % CHAR_BUCKETS)
+        grams.append(((mix(h) >> np.uint64(40)) % np.uint64(CHAR_BUCKETS)).astype(np.uint16))
         of.append(owner[at])
-    order = np.argsort(np.concatenate(of), kind="stable")
-    ids = np.zeros(len(uniq), np.int64)
-    if len(known):
-        slot = np.minimum(np.searchsorted(known, uniq), len(known) - 1)
-        ids = np.where(known[slot] == uniq, slot + 1, 0)
-    return Vocabulary(ids, np.concatenate(grams)[order], np.searchsorted(np.concatenate(of)[order], np.arange(len(lengths) + 1)))
+    word = np.concatenate(of)
+    return np.concatenate(grams)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(lengths))
 
 
 def _windows(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,9 +157,11 @@ def _windows(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _char_means(p: dict, v: Vocabulary) -> np.ndarray:
-    if not len(v.ids):
-        return np.zeros((0, CHAR_DIM), np.float32)
-    return np.add.reduceat(p["chars"][v.grams], v.first[:-1], axis=0) / np.diff(v.first)[:, None].astype(np.float32)
+    out = np.zeros((len(v.ids), CHAR_DIM), np.float32)
+    for a, b in _runs(v.first[1:], GRAMS):
+        lo, hi = v.first[a], v.first[b]
+        out[a:b] = np.add.reduceat(p["chars"][v.grams[lo:hi]], v.first[a:b] - lo, axis=0) / np.diff(v.first[a : b + 1])[:, None].astype(np.float32)
+    return out
 
 
 def _gru(inputs: np.ndarray, mask: np.ndarray, u: np.ndarray, b: np.ndarray, order, keep: list | None) -> np.ndarray:
@@ -219,7 +268,7 @@ def _adam(m: Model, g: dict[str, np.ndarray], step: int, rate: float) -> None:
         m.params[k] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def _logits(m: Model, chars_and_words: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: np.ndarray, chunk: int = 2048) -> np.ndarray:
+def _logits(m: Model, chars_and_words: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """Logits of windows; chars_and_words: the projected input of each distinct word."""
     out = np.empty(len(start), np.float32)
     order = np.argsort(length, kind="stable")
@@ -234,7 +283,9 @@ def _logits(m: Model, chars_and_words: np.ndarray, inverse: np.ndarray, start: n
 
 
 def _projected(m: Model, v: Vocabulary) -> np.ndarray:
-    return np.concatenate([m.params["words"][v.ids], _char_means(m.params, v)], axis=1) @ m.params["wx"] + m.params["bx"]
+    out = np.concatenate([m.params["words"][v.ids], _char_means(m.params, v)], axis=1) @ m.params["wx"]
+    out += m.params["bx"]
+    return out
 
 
 @dataclass
@@ -263,15 +314,17 @@ def learn(texts: list[str], labels: np.ndarray, fold: int = FOLDS, steps: int =
     """Trains on the rows outside the fold; steps: of each phase."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape, by=1.0: (rng.standard_normal(shape) * by).astype(np.float32)
-    words = split_words(pc.utf8_lower(pa.array(texts, pa.large_string())), NOT_ALNUM)
-    uniq, at, inverse = _distinct(words)
+    words, counts, uniq, at, inverse = _read(texts)
     y = labels.astype(np.float32)
-    row, start, length = _windows(np.diff(words.first), words.first[:-1])
+    first = np.cumsum(counts) - counts
+    row, start, length = _windows(counts, first)
     n_windows = np.bincount(row, minlength=len(y))
     aside = _folds(texts, y, seed) == fold
     # words of three of the documents to learn from or more have an embedding
-    doc_word = np.unique((words.row * len(uniq) + inverse)[~aside[words.row]]) if len(uniq) else np.zeros(0, np.int64)
-    pick = np.flatnonzero(np.bincount(doc_word % max(1, len(uniq)), minlength=len(uniq)) >= 3)
+    n_docs = np.zeros(len(uniq), np.int64)
+    for i in np.flatnonzero(~aside & (counts > 0)).tolist():
+        n_docs[np.unique(inverse[first[i] : first[i] + counts[i]])] += 1
+    pick = np.flatnonzero(n_docs >= 3)
     dims = WORD_DIM + CHAR_DIM
     params = {
         "words": normal(len(pick) + 1, WORD_DIM, by=0.05), "chars": normal(CHAR_BUCKETS, CHAR_DIM, by=0.05), "wx": normal(dims, 6 * HIDDEN, by=dims**-0.5), "bx": np.zeros(6 * HIDDEN, np.float32),
@@ -285,6 +338,7 @@ def learn(texts: list[str], labels: np.ndarray, fold: int = FOLDS, steps: int =
     if not (len(toxic) and len(clean)):
         return done
     vocab = _vocabulary(words, uniq, at, m.words)
+    del words, at
     lo = np.cumsum(n_windows) - n_windows
     score = rng.random(len(start))
     for phase in range(PHASES):

@@ -1,10 +1,13 @@
 """Folds, choice of phase and calibration of the toxicity network."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from dealspark.llm import toxicity
+from dealspark.llm import common, toxicity
 
 
 def _rows(n: int, seed: int = 3) -> tuple[list[str], list[int]]:
@@ -66,6 +69,37 @@ def test_the_driver_gets_one_phase_of_one_network(spark, monkeypatch):
     assert m.trained and len(sent) == toxicity.FOLDS + 2 and size < sum(sent) < 1.5 * size
 
 
+def test_pieces_equal_the_whole(monkeypatch):
+    """pipeline: words, hashes and n-grams are the same however few are held at once."""
+    texts = [*_rows(40)[0], "", "  ", "Ärger über x" + "y" * 300, "y", *_rows(5)[0]]
+    words = common.split_words(pc.utf8_lower(pa.array(texts, pa.large_string())), common.NOT_ALNUM)
+    uniq, at, inverse = toxicity._distinct(words)
+    known, rolled = uniq[::3], common.rolling(words.hashes(), 5)
+    want = toxicity._vocabulary(words, uniq, at, known)
+    means = toxicity._char_means({"chars": np.random.default_rng(0).standard_normal((toxicity.CHAR_BUCKETS, toxicity.CHAR_DIM)).astype(np.float32)}, want)
+    monkeypatch.setattr(common, "PIECE", 50)
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    monkeypatch.setattr(toxicity, "GRAMS", 20)
+    assert (common.rolling(words.hashes(), 5) == rolled).all() and len(common.rolling(words.hashes()[:4], 5)) == 0
+    distinct, counts, *numbers = toxicity._read(texts)
+    assert (counts == np.diff(words.first)).all() and (numbers[0] == uniq).all() and (numbers[2] == inverse).all()
+    got = toxicity._vocabulary(distinct, numbers[0], numbers[1], known)
+    assert all((getattr(got, a) == getattr(want, a)).all() for a in ("ids", "grams", "first"))
+    assert (toxicity._char_means({"chars": np.random.default_rng(0).standard_normal((toxicity.CHAR_BUCKETS, toxicity.CHAR_DIM)).astype(np.float32)}, got) == means).all()
+
+
+def test_training_holds_no_numbers_for_each_byte(monkeypatch):
+    """pipeline: a training task held fifty-six bytes for each byte of its texts."""
+    monkeypatch.setattr(common, "_POWERS", {})
+    texts, y = _rows(60)
+    texts = [" ".join([t] * 600) for t in texts]
+    tracemalloc.start()
+    toxicity.learn(texts, np.array(y), 1, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * sum(map(len, texts))
+
+
 def test_few_and_missing_labels():
     for y in ([0] * 6, [1] * 6, [1, 0, 0, 0, 0, 0], [1, 0]):
         texts = _rows(len(y))[0]
