@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker turns into arrays at once; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Bytes or values that are hashed at once; one longer word is hashed on its own.
-PIECE = 1 << 19
+PIECE = 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -34,7 +33,7 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 CHAR_ORDERS, CHAR_BUCKETS = (3, 5), 1 << 14
 #: N-grams that are hashed or added up at once.
-GRAMS = 1 << 18
+GRAMS = 1 << 16
 #: Training: phases of so many steps; share of words hidden in a step; weight decay of embeddings.
 PHASES, STEPS, HIDE, DECAY = 6, 80, 0.3, 2.0
 FOLDS = 3
@@ -79,26 +78,34 @@ def _read(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray,
     """Cuts texts into words, some texts at once: the different words' bytes, the number of words of each text, and as `_distinct`
     of all words: hashes, places among those bytes, and numbers of all words in turn."""
     sizes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    counts, hashes, seen, size = [np.zeros(0, np.int64)], [], np.zeros(0, np.uint64), 0
-    kept, data, starts, ends = [seen], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in _runs(sizes, PIECE):
+    # hashes seen so far in order, and how many came before each
+    seen, before = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    counts, numbers, size = [np.zeros(0, np.int64)], [before], 0
+    data, starts, ends = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _runs(sizes, 4 * PIECE):
         words = split_words(pc.utf8_lower(pa.array(texts[a:b], pa.large_string())), NOT_ALNUM)
         counts.append(np.diff(words.first))
-        hashes.append(words.hashes())
-        uniq, at = np.unique(hashes[-1], return_index=True)
-        new = ~np.isin(uniq, seen)
-        at, lengths = at[new], (words.ends - words.starts)[at[new]]
+        uniq, at, inverse = _distinct(words)
+        slot = np.searchsorted(seen, uniq)
+        new = slot == len(seen)
+        new[~new] = seen[slot[~new]] != uniq[~new]
+        at, slot = at[new], slot[new]
+        lengths = words.ends[at] - words.starts[at]
         last = np.cumsum(lengths)
         data.append(words.data[np.repeat(words.starts[at] - last + lengths, lengths) + np.arange(lengths.sum())])
         starts.append(size + last - lengths)
         ends.append(size + last)
         size += int(lengths.sum())
-        kept.append(uniq[new])
-        seen = np.union1d(seen, uniq[new])
-    at = np.argsort(np.concatenate(kept))
-    inverse = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(seen, h).astype(np.int32) for h in hashes)])
+        before = np.insert(before, slot, np.arange(len(seen), len(seen) + len(slot), dtype=np.int32))
+        seen = np.insert(seen, slot, uniq[new])
+        numbers.append(before[np.searchsorted(seen, uniq)][inverse])
+    pa.default_memory_pool().release_unused()
+    place = np.empty(len(seen), np.int32)
+    place[before] = np.arange(len(seen), dtype=np.int32)
+    inverse = np.concatenate(numbers)
+    numbers.clear()
     distinct = Words(np.concatenate(data), np.concatenate(starts), np.concatenate(ends), np.arange(len(seen) + 1))
-    return distinct, np.concatenate(counts), seen, at, inverse
+    return distinct, np.concatenate(counts), seen, before, place[inverse]
 
 
 def _vocabulary(words: Words, uniq: np.ndarray, at: np.ndarray, known: np.ndarray) -> Vocabulary:
@@ -164,13 +171,13 @@ def _char_means(p: dict, v: Vocabulary) -> np.ndarray:
     return out
 
 
-def _gru(inputs: np.ndarray, mask: np.ndarray, u: np.ndarray, b: np.ndarray, order, keep: list | None) -> np.ndarray:
-    steps, size = len(inputs), inputs.shape[1]
+def _gru(inputs: np.ndarray, mask: np.ndarray, u: np.ndarray, b: np.ndarray, order, keep: list | None, idx: np.ndarray | None = None) -> np.ndarray:
+    steps, size = mask.shape[:2]
     h = np.zeros((size, HIDDEN), np.float32)
     out = np.empty((steps, size, HIDDEN), np.float32)
     for t in order:
         a = h @ u
-        x = inputs[t]
+        x = inputs[t] if idx is None else inputs[idx[t]]
         gates = _sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         hn = a[:, 2 * HIDDEN :] + b
@@ -183,12 +190,13 @@ def _gru(inputs: np.ndarray, mask: np.ndarray, u: np.ndarray, b: np.ndarray, ord
     return out
 
 
-def _forward(p: dict, projected: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """projected: steps x windows x 6*HIDDEN; mask: steps x windows x 1. Returns the windows' logits."""
-    steps = len(projected)
+def _forward(p: dict, projected: np.ndarray, mask: np.ndarray, keep: dict | None = None, idx: np.ndarray | None = None) -> np.ndarray:
+    """projected: steps x windows x 6*HIDDEN, or words x 6*HIDDEN with idx, steps x windows of word numbers; mask: steps x windows x 1.
+    Returns the windows' logits."""
+    steps = len(mask)
     ahead, back = ([], []) if keep is not None else (None, None)
-    hf = _gru(projected[..., : 3 * HIDDEN], mask, p["uf"], p["bf"], range(steps), ahead)
-    hb = _gru(projected[..., 3 * HIDDEN :], mask, p["ub"], p["bb"], reversed(range(steps)), back)
+    hf = _gru(projected[..., : 3 * HIDDEN], mask, p["uf"], p["bf"], range(steps), ahead, idx)
+    hb = _gru(projected[..., 3 * HIDDEN :], mask, p["ub"], p["bb"], reversed(range(steps)), back, idx)
     h = np.concatenate([hf, hb], axis=2)
     e = _tanh(h @ p["wa"] + p["ba"])
     s = np.where(mask[..., 0], e @ p["va"], -1e9)
@@ -278,12 +286,15 @@ def _logits(m: Model, chars_and_words: np.ndarray, inverse: np.ndarray, start: n
         t = np.arange(steps)[:, None]
         mask = t < length[some][None]
         idx = inverse[np.minimum(start[some][None] + t, len(inverse) - 1)]
-        out[some] = _forward(m.params, chars_and_words[idx], mask[..., None])
+        out[some] = _forward(m.params, chars_and_words, mask[..., None], idx=idx)
     return out
 
 
 def _projected(m: Model, v: Vocabulary) -> np.ndarray:
-    out = np.concatenate([m.params["words"][v.ids], _char_means(m.params, v)], axis=1) @ m.params["wx"]
+    both = np.empty((len(v.ids), WORD_DIM + CHAR_DIM), np.float32)
+    both[:, :WORD_DIM] = m.params["words"][v.ids]
+    both[:, WORD_DIM:] = _char_means(m.params, v)
+    out = both @ m.params["wx"]
     out += m.params["bx"]
     return out
 
@@ -310,8 +321,8 @@ def _folds(texts: list[str], y: np.ndarray, seed: int) -> np.ndarray:
     return fold[same]
 
 
-def learn(texts: list[str], labels: np.ndarray, fold: int = FOLDS, steps: int = STEPS, batch: int = 128, seed: int = 17) -> Trained:
-    """Trains on the rows outside the fold; steps: of each phase."""
+def learn(texts: list[str], labels: np.ndarray, fold: int = FOLDS, steps: int = STEPS, batch: int = 128, seed: int = 17, nets: bool = True) -> Trained:
+    """Trains on the rows outside the fold; steps: of each phase; nets: whether to keep the network after each phase."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape, by=1.0: (rng.standard_normal(shape) * by).astype(np.float32)
     words, counts, uniq, at, inverse = _read(texts)
@@ -356,7 +367,8 @@ def learn(texts: list[str], labels: np.ndarray, fold: int = FOLDS, steps: int =
         score = _logits(m, _projected(m, vocab), inverse, start, length).astype(np.float64)
         top = np.full(len(y), -np.inf)
         np.maximum.at(top, row, score)
-        done.params.append({k: v.copy() for k, v in m.params.items()})
+        if nets:
+            done.params.append({k: v.copy() for k, v in m.params.items()})
         done.tops.append(top[done.rows])
     return done
 
@@ -435,22 +447,27 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 2000) -> Model:
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        for fold, pdf in pd.concat(held).groupby("fold") if held else ():
-            pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-            y = pdf["toxic"].to_numpy()
-            done = learn(pdf["text"].tolist(), y, int(fold))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        order = pc.sort_indices(table, [("fold", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).to_pylist()
+        fold, y, all_texts = table["fold"].to_numpy(), table["toxic"].to_numpy(), table["text"].to_pylist()
+        del held, table  # the texts of a task are held once
+        for k in np.unique(fold).tolist():
+            at = [i for i in order if fold[i] == k]
+            done = learn([all_texts[i] for i in at], y[at], k, nets=k == FOLDS)
             nets, done.params = done.params, []
-            if fold < FOLDS:  # of a fold's network only the judgements count
-                nets, done.words = [], done.words[:0]
-            parts = [pickle.dumps((done, y)), *map(pickle.dumps, nets)]
-            yield pd.DataFrame({"phase": range(-1, len(nets)), "part": parts})
+            if k < FOLDS:  # of a fold's network only the judgements count
+                done.words = done.words[:0]
+            for phase, part in enumerate([(done, y[at]), *nets], -1):
+                yield pa.RecordBatch.from_arrays([pa.array([phase], pa.int32()), pa.array([pickle.dumps(part)], pa.binary())], names=["phase", "part"])
 
     # one task a fold trains on the bounded sample, about train_rows rows of each class; the networks stay in the shared folder, and the
     # driver gets the judgements and then the weights of the one phase that they choose
     dealt = rows.withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS + 1))))).repartitionById(FOLDS + 1, "fold")
-    trained = materialise(dealt.mapInPandas(run, "phase int, part binary"))
+    trained = materialise(dealt.mapInArrow(run, "phase int, part binary"))
     found = [pickle.loads(r["part"]) for r in trained.where("phase < 0").collect()]
     after = lambda phase: pickle.loads(trained.where(F.col("phase") == phase).first()["part"])
     model = combine([p for p, _ in found], found[0][1], base, after) if found else Model(np.zeros(0, np.uint64), {}, base)
